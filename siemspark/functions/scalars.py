@@ -92,3 +92,14 @@ def first_failure(checks: list[tuple[str, Column]]) -> Column:
 
 def epoch_micros(ts) -> Column:
     return F.unix_micros(col(ts).cast("timestamp"))
+
+
+def settle(df, names):
+    """Marks ``names`` as computed: later filters on them stay above.
+
+    Catalyst moves a filter below a projection by copying the projected
+    expressions into it.  For columns built in many layers that copy grows
+    with every layer; a one-element ``inline`` keeps it from happening.
+    """
+    rest = [c for c in df.columns if c not in names]
+    return df.select(*rest, F.inline(F.array(F.struct(*names))))

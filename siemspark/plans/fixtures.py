@@ -36,6 +36,10 @@ class Tables:
     def normalized_events(self) -> DataFrame:
         return normalized_events(self.read("events"))
 
+    @cached_property
+    def raw_lines(self) -> DataFrame:
+        return raw_lines(self.read("events"))
+
     @cached_property
     def delivered_events(self) -> DataFrame:
         """Normalized events as delivered: every tenth one arrives twice."""
@@ -154,3 +158,130 @@ def with_ctes(*names: str, body: str) -> str:
     text = body.strip()
     glue = "\n" if text[:6].upper() == "SELECT" else ",\n"
     return f"WITH {head}{glue}{text}"
+
+
+# --- raw log lines ---------------------------------------------------------
+
+def raw_lines(events: DataFrame) -> DataFrame:
+    """Log lines of six kinds, broken ones included, as raw records."""
+    e = events.withColumn("us", epoch_micros("ts"))
+    eid, uid = F.col("event_id"), F.col("user_id")
+    n = floor_div("event_id", 6)
+    ts = F.col("ts").cast("timestamp")
+
+    def txt(c):
+        return c.cast("string")
+
+    def cat(*parts):
+        return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+
+    user = cat("user", txt(uid))
+    ip = cat("10.0.", txt(uid % 4), ".", txt(uid % 250))
+    rfc = cat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), ".",
+              F.lpad(txt(F.pmod(F.col("us"), F.lit(1_000_000))), 6, "0"), "Z")
+    old = F.date_format(ts, "MMM dd HH:mm:ss")
+    pri = cat("<", txt(eid % 192), ">")
+    host = cat("host", txt(uid % 5))
+    failed = cat("Failed password for ", F.when(eid % 18 == 0, "invalid user ").otherwise(""), user,
+                 " from ", ip, " port ", txt(1024 + eid % 60000), " ssh2")
+    sshd = F.when(eid % 12 == 6, cat("<38>", old, " ", host, " sshd[77]: ", failed)).otherwise(failed)
+    app = cat("app", txt(uid % 7))
+    tag = (F.when(n % 4 == 0, cat(app, ": ")).when(n % 4 == 1, "just text ")
+           .when(n % 4 == 2, cat(app, "[", txt(eid % 1000), "]: ")).otherwise(cat(app, "[]:")))
+    bsd = cat(pri, old, " ", host, " ", tag, "event ", F.col("event_type"))
+    m = n % 8
+    sd = (F.when(m == 1, '[ex@1 k="a]b" q="x\\"y"]').when(m == 2, '[a@1][b@2 z="1"]')
+          .when(m == 7, '[a@1 k="x').otherwise("-"))
+    stamp = F.when(m == 3, "-").when(m == 4, "2024-99-01T00:00:00Z").otherwise(rfc)
+    ietf = cat(pri, F.when(m == 5, "2").otherwise("1"), " ", stamp, " ",
+               F.when(m == 6, "-").otherwise(host), " ", app, " ", txt(eid % 1000), " ID",
+               txt(eid % 50), " ", sd,
+               F.when(m == 6, "").otherwise(cat(" msg ", F.col("event_type"), " end")))
+    journal = cat('{"journald_version":', F.when(m == 5, "2").otherwise("1"), ',"cursor":',
+                  F.when(m == 1, "null").otherwise(cat('"s=', txt(eid), '"')),
+                  F.when(m == 4, ',"extra":1').otherwise(""),
+                  ',"fields":[{"name":"MESSAGE","encoding":"utf8","value":"',
+                  F.when(m == 7, failed).otherwise(cat("ran ", F.col("event_type"))),
+                  '"},{"name":"_SOURCE_REALTIME_TIMESTAMP","encoding":"utf8","value":"',
+                  F.when(m == 6, "12a").otherwise(txt(F.col("us"))),
+                  '"},{"name":"DATA","encoding":"base64","value":"',
+                  F.when(m == 3, "A*==").otherwise("AAEC"), '"}]}')
+    j = n % 6
+    generic = (F.when(j == 0, cat('{"event_time":"', rfc, '","user":"', user, '"}'))
+               .when(j == 1, cat('{"timestamp":"01/02/2024","n":123456789012345678901234567890,"u":', txt(uid), "}"))
+               .when(j == 2, cat('{"@timestamp":', txt(floor_div("us", 1_000_000)), ',"a":[1,2]}'))
+               .when(j == 3, "[1,2,3]")
+               .when(j == 4, cat('{"b":{"z":1,"a":"', F.col("event_type"), '"},"a":null}'))
+               .otherwise(cat('{"event_time":"', rfc, '","timestamp":5}')))
+    broken = (F.when(j == 0, '{"a":')
+              .when(j == 1, "Failed password for root from 10.0.0.1 port 999999 ssh2")
+              .when(j == 2, "<999>Jan 01 00:00:00 h a: x").when(j == 3, "plain junk")
+              .when(j == 4, "Failed password for x from 1.2.3.4 port 22.0 y").otherwise('{"a":1'))
+    k = eid % 6
+    text = (F.when(k == 0, sshd).when(k == 1, bsd).when(k == 2, ietf).when(k == 3, journal)
+            .when(k == 4, generic).otherwise(broken))
+    seconds = floor_div("us", 1_000_000)
+    nanos = (F.pmod(F.col("us"), F.lit(1_000_000)) * 1000).cast("int")
+    has_time = eid % 3 != 0
+    return e.withColumn("text", text).select(
+        eid, F.concat(F.lit(RAW_PREFIX), hex12(eid)).alias("raw_event_id"),
+        cat("tenant-", txt(uid % 3)).alias("tenant_id"),
+        cat("source-", txt(uid % 5)).alias("source_id"),
+        F.when(eid % 13 != 0, cat("sensor-", txt(uid % 2))).alias("sensor_id"),
+        F.when(k.isin(3, 4) | ((k == 5) & (j == 5)), "application/json").otherwise("text/plain")
+        .alias("content_type"),
+        F.encode("text", "UTF-8").alias("payload"),
+        F.when(eid % 71 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.sha2("text", 256)).alias("raw_hash"),
+        F.lit("sha256").alias("raw_hash_algorithm"),
+        (F.octet_length("text") + F.when(eid % 73 == 0, 1).otherwise(0)).cast("long").alias("raw_size"),
+        F.when(has_time, seconds).alias("event_time_seconds"),
+        F.when(has_time, nanos).alias("event_time_nanos"),
+        (seconds + eid % 7).alias("ingest_time_seconds"), nanos.alias("ingest_time_nanos"),
+        (seconds + 10).alias("persisted_at_seconds"), F.lit(0).alias("persisted_at_nanos"),
+        F.when(eid % 2 == 0, "tcp").otherwise("http").alias("transport"),
+        F.when(eid % 89 == 0, "").otherwise(ip).alias("remote_identity"))
+
+
+CTE["rl"] = f"""
+rl0 AS (
+ SELECT *, epoch_us(ts) AS us, event_id // 6 AS n, event_id % 6 AS k,
+  'user' || user_id::VARCHAR AS usr, '10.0.' || (user_id % 4)::VARCHAR || '.' || (user_id % 250)::VARCHAR AS ip,
+  strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.' || lpad((epoch_us(ts) % 1000000)::VARCHAR, 6, '0') || 'Z' AS rfc,
+  strftime(ts, '%b %d %H:%M:%S') AS old, '<' || (event_id % 192)::VARCHAR || '>' AS pri,
+  'host' || (user_id % 5)::VARCHAR AS host, 'app' || (user_id % 7)::VARCHAR AS app,
+  'Failed password for ' || CASE WHEN event_id % 18 = 0 THEN 'invalid user ' ELSE '' END || 'user' || user_id::VARCHAR
+   || ' from 10.0.' || (user_id % 4)::VARCHAR || '.' || (user_id % 250)::VARCHAR || ' port ' || (1024 + event_id % 60000)::VARCHAR || ' ssh2' AS failed
+ FROM events),
+rl1 AS (SELECT *, CASE k
+  WHEN 0 THEN CASE WHEN event_id % 12 = 6 THEN '<38>' || old || ' ' || host || ' sshd[77]: ' || failed ELSE failed END
+  WHEN 1 THEN pri || old || ' ' || host || ' ' || CASE n % 4 WHEN 0 THEN app || ': ' WHEN 1 THEN 'just text '
+     WHEN 2 THEN app || '[' || (event_id % 1000)::VARCHAR || ']: ' ELSE app || '[]:' END || 'event ' || event_type
+  WHEN 2 THEN pri || CASE n % 8 WHEN 5 THEN '2' ELSE '1' END || ' ' || CASE n % 8 WHEN 3 THEN '-' WHEN 4 THEN '2024-99-01T00:00:00Z' ELSE rfc END
+     || ' ' || CASE n % 8 WHEN 6 THEN '-' ELSE host END || ' ' || app || ' ' || (event_id % 1000)::VARCHAR || ' ID' || (event_id % 50)::VARCHAR || ' '
+     || CASE n % 8 WHEN 1 THEN '[ex@1 k="a]b" q="x\\"y"]' WHEN 2 THEN '[a@1][b@2 z="1"]' WHEN 7 THEN '[a@1 k="x' ELSE '-' END
+     || CASE n % 8 WHEN 6 THEN '' ELSE ' msg ' || event_type || ' end' END
+  WHEN 3 THEN '{{"journald_version":' || CASE n % 8 WHEN 5 THEN '2' ELSE '1' END || ',"cursor":' || CASE n % 8 WHEN 1 THEN 'null' ELSE '"s=' || event_id::VARCHAR || '"' END
+     || CASE n % 8 WHEN 4 THEN ',"extra":1' ELSE '' END || ',"fields":[{{"name":"MESSAGE","encoding":"utf8","value":"'
+     || CASE n % 8 WHEN 7 THEN failed ELSE 'ran ' || event_type END || '"}},{{"name":"_SOURCE_REALTIME_TIMESTAMP","encoding":"utf8","value":"'
+     || CASE n % 8 WHEN 6 THEN '12a' ELSE us::VARCHAR END || '"}},{{"name":"DATA","encoding":"base64","value":"' || CASE n % 8 WHEN 3 THEN 'A*==' ELSE 'AAEC' END || '"}}]}}'
+  WHEN 4 THEN CASE n % 6 WHEN 0 THEN '{{"event_time":"' || rfc || '","user":"' || usr || '"}}'
+     WHEN 1 THEN '{{"timestamp":"01/02/2024","n":123456789012345678901234567890,"u":' || user_id::VARCHAR || '}}'
+     WHEN 2 THEN '{{"@timestamp":' || (us // 1000000)::VARCHAR || ',"a":[1,2]}}' WHEN 3 THEN '[1,2,3]'
+     WHEN 4 THEN '{{"b":{{"z":1,"a":"' || event_type || '"}},"a":null}}' ELSE '{{"event_time":"' || rfc || '","timestamp":5}}' END
+  ELSE CASE n % 6 WHEN 0 THEN '{{"a":' WHEN 1 THEN 'Failed password for root from 10.0.0.1 port 999999 ssh2'
+     WHEN 2 THEN '<999>Jan 01 00:00:00 h a: x' WHEN 3 THEN 'plain junk' WHEN 4 THEN 'Failed password for x from 1.2.3.4 port 22.0 y' ELSE '{{"a":1' END
+  END AS text FROM rl0),
+rl AS (
+ SELECT *, '{RAW_PREFIX}' || lpad(lower(to_hex(event_id)), 12, '0') AS raw_event_id,
+  'tenant-' || (user_id % 3)::VARCHAR AS tenant_id, 'source-' || (user_id % 5)::VARCHAR AS source_id,
+  CASE WHEN event_id % 13 <> 0 THEN 'sensor-' || (user_id % 2)::VARCHAR END AS sensor_id,
+  CASE WHEN k IN (3, 4) OR (k = 5 AND n % 6 = 5) THEN 'application/json' ELSE 'text/plain' END AS content_type,
+  CASE WHEN event_id % 71 = 0 THEN sha256('other') ELSE sha256(text) END AS raw_hash,
+  (strlen(text) + CASE WHEN event_id % 73 = 0 THEN 1 ELSE 0 END)::BIGINT AS raw_size,
+  CASE WHEN event_id % 3 <> 0 THEN us // 1000000 END AS event_time_seconds,
+  CASE WHEN event_id % 3 <> 0 THEN ((us % 1000000) * 1000)::INTEGER END AS event_time_nanos,
+  us // 1000000 + event_id % 7 AS ingest_time_seconds, ((us % 1000000) * 1000)::INTEGER AS ingest_time_nanos,
+  us // 1000000 + 10 AS persisted_at_seconds,
+  CASE WHEN event_id % 2 = 0 THEN 'tcp' ELSE 'http' END AS transport,
+  CASE WHEN event_id % 89 = 0 THEN '' ELSE ip END AS remote_identity
+ FROM rl1)"""

@@ -11,6 +11,8 @@ from pyspark.sql import SparkSession
 # UTC makes second/nano columns and rendered times independent of the host.
 REQUIRED_SQL_CONF = {
     "spark.sql.session.timeZone": "UTC",
+    # A repeated JSON key keeps its last value instead of making the text invalid.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 # Good defaults for clusters and for local runs; callers may override any.
@@ -34,7 +36,7 @@ def build_session(app: str = "siemspark", master: str | None = None, **conf) ->
         builder = builder.config(key, value)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), str(value))
-    return builder.getOrCreate()
+    return ensure_settings(builder.getOrCreate())
 
 
 def ensure_settings(spark: SparkSession) -> SparkSession:
@@ -42,9 +44,21 @@ def ensure_settings(spark: SparkSession) -> SparkSession:
     for key, value in REQUIRED_SQL_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    _ship_helpers()
     return spark
 
 
+def _ship_helpers() -> None:
+    """Sends the few Python helpers that run in tasks along with the job.
+
+    Executors then need not have this package installed.
+    """
+    import siemspark
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(siemspark)
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder every executor can reach.
 
