@@ -1,4 +1,5 @@
 """Imports every query module so that all queries are registered."""
 
-from siemspark.plans import detect_queries, parse_queries, search_queries  # noqa: F401
+from siemspark.plans import (detect_queries, normalize_queries, parse_queries, raw_queries,  # noqa: F401
+                             search_queries)
 from siemspark.plans.registry import ORACLES, QUERIES  # noqa: F401
