@@ -285,3 +285,21 @@ rl AS (
   CASE WHEN event_id % 2 = 0 THEN 'tcp' ELSE 'http' END AS transport,
   CASE WHEN event_id % 89 = 0 THEN '' ELSE ip END AS remote_identity
  FROM rl1)"""
+
+
+# --- operations ------------------------------------------------------------
+
+_LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+               "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+def numbered_lines(lineitem: DataFrame) -> DataFrame:
+    """Order lines with their position in the order (``seq``)."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_orderkey").orderBy(*_LINE_ORDER)
+    return lineitem.withColumn("seq", F.row_number().over(w))
+
+
+CTE["li"] = f"""
+li AS (SELECT *, (row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(_LINE_ORDER)}))::INTEGER AS seq FROM lineitem)"""

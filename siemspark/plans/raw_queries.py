@@ -61,12 +61,12 @@ def syslog_intake(t):
 
 
 @query("journald_entries", """
-    WITH x AS (SELECT event_id, event_id % 4 = 0 AS has_cursor, event_id % 7 = 0 AS binary, event_id % 9 = 0 AS bad, event_type FROM events)
+    WITH x AS (SELECT event_id, event_id % 4 = 0 AS has_cursor, event_id % 7 = 0 AS is_bin, event_id % 9 = 0 AS bad, event_type FROM events)
     SELECT event_id, CASE WHEN has_cursor THEN 's=' || event_id END AS cursor, CASE WHEN bad THEN 'invalid field name' END AS error,
       CASE WHEN NOT bad THEN '{"journald_version":1,"cursor":' || CASE WHEN has_cursor THEN '"s=' || event_id || '"' ELSE 'null' END || ',"fields":['
         || CASE WHEN has_cursor THEN '{"name":"__CURSOR","encoding":"utf8","value":"s=' || event_id || '"},' ELSE '' END
         || '{"name":"MESSAGE","encoding":"utf8","value":"a=b \\u003c' || event_type || '\\u003e \\u0026 c"}'
-        || CASE WHEN binary THEN ',{"name":"DATA","encoding":"base64","value":"/wB4"}' ELSE '' END || ']}' END AS canonical
+        || CASE WHEN is_bin THEN ',{"name":"DATA","encoding":"base64","value":"/wB4"}' ELSE '' END || ']}' END AS canonical
     FROM x""")
 def journald_entries(t):
     """Export blocks built from every event and read back as canonical JSON."""
@@ -126,8 +126,8 @@ def raw_persisted(t):
     SELECT event_id, CASE WHEN n % 17 = 0 THEN 'storage_uri' WHEN n % 19 = 0 THEN 'persisted_at'
       WHEN n % 23 = 0 THEN 'raw_hash' WHEN n % 73 = 0 THEN 'length' END AS violation FROM loc"""))
 def persisted_verify(t):
-    n = F.col("n")
-    rows = R.raw_persisted(raw(t).withColumn("message_id", F.lit("m")), objects(t)).withColumns({
+    n = F.col("causation_id").cast("long")
+    rows = R.raw_persisted(raw(t).withColumn("message_id", F.col("n").cast("string")), objects(t)).withColumns({
         "storage_uri": F.when(n % 17 == 0, "").otherwise(F.col("storage_uri")),
         "persisted_at_nanos": F.when(n % 19 == 0, -1).otherwise(F.col("persisted_at_nanos")),
         "raw_hash": F.when(n % 23 == 0, F.upper("raw_hash")).otherwise(F.col("raw_hash"))})

@@ -31,7 +31,7 @@ def journal_entries(df: DataFrame, entry: str, version_key: str = "journald_vers
     Bytes are viewed as Latin-1 while splitting, so values that are not UTF-8
     keep their exact bytes and are written as base64.
     """
-    lines = F.filter(F.split(F.decode(F.col(entry), F.lit("ISO-8859-1")), "\n"), lambda x: x != "")
+    lines = F.filter(F.split(F.decode(F.col(entry), "ISO-8859-1"), "\n"), lambda x: x != "")
 
     def parts(line):
         at = F.instr(line, "=")
