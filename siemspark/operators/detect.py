@@ -339,3 +339,44 @@ def detect(events: DataFrame, pack: RulePack, mode: str, tenant_id: str | None =
     findings = sequence_findings(per_event, pack.sequence, mode, "normalized_event_id")
     signals = per_event.select(*bursts.columns).unionByName(bursts)
     return DetectionRun(loaded, signals, findings)
+
+
+# --- further rule kinds ----------------------------------------------------
+
+def aggregation_rule(events: DataFrame, group_by: Sequence[str], window_ms: int, minimum: int,
+                     time_ms: str = "event_time_ms") -> DataFrame:
+    """Groups with at least ``minimum`` events in a tumbling window."""
+    start = floor_div(time_ms, window_ms) * window_ms
+    return (events.groupBy(*group_by, start.alias("window_start_ms"))
+            .agg(F.count(F.lit(1)).alias("events"), F.min(time_ms).alias("first_ms"),
+                 F.max(time_ms).alias("last_ms"))
+            .where(F.col("events") >= minimum))
+
+
+def absence_rule(triggers: DataFrame, expected: DataFrame, keys: Sequence[str], window_ms: int,
+                 time_ms: str = "event_time_ms", id_col: str = "normalized_event_id") -> DataFrame:
+    """Trigger events not followed by an expected event within ``window_ms``.
+
+    Both sides are merged and cut into time buckets; an expected event shortly
+    after a bucket start is also sent to the previous bucket.  The next
+    expected time is then a running minimum over a descending sort, so no
+    trigger is paired with every expected event of its group.
+    """
+    span = BUCKET_WINDOWS * window_ms
+    home = floor_div(time_ms, span)
+
+    def side(df, flag):
+        return df.select(*keys, F.col(id_col).alias("_id"), F.col(time_ms).alias("_t"),
+                         F.lit(flag).alias("_trigger"), home.alias("_home"))
+
+    rows = side(triggers, True).unionByName(side(expected, False))
+    back = ~F.col("_trigger") & (F.col("_t") - F.col("_home") * span <= window_ms)
+    rows = rows.withColumn("_bucket", F.explode(
+        F.when(back, F.array("_home", F.col("_home") - 1)).otherwise(F.array("_home"))))
+    later = (Window.partitionBy(*keys, "_bucket").orderBy(F.desc("_t"), F.desc("_trigger"))
+             .rowsBetween(Window.unboundedPreceding, -1))
+    following = F.min(F.when(~F.col("_trigger"), F.col("_t"))).over(later)
+    return (rows.withColumn("_next", following)
+            .where(F.col("_trigger") & (F.col("_home") == F.col("_bucket"))
+                   & (F.col("_next").isNull() | (F.col("_next") - F.col("_t") > window_ms)))
+            .select(*keys, F.col("_id").alias(id_col), F.col("_t").alias(time_ms)))

@@ -1,6 +1,6 @@
 """Imports every query module so that all queries are registered."""
 
-from siemspark.plans import (detect_queries, invest_queries, normalize_queries, parse_queries, raw_queries,  # noqa: F401
-                             reliability_queries,
-                             search_queries)
+from siemspark.plans import (contract_queries, detect_queries, invest_queries,  # noqa: F401
+                             normalize_queries, parse_queries, raw_queries, reliability_queries,
+                             search_queries, stream_queries)
 from siemspark.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -73,7 +73,7 @@ fe AS (SELECT tenant_id, finding_id, 'cust-' || {_N.format('c')} AS entity_id, '
 inc AS (SELECT tenant_id, incident_id, case_id, c, min(created_ms) AS created_ms FROM fnd GROUP BY ALL),
 con AS (SELECT 'tenant-' || (o_custkey % 3) AS tenant_id, 'cust-' || {_N.format('o_custkey')} AS entity_id, 'con-' || {_N.format('l_orderkey')} || '-' || lpad(seq::VARCHAR, 4, '0') AS contribution_id,
   l_extendedprice::DECIMAL(18,4) AS amount, epoch(l_shipdate)::BIGINT * 1000 AS created_ms,
-  CASE WHEN l_returnflag <> 'N' THEN epoch(l_shipdate)::BIGINT * 1000 + 86400000 * 400 END AS expires_ms FROM li JOIN orders ON l_orderkey = o_orderkey)"""
+  CASE WHEN l_returnflag <> 'N' THEN epoch(l_shipdate)::BIGINT * 1000 + 34560000000 END AS expires_ms FROM li JOIN orders ON l_orderkey = o_orderkey)"""
 
 
 def contributions(t):
