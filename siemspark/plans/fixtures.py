@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siemspark.functions.scalars import epoch_micros, floor_div
+from siemspark.session import spread_small
 
 NORMALIZED_PREFIX = "018f47a2-4b00-7a00-8000-"
 RAW_PREFIX = "018f47a2-4b00-7a00-8001-"
@@ -38,7 +39,7 @@ class Tables:
 
     @cached_property
     def raw_lines(self) -> DataFrame:
-        return raw_lines(self.read("events"))
+        return raw_lines(spread_small(self.read("events")))
 
     @cached_property
     def delivered_events(self) -> DataFrame:

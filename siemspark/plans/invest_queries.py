@@ -248,7 +248,7 @@ wc AS (SELECT o_orderkey AS k, 0 AS pos, 1 AS version, 'OPEN' AS status, 'New' A
       p.named >= 1 AND p.named = s.version AND coalesce(trim(p.new_title) <> '', true) AND coalesce(p.new_disposition <> 'NOPE', true)
       AND (coalesce(p.case_target, s.status) = s.status OR (s.status || '>' || p.case_target) IN ({", ".join("'" + a + ">" + b + "'" for a, bs in I.CASE_TRANSITIONS.items() for b in bs)}))
       AND (NOT (coalesce(p.case_target, s.status) = 'CLOSED' AND s.status <> 'CLOSED') OR (coalesce(p.new_disposition, s.disposition) <> 'UNDETERMINED' AND trim(coalesce(p.new_closure, s.closure)) <> ''))
-      AND (NOT (s.status = 'CLOSED' AND p.case_target = 'INVESTIGATING') OR trim(p.reopen) <> '') AS ok FROM pat p WHERE p.k = s.k AND p.seq = s.pos + 1) p ON true)"""
+      AND (NOT (s.status = 'CLOSED' AND coalesce(p.case_target, s.status) = 'INVESTIGATING') OR trim(p.reopen) <> '') AS ok FROM pat p WHERE p.k = s.k AND p.seq = s.pos + 1) p ON true)"""
 
 
 def _recursive(*names, body):
