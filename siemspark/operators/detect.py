@@ -243,15 +243,15 @@ def event_signals(events: DataFrame, rules: Sequence[EventRule], mode: str, eval
     """One signal per (event, matching rule), all rules in a single pass."""
     from siemspark.functions.predicates import rule_predicate
 
-    hits = F.filter(F.array(*[
+    hits = F.array(*[
         F.when(rule_predicate(r.predicate), F.struct(
             F.lit(r.rule_id).alias("rule_id"), F.lit(r.version).alias("rule_version"),
             F.lit(r.severity).alias("severity"), F.lit(r.summary).alias("summary"),
             F.lit(r.relation).alias("relation")))
-        for r in rules]), lambda x: x.isNotNull())
+        for r in rules])
     any_rule = reduce(lambda a, b: a | b, [rule_predicate(r.predicate) for r in rules])
     time = F.when(F.col("event_time_present") == 1, millis("event_time_seconds", "event_time_nanos"))
-    matched = (events.where(any_rule).withColumn("_r", F.explode(hits))
+    matched = (events.where(any_rule).withColumn("_r", F.explode(hits)).where(F.col("_r").isNotNull())
                .select("tenant_id", "normalized_event_id", *extra, "_r.*",
                        time.alias("first_ms"), time.alias("last_ms")))
     one = F.array(F.struct(F.lit("NORMALIZED_EVENT").alias("input_type"),

@@ -45,18 +45,41 @@ def stored_or_new(new: DataFrame, stored: DataFrame, key: str) -> DataFrame:
             .select("_r.*"))
 
 
+# Partitions named one by one in the filter on the stored table.
+MAX_LISTED_PARTITIONS = 5_000
+
+
+def touched(stored: DataFrame, rows: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """The partitions of ``stored`` that ``rows`` fall into, or all of it.
+
+    Only partition values are listed on the driver, and only while there are
+    few; with more, nothing is filtered and the result is the same.
+    """
+    values = rows.select(*partition_by).distinct().limit(MAX_LISTED_PARTITIONS + 1).collect()
+    if len(values) > MAX_LISTED_PARTITIONS:
+        return stored
+    for c in partition_by:
+        stored = stored.where(F.col(c).isin([v for v in {r[c] for r in values} if v is not None])
+                              | F.col(c).isNull())
+    return stored
+
+
 def append_missing(new: DataFrame, path: str, key: str, partition_by: Sequence[str] = (),
                    sort_by: Sequence[str] = ()) -> DataFrame:
     """Appends the rows whose key is not stored yet and returns the table.
 
-    With ``partition_by`` rows of one partition are spread over tasks by the
-    key, so a tenant with a third of the data does not end in one task.
+    With ``partition_by`` a key must determine its partition: then only the
+    partitions the new rows fall into are searched for their keys.  Rows of
+    one partition are spread over tasks by the key, so a tenant with a third
+    of the data does not end in one task.
     """
     spark = new.sparkSession
+    # Written once, so that a costly input is not computed again for every use.
+    staged = cut_lineage(one_per_key(new, key), "append")
     stored = read_table(spark, path, new.schema)
-    rows = missing_rows(new, stored, key)
-    # The list of rows is fixed before the table they were compared with grows.
-    rows = cut_lineage(rows, "append")
+    if partition_by:
+        stored = touched(stored, staged, partition_by)
+    rows = staged.join(stored.select(key), key, "left_anti").select(*new.columns)
     if partition_by:
         salt = F.pmod(F.xxhash64(key), F.lit(16))
         rows = rows.withColumn("_salt", salt).repartition(*partition_by, "_salt")

@@ -62,6 +62,7 @@ def test_range_arguments(spark, data_dir):
 
 def test_filters_reach_the_scan(spark, data_dir, tmp_path):
     path = str(tmp_path / "normalized")
+    spark.conf.set("spark.sql.maxMetadataStringLength", 5000)
     Tables(spark, data_dir).normalized_events.write.partitionBy("tenant_id", "execution_mode", "event_date").parquet(path)
     rows = S.search(spark.read.parquet(path), "tenant-1", (1_704_844_800, 0), (1_704_931_200, 0),
                     {"field": "user.name", "op": "==", "value": "user7"})
