@@ -210,7 +210,7 @@ def replay_set(t):
                       F.when(k % 7 == 0, "raw.other").otherwise("raw.persisted").alias("subject"),
                       payload.alias("payload"),
                       F.when(k % 2 == 0, F.concat(F.lit("req-"), text)).otherwise("").alias("request_id"))
-    reserved = o.where(k >= 0).select(
+    reserved = o.select(
         k.alias("source_sequence"), F.concat(F.lit("root-"), text).alias("replay_root"),
         (1 + k % 3).cast("int").alias("attempt"), F.concat(F.lit("dlq-"), text).alias("source_dlq_record_id"),
         F.when(k % 11 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.sha2(payload, 256)).alias("source_payload_sha256"),

@@ -135,9 +135,9 @@ def list_page(t):
     WHERE tenant_id = 'tenant-' || (SELECT user_id % 3 FROM events WHERE event_id = 77)
       AND normalized_event_id = '018f47a2-4b00-7a00-8000-00000000004d'"""))
 def event_lookup(t):
-    ids = t.normalized_events.where(F.col("tenant_id").isin("tenant-0", "tenant-1", "tenant-2"))
-    hit = ids.where(F.col("normalized_event_id") == "018f47a2-4b00-7a00-8000-00000000004d").limit(1)
-    return hit.select("normalized_event_id", "user_name", "status")
+    """One id, looked up under each tenant: only its own tenant finds it."""
+    hits = [S.lookup(t.normalized_events, f"tenant-{i}", "018f47a2-4b00-7a00-8000-00000000004d") for i in range(3)]
+    return hits[0].union(hits[1]).union(hits[2]).select("normalized_event_id", "user_name", "status")
 
 
 @query("field_state", with_ctes("ne", body="""
