@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siemspark.functions.scalars import millis
 
@@ -36,18 +37,33 @@ def batch_scan(events: DataFrame, tenant_id: str | None, mode: str,
     return out
 
 
+def _orderable(data_type: T.DataType) -> bool:
+    if isinstance(data_type, T.StructType):
+        return all(_orderable(f.dataType) for f in data_type.fields)
+    if isinstance(data_type, T.ArrayType):
+        return _orderable(data_type.elementType)
+    return not isinstance(data_type, (T.MapType, T.VariantType))
+
+
 def _collapse(df: DataFrame, id_col: str) -> DataFrame:
     """One row per id plus ``_conflict``.
 
     The aggregate combines map-side, so a third of all rows being copies of
-    one event costs one row per map task, not one huge group.
+    one event costs one row per map task, not one huge group.  Copies are
+    compared as whole rows; only where a column has no order (maps) by hash.
     """
     rest = [c for c in df.columns if c != id_col]
-    content = F.sha2(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}), 256)
-    grouped = (df.select(id_col, F.struct(*rest).alias("_row"), content.alias("_h"))
-               .groupBy(id_col)
-               .agg(F.min_by("_row", "_h").alias("_row"), F.count(F.lit(1)).alias("_copies"),
-                    (F.min("_h") != F.max("_h")).alias("_conflict")))
+    row = F.struct(*rest)
+    copies = F.count(F.lit(1)).alias("_copies")
+    if all(_orderable(df.schema[c].dataType) for c in rest):
+        grouped = (df.select(id_col, row.alias("_row")).groupBy(id_col)
+                   .agg(F.min("_row").alias("_row"), F.max("_row").alias("_last"), copies)
+                   .withColumn("_conflict", F.col("_row") != F.col("_last")))
+    else:
+        content = F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256)
+        grouped = (df.select(id_col, row.alias("_row"), content.alias("_h")).groupBy(id_col)
+                   .agg(F.min_by("_row", "_h").alias("_row"), copies,
+                        (F.min("_h") != F.max("_h")).alias("_conflict")))
     return grouped.select(id_col, *[F.col("_row")[c].alias(c) for c in rest],
                           "_copies", "_conflict").select(*df.columns, "_copies", "_conflict")
 

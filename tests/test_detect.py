@@ -162,3 +162,13 @@ def test_threshold_plan_limits_before_the_shuffle(spark):
                                           "event_time_ms long, normalized_event_id string")
     plan = D.threshold_matches(df, ["user_name"], 3, 10)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_copies_with_maps_and_nulls(spark):
+    rows = [("a", None, {"k": "v"}), ("a", None, {"k": "v"}), ("b", None, {"k": "v"}), ("b", None, {"k": "w"}), ("c", 1, None)]
+    df = spark.createDataFrame(rows, "id string, n int, m map<string,string>")
+    assert [r.id for r in conflicting_ids(df, "id").collect()] == ["b"]
+    plain = df.select("id", "n")
+    assert conflicting_ids(plain, "id").count() == 0
+    assert dedup_events(plain, "id").count() == 3
+    assert [r.id for r in conflicting_ids(plain.union(spark.createDataFrame([("a", 2)], "id string, n int")), "id").collect()] == ["a"]
