@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siemspark.llm import bpe
+from siemspark.llm import bpe, minhash
 from siemspark.llm.common import table
 from siemspark.llm.registry import query
 
@@ -14,3 +14,9 @@ def op7(spark, sf_dir):
 
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                           public_tokenizers.PATTERN)
+
+
+@query("op9_near_duplicates")
+def op9(spark, sf_dir):
+    """Components of documents whose 5-word shingle sets are similar to at least 85 percent."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=5)
