@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from siemspark.llm import bpe, minhash
+from pyspark.sql import functions as F
+
+from siemspark.llm import bpe, minhash, substring
 from siemspark.llm.common import table
 from siemspark.llm.registry import query
 
@@ -20,3 +22,10 @@ def op7(spark, sf_dir):
 def op9(spark, sf_dir):
     """Components of documents whose 5-word shingle sets are similar to at least 85 percent."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=5)
+
+
+@query("op6_substring_dedup")
+def op6(spark, sf_dir):
+    """Words left after removing windows of 13 words that an earlier document holds."""
+    out = substring.remove_repeats(table(spark, sf_dir, "documents"), width=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
