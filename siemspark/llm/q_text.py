@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siemspark.llm import bpe, minhash, substring
+from siemspark.llm import bpe, minhash, packing, substring
 from siemspark.llm.common import table
 from siemspark.llm.registry import query
 
@@ -29,3 +29,11 @@ def op6(spark, sf_dir):
     """Words left after removing windows of 13 words that an earlier document holds."""
     out = substring.remove_repeats(table(spark, sf_dir, "documents"), width=13)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op2_pack_sequences")
+def op2(spark, sf_dir):
+    """All documents as pieces of token sequences of at most 4096 ids."""
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
