@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siemspark.llm import bpe, minhash, packing, substring
+from siemspark.llm import bpe, minhash, packing, resample, rules, substring
 from siemspark.llm.common import table
 from siemspark.llm.registry import query
 
@@ -37,3 +37,16 @@ def op2(spark, sf_dir):
     import public_tokenizers
 
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op4_importance_resampling")
+def op4(spark, sf_dir):
+    """Log weight of every document and whether Gumbel top-k draws it."""
+    return resample.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_quality_rules")
+def op5(spark, sf_dir):
+    """Statistics of every document and the verdict of base rule and boosted trees."""
+    docs = table(spark, sf_dir, "documents")
+    return rules.judge(docs, rules.train(docs, table(spark, sf_dir, "labels")))
