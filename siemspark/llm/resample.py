@@ -3,9 +3,9 @@
 Texts are bags of hashed words and word pairs.  Three generative models come from
 labelled documents: the target (good, not toxic), low quality, and toxic.  Raw text
 is their mixture in the labelled shares.  A bucket's probability in one of the other
-groups is the target's times a ratio; the ratio is 1 unless the counts differ by
-more than a margin, so chance and mere differences of language do not add up over a
-long text.  A document's log weight is the log ratio of its probability in the
+groups is the target's times a ratio.  Buckets whose counts do not differ by more
+than a margin share one ratio, the one that makes probabilities sum to 1, so chance and
+mere differences of language do not add up over a long text.  A document's log weight is the log ratio of its probability in the
 target model to that in raw text, summed over its n-grams.
 
 The number of documents to draw is the expected number of target documents, and
@@ -34,7 +34,7 @@ from siemspark.llm.common import chunks, id_text, mix64, stage, word_hashes
 from siemspark.llm.labels import SAMPLE_ROWS, labelled
 
 BITS = 20
-SHRINK = 4.0
+SHRINK = 2.0
 MARGIN = 1.0
 CHUNK = 4_000_000
 GROUPS = ("target", "low", "toxic")
@@ -108,10 +108,15 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> Weigh
     if not size[0] or not total["n0"]:
         return Weights(ratio, np.full(len(GROUPS), -np.inf))
     for c in (1, 2):
+        if not total[f"n{c}"]:
+            continue
         expected = F.col("n0") * (total[f"n{c}"] / total["n0"])
         lift = F.log((F.col(f"n{c}") + SHRINK) / (expected + SHRINK))
         # Only buckets that differ clearly, of which a bounded sample has few.
-        found = counts.select("bucket", lift.alias("r")).where(F.abs("r") >= MARGIN).toArrow()
+        found = (counts.select("bucket", "n0", F.col(f"n{c}").alias("n"), lift.alias("r"))
+                 .where(F.abs("r") >= MARGIN).toArrow())
+        rest = [1 - found[n].to_numpy().sum() / all_ for n, all_ in (("n", total[f"n{c}"]), ("n0", total["n0"]))]
+        ratio[c - 1] = np.log(max(rest[0], 1e-9) / max(rest[1], 1e-9))
         ratio[c - 1, found["bucket"].to_numpy()] = found["r"].to_numpy()
     with np.errstate(divide="ignore"):
         return Weights(ratio, np.log(size / size.sum()))
@@ -150,7 +155,7 @@ def _score(batches, model: Weights, temperature: float, seed: int):
         yield ids, weight, target, _keys(ids, weight, temperature, seed)
 
 
-def resample(docs: DataFrame, model: Weights, temperature: float = 0.25, seed: int = 1) -> tuple[DataFrame, int | None]:
+def resample(docs: DataFrame, model: Weights, temperature: float = 0.1, seed: int = 1) -> tuple[DataFrame, int | None]:
     """(doc_id, log_weight, target, key) of every document, and the smallest key that is drawn."""
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -163,14 +168,14 @@ def resample(docs: DataFrame, model: Weights, temperature: float = 0.25, seed: i
     return scored, kth_largest(scored, k)
 
 
-def classify(docs: DataFrame, labels: DataFrame, temperature: float = 0.25, seed: int = 1,
+def classify(docs: DataFrame, labels: DataFrame, temperature: float = 0.1, seed: int = 1,
              limit: int = SAMPLE_ROWS) -> DataFrame:
     """(doc_id, log_weight, target, key, kept) of every document."""
     scored, least = resample(docs, train(docs, labels, limit), temperature, seed)
     return scored.withColumn("kept", F.col("key") >= F.lit(least) if least is not None else F.lit(False))
 
 
-def keep(docs: DataFrame, labels: DataFrame, temperature: float = 0.25, seed: int = 1,
+def keep(docs: DataFrame, labels: DataFrame, temperature: float = 0.1, seed: int = 1,
          limit: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``docs`` that are drawn, with all their columns."""
     model = train(docs, labels, limit)
