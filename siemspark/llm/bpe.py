@@ -18,6 +18,7 @@ import functools
 import hashlib
 import heapq
 import random
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,8 +88,8 @@ class PerfectHash:
     def _parts(self, key: bytes) -> tuple[int, int, int]:
         import xxhash
 
-        h = xxhash.xxh3_128_intdigest(key)
-        return (h >> 96) % self.groups, (h & 0xFFFFFFFF) % self.n, (h >> 32 & 0xFFFFFFFF) % self.n
+        h = xxhash.xxh3_64_intdigest(key)
+        return h % self.groups, (h >> 16) % self.n, (h >> 37) % self.n
 
     def get(self, key: bytes) -> int:
         """The id of a key, or -1."""
@@ -101,7 +102,7 @@ class PerfectHash:
 class Codec:
     """Encodes and decodes single texts with one vocabulary and pattern."""
 
-    def __init__(self, entries: list[bytes], index: PerfectHash, pattern: str, memo: int = 150_000):
+    def __init__(self, entries: list[bytes], index: PerfectHash, pattern: str, memo: int = 400_000):
         import regex
 
         self.entries, self.index = entries, index
@@ -118,7 +119,7 @@ class Codec:
             raw = part.encode("utf-8", "surrogatepass")
             at = self.index.get(raw)
             ids.extend((at,) if at >= 0 else self.merge(raw))
-        return np.array(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _pair(self, left: int, right: int) -> int:
         key = left << 32 | right
@@ -134,9 +135,11 @@ class Codec:
         ids = [self.bytes[b] for b in raw]
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair, heap = self._pair, []
+        known, pair, heap = self.pairs.get, self._pair, []
         for i in range(n - 1):
-            at = pair(ids[i], ids[i + 1])
+            at = known(ids[i] << 32 | ids[i + 1])
+            if at is None:
+                at = pair(ids[i], ids[i + 1])
             if at >= 0:
                 heap.append((at, i, ids[i], ids[i + 1]))
         heapq.heapify(heap)
@@ -149,12 +152,16 @@ class Codec:
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                new = pair(at, ids[k])
+                new = known(at << 32 | ids[k])
+                if new is None:
+                    new = pair(at, ids[k])
                 if new >= 0:
                     heapq.heappush(heap, (new, i, at, ids[k]))
             h = before[i]
             if h >= 0:
-                new = pair(ids[h], at)
+                new = known(ids[h] << 32 | at)
+                if new is None:
+                    new = pair(ids[h], at)
                 if new >= 0:
                     heapq.heappush(heap, (new, h, ids[h], at))
         return [x for x in ids if x >= 0]

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from siemspark.llm.common import chunks, id_text, mix64, rolling, stage, word_hashes
 from siemspark.llm.components import components
 
-COORDINATES = 256
+COORDINATES = 1024
 BANDS = 42
 ROWS = 6  # coordinates per band
 CHUNK = 4_000_000  # characters worked on at once
@@ -52,7 +52,7 @@ def shingles(text: str | None, width: int) -> np.ndarray:
 
 
 def sketches(sets: list[np.ndarray], t: int = COORDINATES) -> np.ndarray:
-    """One row of ``t`` 16-bit coordinates per non-empty set."""
+    """One row of ``t`` coordinates, 8 bits of each, per non-empty set."""
     out = np.full((len(sets), t), _FULL)
     flat = out.reshape(-1)
     values = np.concatenate(sets) if sets else np.empty(0, np.uint64)
@@ -67,7 +67,7 @@ def sketches(sets: list[np.ndarray], t: int = COORDINATES) -> np.ndarray:
         place = h & np.uint64(t - 1) if turn < t else np.full(len(h), turn - t, np.uint64)
         np.minimum.at(flat, owner * t + place.astype(np.int64),
                       np.uint64(turn) << np.uint64(32) | h >> np.uint64(32))
-    return mix64(out).astype(np.uint16)
+    return mix64(out).astype(np.uint8)
 
 
 def band_keys(rows: np.ndarray) -> np.ndarray:
@@ -97,7 +97,7 @@ def _signatures(width: int):
 
 def _bands(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
-        rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, COORDINATES)
+        rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, COORDINATES)
         keys = band_keys(rows).astype(np.int64).reshape(-1)
         yield pa.RecordBatch.from_arrays(
             [pa.array(keys), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], names=["key", "rep"])
@@ -129,12 +129,13 @@ def _verify(percent: int):
 def _across(percent: int):
     """Pairs of one block pair that are not joined yet and may be links."""
     j = percent / 100
+    # A little below: equal low bits of different coordinates only add to the count.
     least = COORDINATES * j - 6 * np.sqrt(COORDINATES * j * (1 - j))
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         rep, comp, size, block = (group[c].to_numpy() for c in ("rep", "component", "n_shingles", "block"))
-        marks = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint16).reshape(-1, COORDINATES)
+        marks = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(-1, COORDINATES)
         keys = band_keys(marks)
         here = int(np.flatnonzero(keys[0].astype(np.int64) == group["key"][0].as_py())[0])
         lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
@@ -154,14 +155,9 @@ def _across(percent: int):
     return run
 
 
-def _links(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     pairs = stage(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text")
-    # A repeated id may come with several texts; the same one is taken wherever it is read.
-    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
-    sets = stage(texts.mapInArrow(_sets(width), "id long, set binary"), "sets")
     left, right = (sets.select(F.col("id").alias(k), F.col("set").alias(f"set_{k}")) for k in ("a", "b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
     return stage(both.mapInArrow(_verify(percent), "a long, b long"), "links")
@@ -196,7 +192,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
                                         F.col("most").alias(f"most_{key}")), key)
     stars = stars.where((100 * F.col("most_a") >= percent * F.col("least_b"))
                         & (100 * F.col("most_b") >= percent * F.col("least_a"))).select("a", "b")
-    links = _links(stars, docs, percent, width).union(same)
+    # The full sets of whatever met another document, read once for both rounds.
+    ids = met.select(F.col("rep").alias("doc_id")).distinct()
+    texts = docs.join(ids.hint("merge"), "doc_id", "left_semi").select("doc_id", "text")
+    # A repeated id may come with several texts; the smallest stands for it.
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
+    sets = stage(texts.mapInArrow(_sets(width), "id long, set binary"), "sets")
+    links = _links(stars, sets, percent).union(same)
     labels = stage(components(links), "labels")
 
     placed = met.join(labels, met["rep"] == labels["node"], "left").select(
@@ -211,7 +213,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
              .select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
                      "rep", "component", "n_shingles", "sketch", "block"))
     more = dealt.groupBy("key", "lo", "hi").applyInArrow(_across(percent), "a long, b long").distinct()
-    late = _links(more, docs, percent, width)
+    late = _links(more, sets, percent)
     labels = stage(components(links.union(late)), "labels")
 
     named_by = classes.join(labels, classes["rep"] == labels["node"], "left").select(
