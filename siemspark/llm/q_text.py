@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siemspark.llm import bpe, minhash, packing, resample, rules, substring
+from siemspark.llm import bpe, katz, minhash, packing, resample, rules, substring
 from siemspark.llm.common import table
 from siemspark.llm.registry import query
 
@@ -50,3 +50,10 @@ def op5(spark, sf_dir):
     """Statistics of every document and the verdict of base rule and boosted trees."""
     docs = table(spark, sf_dir, "documents")
     return rules.judge(docs, rules.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op1_katz_scores")
+def op1(spark, sf_dir):
+    """Scores of all documents by a Katz model of the nine tenths that are not held out."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    return katz.score(table(spark, sf_dir, "documents"), held_out, order=2)
