@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siemspark.llm import bpe, katz, minhash, packing, resample, rules, substring
+from siemspark.llm import bpe, katz, minhash, packing, resample, rules, substring, tokencount
 from siemspark.llm.common import table
 from siemspark.llm.registry import query
 
@@ -57,3 +57,12 @@ def op1(spark, sf_dir):
     """Scores of all documents by a Katz model of the nine tenths that are not held out."""
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
     return katz.score(table(spark, sf_dir, "documents"), held_out, order=2)
+
+
+@query("op8_token_counts")
+def op8(spark, sf_dir):
+    """Tokens of every whole text under a unigram vocabulary."""
+    import public_tokenizers
+
+    return tokencount.token_counts(table(spark, sf_dir, "documents"),
+                                   public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
