@@ -24,7 +24,11 @@ def chunk_count(size: int) -> int:
 
 def with_chunk(docs: DataFrame, n: int) -> DataFrame:
     """Adds the chunk of a document, the same in every pass over the same rows."""
-    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    return docs.withColumn("chunk", chunk_of(n))
+
+
+def chunk_of(n: int):
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
 
 
 def slices(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from siemspark.llm.common import (bucket_count, fixed_bytes, from_fixed_bytes, id_text, mix64, rolling, stage,
                                   text_bytes, word_hashes, words)
-from siemspark.llm.exchange import (ANSWER, answer_rows, chunk_count, in_order, key_bytes, pack_rows, slices,
+from siemspark.llm.exchange import (ANSWER, answer_rows, chunk_count, chunk_of, in_order, key_bytes, pack_rows, slices,
                                     starts, with_chunk)
 
 KEY_BITS = 40  # of a block below its bucket; a false hit only costs a lookup
@@ -142,8 +142,6 @@ def _hits(chunk: _Chunk, answers: pa.Table, buckets: int) -> np.ndarray:
 
 def _ask_windows(width: int, buckets: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return pack_rows(0, np.empty(0, np.uint64), buckets, {n: bytes for n in ("high", "low", "least")})
         chunk = _Chunk(_sorted(table), width)
         high, low, least, *_ = chunk.windows(_hits(chunk, answers, buckets))
         return pack_rows(table["chunk"][0].as_py(), high, buckets, {
@@ -169,48 +167,45 @@ def _answer_windows(table: pa.Table) -> pa.Table:
                        [fixed_bytes(out[a:b].view(np.uint64), 8) for a, b in zip(at[:-1], at[1:], strict=True)])
 
 
+def _kept(table: pa.Table, answers: pa.Table, width: int, buckets: int):
+    """Per document of a chunk: words, words removed, stretches removed, and the text that is left."""
+    chunk = _Chunk(table, width)
+    kind = answers["kind"].to_numpy()
+    hit = _hits(chunk, answers.filter(pa.array(kind == 0)), buckets)
+    _, _, _, group, owner, begin = chunk.windows(hit)
+    gone: dict[int, np.ndarray] = {}
+    if len(group):
+        best = [from_fixed_bytes(b, 8) for b in in_order(answers.filter(pa.array(kind == 1)))]
+        smallest = np.concatenate(best).view(np.int64)[group]
+        ids = np.array([x if x is not None else 0 for x in chunk.ids], np.int64)[owner]
+        covered = smallest < ids
+        owner, begin = owner[covered], begin[covered]
+        order = np.lexsort((begin, owner))
+        owner, begin = owner[order], begin[order]
+        which, first = np.unique(owner, return_index=True)
+        gone = dict(zip(which.tolist(), np.split(begin, first[1:]), strict=False))
+    for d, text in enumerate(chunk.texts):
+        tokens = words(text)
+        n = len(tokens)
+        if d not in gone:
+            yield n, 0, [], b" ".join(tokens)
+            continue
+        step = np.zeros(n + 1, np.int64)
+        np.add.at(step, gone[d], 1)
+        np.add.at(step, gone[d] + width, -1)
+        stay = np.cumsum(step)[:n] == 0
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], stay, [True]])))
+        yield n, int(n - stay.sum()), edge.tolist(), b" ".join(compress(tokens, stay.tolist()))
+
+
+KEPT = "doc_id long, n_words long, n_removed long, repeats array<long>, kept string"
+
+
 def _remove(width: int, buckets: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in (
-                ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()),
-                ("repeats", pa.list_(pa.int64())), ("kept", pa.string()))})
-        chunk = _Chunk(_sorted(table), width)
-        kind = answers["kind"].to_numpy()
-        answers = answers.select(["bucket", "answer"])
-        hit = _hits(chunk, answers.filter(pa.array(kind == 0)), buckets)
-        _, _, _, group, owner, begin = chunk.windows(hit)
-        best = [from_fixed_bytes(b, 8) for b in in_order(answers.filter(pa.array(kind == 1)))]
-        gone: dict[int, list] = {}
-        if len(group):
-            smallest = np.concatenate(best).view(np.int64)[group]
-            ids = np.array([x if x is not None else 0 for x in chunk.ids], np.int64)[owner]
-            covered = smallest < ids
-            owner, begin = owner[covered], begin[covered]
-            order = np.lexsort((begin, owner))
-            owner, begin = owner[order], begin[order]
-            cuts = np.flatnonzero(np.diff(owner)) + 1
-            for part, d in zip(np.split(begin, cuts), owner[np.append(0, cuts)] if len(owner) else [], strict=False):
-                gone[int(d)] = part
-        total, removed, spans, kept = [], [], [], []
-        for d, text in enumerate(chunk.texts):
-            tokens = words(text)
-            n = len(tokens)
-            total.append(n)
-            if d not in gone:
-                removed.append(0)
-                spans.append([])
-                kept.append(b" ".join(tokens))
-                continue
-            step = np.zeros(n + 1, np.int64)
-            np.add.at(step, gone[d], 1)
-            np.add.at(step, gone[d] + width, -1)
-            stay = np.cumsum(step)[:n] == 0
-            edge = np.flatnonzero(np.diff(np.concatenate([[True], stay, [True]])))
-            removed.append(int(n - stay.sum()))
-            spans.append(edge.tolist())
-            kept.append(b" ".join(compress(tokens, stay.tolist())))
-        return pa.table({"doc_id": pa.array(chunk.ids, pa.int64()), "n_words": pa.array(total, pa.int64()),
+        table = _sorted(table)
+        total, removed, spans, kept = zip(*_kept(table, answers, width, buckets), strict=True)
+        return pa.table({"doc_id": table["doc_id"], "n_words": pa.array(total, pa.int64()),
                          "n_removed": pa.array(removed, pa.int64()),
                          "repeats": pa.array(spans, pa.list_(pa.int64())),
                          "kept": pa.array([k.decode("utf-8", "surrogatepass") for k in kept], pa.string())})
@@ -218,23 +213,53 @@ def _remove(width: int, buckets: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
-    """(doc_id, n_words, n_removed, repeats, kept) of every row of ``docs``.
+def _replace(width: int, buckets: int, columns: list[str]):
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        table = _sorted(table)
+        texts, chars = table["text"].to_pylist(), table["n_chars"].to_pylist() if "n_chars" in columns else None
+        for d, (_, n, _, kept) in enumerate(_kept(table, answers, width, buckets)):
+            if n:
+                texts[d] = kept.decode("utf-8", "surrogatepass")
+                if chars:
+                    chars[d] = len(texts[d])
+        table = table.set_column(table.column_names.index("text"), "text", pa.array(texts, pa.string()))
+        if chars:
+            at = table.column_names.index("n_chars")
+            table = table.set_column(at, "n_chars", pa.array(chars, table.schema.field(at).type))
+        return table.select(columns)
 
-    ``repeats`` lists the maximal removed stretches as word offsets, start and end
-    in turn; ``kept`` holds the other words, joined by one space.
-    """
+    return run
+
+
+def _asked(docs: DataFrame, width: int) -> tuple[DataFrame, int, int]:
+    """Answers to all questions of the chunks of ``docs``, and the numbers of chunks and buckets."""
     docs = id_text(docs)
     size = text_bytes(docs)
-    buckets = bucket_count(size // 5)
-    docs = with_chunk(docs, chunk_count(size))
+    buckets, n = bucket_count(size // 5), chunk_count(size)
+    docs = with_chunk(docs, n)
     asked = docs.groupBy("chunk").applyInArrow(
         _ask_blocks(width, buckets), "bucket int, chunk int, keys binary, anchor binary, shared binary")
     blocks = stage(asked.groupBy("bucket").applyInArrow(_answer_blocks(buckets), ANSWER), "block-answers")
     wide = docs.groupBy("chunk").cogroup(blocks.groupBy("chunk")).applyInArrow(
         _ask_windows(width, buckets), "bucket int, chunk int, high binary, low binary, least binary")
     windows = stage(wide.groupBy("bucket").applyInArrow(_answer_windows, ANSWER), "window-answers")
-    both = blocks.selectExpr("*", "0 as kind").union(windows.selectExpr("*", "1 as kind"))
-    return docs.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(
-        _remove(width, buckets),
-        "doc_id long, n_words long, n_removed long, repeats array<long>, kept string")
+    return blocks.selectExpr("*", "0 as kind").union(windows.selectExpr("*", "1 as kind")), n, buckets
+
+
+def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
+    """(doc_id, n_words, n_removed, repeats, kept) of every row of ``docs``.
+
+    ``repeats`` lists the maximal removed stretches as word offsets, start and end
+    in turn; ``kept`` holds the other words, joined by one space.
+    """
+    answers, n, buckets = _asked(docs, width)
+    return with_chunk(id_text(docs), n).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+        _remove(width, buckets), KEPT)
+
+
+def clean(docs: DataFrame, width: int = 13) -> DataFrame:
+    """The rows of ``docs`` with all their columns; texts with repeats keep their other words, others stay as they are."""
+    answers, n, buckets = _asked(docs, width)
+    mine = docs.withColumn("_llm_chunk", chunk_of(n))
+    return mine.groupBy("_llm_chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+        _replace(width, buckets, docs.columns), docs.schema)
