@@ -8,11 +8,11 @@ than a margin share one ratio, the one that makes probabilities sum to 1, so cha
 mere differences of language do not add up over a long text.  A document's log weight is the log ratio of its probability in the
 target model to that in raw text, summed over its n-grams.
 
-The number of documents to draw is the expected number of target documents, and
-Gumbel top-k draws them without replacement: the largest sums of log weight and
-scaled Gumbel noise stay.  Noise comes from the document's id, so a repeated task
-draws the same.  Only the labelled sample is bounded: weights, the expected number
-and the k-th largest key cover all documents.
+As many documents are drawn as are likelier target documents than not, and Gumbel
+top-k draws them without replacement: the largest sums of log weight and scaled Gumbel
+noise stay.  Noise comes from the document's id, so a repeated task draws the same.
+Only the labelled sample is bounded: weights, their number and the k-th largest key
+cover all documents.
 
 Defined results: null and empty texts have log weight 0 and take part like others.
 Rows that tie with the last one drawn stay too, so repeated rows share their fate.
@@ -164,8 +164,7 @@ def resample(docs: DataFrame, model: Weights, temperature: float = 0.1, seed: in
                                              names=["doc_id", "log_weight", "target", "key"])
 
     scored = stage(id_text(docs).mapInArrow(run, "doc_id long, log_weight double, target double, key long"), "weights")
-    k = round(scored.agg(F.sum("target").alias("s")).first()["s"] or 0)
-    return scored, kth_largest(scored, k)
+    return scored, kth_largest(scored, scored.where(F.col("target") >= 0.5).count())
 
 
 def classify(docs: DataFrame, labels: DataFrame, temperature: float = 0.1, seed: int = 1,
