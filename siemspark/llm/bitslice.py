@@ -61,6 +61,8 @@ class Slices:
         flip = np.where(negative, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))[:, None, None]
         for a in range(int(weight.max()).bit_length() if len(weight) else 0):
             rows = np.flatnonzero(weight >> a & 1)
+            if not len(rows):
+                continue
             picked = self.maps[rows] ^ flip[rows]
             for b in range(self.digits):
                 columns.setdefault(a + b, []).append(picked[:, b])
