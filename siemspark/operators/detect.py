@@ -158,6 +158,7 @@ class SequenceRule:
     description: str = "Failed login followed by successful login and privilege escalation"
     version: str = "2"
     relation: str = "SEQUENCE_INPUT"
+    # Title, description and configuration text enter stored findings and their hash.
     configuration: str = "account-compromise-sequence-v1"
 
 
@@ -280,13 +281,30 @@ _FINDING_COLUMNS = ["logical_key", "finding_id", "tenant_id", "finding_type", "s
                     "execution_mode", "configuration_hash", "input_ids", "inputs"]
 
 
+def sequence_input(signals: DataFrame, mode: str, on_conflict: str = "raise") -> DataFrame:
+    """Signals by id, once each; another mode than the run's or a differing copy fails the job."""
+    from siemspark.operators.events import dedup_events
+
+    if "execution_mode" in signals.columns:
+        message = F.concat(F.lit(f"signal of another mode than {mode}: "), F.col("signal_id"))
+        other = F.coalesce(F.col("execution_mode") != mode, F.lit(True))
+        signals = signals.withColumn("signal_id", F.when(other, F.raise_error(message)).otherwise(F.col("signal_id")))
+    return dedup_events(signals, "signal_id", on_conflict)
+
+
 def sequence_findings(signals: DataFrame, rule: SequenceRule, mode: str,
-                      order_id: str = "signal_id") -> DataFrame:
+                      order_id: str = "signal_id", checked: bool = False) -> DataFrame:
     """Findings from EVENT signals that carry the join key column.
 
     ``order_id`` breaks ties of equal times; the ids listed in the finding
-    are signal ids.
+    are signal ids.  ``checked`` says that the caller has made the signals in this
+    very run, from events without repeats, so ids and mode hold already.
     """
+    if not checked:
+        need = dict.fromkeys(["signal_id", order_id, "tenant_id", "rule_id", "first_ms", rule.join_key])
+        if "execution_mode" in signals.columns:
+            need["execution_mode"] = None
+        signals = sequence_input(signals.select(*need), mode)
     stages = [F.col("rule_id") == s for s in rule.stages]
     tie = F.concat_ws("\u0001", F.col(order_id), F.col("signal_id"))
     matches = sequence_matches(signals.withColumn("_order", tie), [rule.join_key], stages,
@@ -319,15 +337,49 @@ class DetectionRun:
     events: DataFrame
     signals: DataFrame
     findings: DataFrame
+    rejected: DataFrame | None = None
+
+
+def event_error(json: Column, columns: Sequence[str]) -> Column:
+    """Why the run cannot use an event: a field of its rules that is no text, or a time that is no whole number."""
+    from siemspark.functions.fields import number_field_error, string_field_error
+    from siemspark.operators.normalize import PROMOTED
+
+    def error(v: Column) -> Column:
+        checks = [string_field_error(v, PROMOTED[c]) for c in dict.fromkeys(columns) if c in PROMOTED]
+        return F.when(v.isNull(), "event is no JSON").otherwise(F.coalesce(*checks, number_field_error(v, "time")))
+
+    # The lambda's argument is parsed once, however often the checks look at it.
+    return F.transform(F.array(F.try_parse_json(json)), error)[0]
 
 
 def detect(events: DataFrame, pack: RulePack, mode: str, tenant_id: str | None = None,
            start_ms: int | None = None, end_ms: int | None = None,
-           evaluated_ms: int = 0, on_conflict: str = "raise") -> DetectionRun:
-    """Scan, remove repeats, run all rules: the bounded detection run."""
+           evaluated_ms: int = 0, on_conflict: str = "raise", on_error: str = "raise") -> DetectionRun:
+    """Scan, remove repeats, run all rules: the bounded detection run.
+
+    Where the events carry their JSON, a field that a rule reads must be text or
+    unset and the time a whole number.  Other events fail the job (``raise``) or go
+    to ``rejected`` with the reason (``quarantine``), never into the rules.
+    """
+    from siemspark.functions.predicates import rule_fields
     from siemspark.operators.events import batch_scan, dedup_events
 
-    scanned = batch_scan(events, tenant_id, mode, start_ms, end_ms)
+    if on_error not in ("raise", "quarantine"):
+        raise ValueError("on_error must be 'raise' or 'quarantine'")
+    scanned, rejected = batch_scan(events, tenant_id, mode, start_ms, end_ms), None
+    if "ocsf_event_json" in events.columns:
+        read = [f for r in (*pack.events, pack.threshold) for f in rule_fields(r.predicate)]
+        scanned = scanned.withColumn("_error", event_error(
+            F.col("ocsf_event_json"), [*read, *pack.threshold.group_by, pack.sequence.join_key]))
+        if on_error == "quarantine":
+            rejected = scanned.where(F.col("_error").isNotNull()).select("tenant_id", "normalized_event_id",
+                                                                         F.col("_error").alias("error"))
+            scanned = scanned.where(F.col("_error").isNull())
+        else:
+            message = F.concat("normalized_event_id", F.lit(": "), "_error")
+            scanned = scanned.withColumn("normalized_event_id", F.when(
+                F.col("_error").isNotNull(), F.raise_error(message)).otherwise(F.col("normalized_event_id")))
     need = ["tenant_id", "normalized_event_id", "event_time_present", "event_time_seconds",
             "event_time_nanos", "activity_name", "status", *pack.threshold.group_by]
     loaded = dedup_events(scanned.select(*dict.fromkeys(need + [pack.sequence.join_key])),
@@ -336,9 +388,9 @@ def detect(events: DataFrame, pack: RulePack, mode: str, tenant_id: str | None =
     per_event = event_signals(loaded, pack.events, mode, evaluated_ms,
                               extra=[pack.sequence.join_key, "normalized_event_id"])
     bursts = threshold_signals(loaded, pack.threshold, mode, evaluated_ms)
-    findings = sequence_findings(per_event, pack.sequence, mode, "normalized_event_id")
+    findings = sequence_findings(per_event, pack.sequence, mode, "normalized_event_id", checked=True)
     signals = per_event.select(*bursts.columns).unionByName(bursts)
-    return DetectionRun(loaded, signals, findings)
+    return DetectionRun(loaded, signals, findings, rejected)
 
 
 # --- further rule kinds ----------------------------------------------------

@@ -34,8 +34,6 @@ CASE_PRIORITIES = ["P1_CRITICAL", "P2_HIGH", "P3_MEDIUM", "P4_LOW"]
 CASE_DISPOSITIONS = ["UNDETERMINED", "CONFIRMED_INCIDENT", "BENIGN_ACTIVITY", "FALSE_POSITIVE",
                      "DUPLICATE", "TEST", "OTHER"]
 
-# Ids shown inside one view row; longer lists are read as link rows.
-INLINE_IDS = 1000
 LEDGER_ROWS = 200
 # Objects with more changes than this are not folded as one array.
 FOLD_LIMIT = 10_000
@@ -283,21 +281,20 @@ def finding_relations(relations: DataFrame, findings: DataFrame) -> DataFrame:
     return relations.join(findings.select("tenant_id", "finding_id"), ["tenant_id", "finding_id"], "left_semi")
 
 
-def with_links(objects: DataFrame, links: DataFrame, key: Sequence[str], member: str, name: str,
-               inline: int = INLINE_IDS) -> DataFrame:
-    """Adds the ordered member ids (``name``) and their number (``name_count``).
+def link_counts(links: DataFrame, key: Sequence[str], name: str) -> DataFrame:
+    """Members per object; copies of a link count once per row, and counting combines map-side."""
+    return links.groupBy(*key).agg(F.count(F.lit(1)).alias(name))
 
-    Up to ``inline`` ids are shown in the row; an object with more is read
-    through its link rows.  Counting combines map-side and the rank filter
-    bounds what is gathered per object.
+
+def with_links(objects: DataFrame, links: DataFrame, key: Sequence[str], member: str, name: str) -> DataFrame:
+    """One row per member of every object, with the object's columns and its member count (``name``).
+
+    All links are rows, so an object may have any number; one without links has a
+    row with a null member and count 0.
     """
-    w = Window.partitionBy(*key).orderBy(member)
-    counts = links.groupBy(*key).agg(F.count(F.lit(1)).alias(f"{name}_count"))
-    first = (links.select(*key, member).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= inline)
-             .groupBy(*key).agg(F.array_sort(F.collect_list(member)).alias(name)))
-    return (objects.join(counts, list(key), "left").join(first, list(key), "left")
-            .withColumn(f"{name}_count", F.coalesce(f"{name}_count", F.lit(0)))
-            .withColumn(name, F.coalesce(name, F.array().cast("array<string>"))))
+    key = list(key)
+    return (objects.join(link_counts(links, key, name), key, "left").join(links.select(*key, member), key, "left")
+            .withColumn(name, F.coalesce(name, F.lit(0).cast("long"))))
 
 
 # --- cases from incidents --------------------------------------------------
@@ -328,7 +325,7 @@ def case_links(cases: DataFrame, incidents: DataFrame, incident_findings: DataFr
 
 def case_timeline(cases: DataFrame, case_incidents: DataFrame, incidents: DataFrame,
                   case_findings: DataFrame, findings: DataFrame, audit: DataFrame) -> DataFrame:
-    """Incidents, findings and audit events of existing cases, in time order."""
+    """Incidents, findings and audit events of existing cases, in time order within each case."""
     here = cases.select("tenant_id", "case_id")
 
     def shape(df, kind, object_id, title, actor, source, detail):
@@ -350,7 +347,8 @@ def case_timeline(cases: DataFrame, case_incidents: DataFrame, incidents: DataFr
     ]
     out = legs[0].unionByName(legs[1]).unionByName(legs[2])
     return (out.join(here, ["tenant_id", "case_id"], "left_semi")
-            .orderBy("tenant_id", "case_id", "timestamp_ms", "entry_type", "object_id"))
+            .repartition("tenant_id", "case_id")
+            .sortWithinPartitions("tenant_id", "case_id", "timestamp_ms", "entry_type", "object_id"))
 
 
 def audit_list(audit: DataFrame, tenant_id: str, object_type: str = "", object_id: str = "",

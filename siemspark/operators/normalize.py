@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siemspark.functions.scalars import (MODE_CODES, col, first_failure, in_timestamp_range,
                                          is_uuid_v7, millis, settle)
+from siemspark.functions.fields import strict_string
 from siemspark.operators.detect import id_from_key
 from siemspark.operators.parse import MONTHS, RFC3164, SSHD, column_name
 
@@ -294,16 +295,20 @@ NORMALIZED_COLUMNS = [
     "event_date"]
 
 # Fields searched and matched most, stored as plain columns next to the JSON.
-PROMOTED = {"activity_name": "$.activity_name", "status": "$.status", "user_name": "$.user.name",
-            "src_ip": "$.src_endpoint.ip", "service_name": "$.service.name", "message": "$.message"}
+PROMOTED = {"activity_name": "activity_name", "status": "status", "user_name": "user.name",
+            "src_ip": "src_endpoint.ip", "service_name": "service.name", "message": "message"}
 
 
 def normalized_rows(mapped: DataFrame) -> DataFrame:
-    """The normalized table: one row per successful derivation."""
+    """The normalized table: one row per successful derivation.
+
+    A promoted column is set only where the JSON value is a string; other kinds are
+    errors that the bounded run finds in the JSON itself.
+    """
     ok = mapped.where(F.col("error_code").isNull())
     v = ok.withColumn("_v", F.try_parse_json("ocsf_event_json"))
     v = v.select(*[c for c in v.columns if c not in PROMOTED],
-                 *[F.try_variant_get("_v", path, "string").alias(c) for c, path in PROMOTED.items()])
+                 *[strict_string(F.col("_v"), path).alias(c) for c, path in PROMOTED.items()])
     return (v.withColumn("event_time_present", F.col("resolved_seconds").isNotNull().cast("int"))
             .withColumn("event_time_seconds", F.coalesce("resolved_seconds", F.lit(0)))
             .withColumn("event_time_nanos", F.coalesce("resolved_nanos", F.lit(0)))

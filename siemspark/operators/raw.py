@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siemspark.functions.scalars import (col, first_failure, in_timestamp_range,
                                          is_sha256, is_uuid_v7, rfc3339)
+from siemspark.functions.text import strict_json
 from siemspark.operators.detect import id_from_key
 
 DEFAULT_MAX_PAYLOAD = 1_048_576
@@ -50,7 +51,7 @@ def json_reason(media_type, payload, max_payload: int = DEFAULT_MAX_PAYLOAD) ->
     base = F.lower(F.trim(F.substring_index(col(media_type), ";", 1)))
     return (F.when(F.coalesce(base, F.lit("")) != "application/json", "unsupported_media_type")
             .when(F.octet_length(payload) > max_payload, "payload_too_large")
-            .when(F.try_parse_json(col(payload).cast("string")).isNull(), "invalid_json"))
+            .when(strict_json(col(payload).cast("string")).isNull(), "invalid_json"))
 
 
 def framed_lines(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:

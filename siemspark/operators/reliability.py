@@ -14,7 +14,8 @@ PERSISTED_SUBJECT = "raw.persisted"
 REPLAY_SUBJECT = "raw.replay"
 REPLAY_MODE = "REPLAY"
 
-# Code prefixes, first match wins.
+# Code prefixes, first match wins.  They are the known codes without the product's own
+# prefix, which is left out so that codes of any product fit.
 CATEGORY_PREFIXES = [
     ("PARSE-", "PARSING"),
     ("NORM-RAW-HASH", "INTEGRITY"), ("NORM-RAW-LENGTH", "INTEGRITY"), ("NORM-RAW-INTEGRITY", "INTEGRITY"),

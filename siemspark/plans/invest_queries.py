@@ -8,7 +8,6 @@ from siemspark.operators import invest as I
 from siemspark.operators.search import keyset_list
 from siemspark.plans.fixtures import CTE, numbered_lines, with_ctes
 from siemspark.plans.registry import query
-from siemspark.session import cut_lineage
 
 
 def _cat(*parts):
@@ -123,13 +122,12 @@ def finding_entities_query(t):
 
 
 @query("incident_view", with_ctes("li", "inv", body="""
-    r AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, incident_id ORDER BY finding_id) AS n FROM fnd)
-    SELECT tenant_id, incident_id, min(created_ms) AS created_ms, count(*) AS finding_ids_count,
-      string_agg(finding_id, ',' ORDER BY finding_id) FILTER (n <= 1000) AS finding_ids FROM r GROUP BY 1, 2"""))
+    SELECT tenant_id, incident_id, min(created_ms) OVER w AS created_ms, count(*) OVER w AS finding_ids_count, finding_id
+    FROM fnd WINDOW w AS (PARTITION BY tenant_id, incident_id)"""))
 def incident_view(t):
-    v = I.with_links(incidents(t), findings(t), ["tenant_id", "incident_id"], "finding_id", "finding_ids")
-    return v.select("tenant_id", "incident_id", "created_ms", "finding_ids_count",
-                    F.array_join("finding_ids", ",").alias("finding_ids"))
+    """Every finding of every incident, with the incident's columns and its count."""
+    v = I.with_links(incidents(t), findings(t), ["tenant_id", "incident_id"], "finding_id", "finding_ids_count")
+    return v.select("tenant_id", "incident_id", "created_ms", "finding_ids_count", "finding_id")
 
 
 def case_links(t):
@@ -148,22 +146,15 @@ def case_fanout(t):
 
 
 @query("case_view", with_ctes("li", "inv", "cl", body="""
-    SELECT tenant_id, case_id, 'CASE-' || upper(substr(replace(case_id, '-', ''), 1, 12)) AS case_number,
-      count(*) FILTER (object_type = 'FINDING') AS finding_ids_count,
-      string_agg(object_id, ',' ORDER BY object_id) FILTER (object_type = 'FINDING') AS finding_ids,
-      string_agg(object_id, ',' ORDER BY object_id) FILTER (object_type = 'ENTITY') AS entity_ids FROM cl GROUP BY 1, 2"""))
+    SELECT tenant_id, case_id, 'CASE-' || upper(substr(replace(case_id, '-', ''), 1, 12)) AS case_number, object_type, object_id,
+      count(*) OVER (PARTITION BY tenant_id, case_id, object_type) AS members FROM cl"""))
 def case_view(t):
-    links = cut_lineage(case_links(t), "links")
-    key = ["tenant_id", "case_id"]
-
-    def of(kind, name):
-        return links.where(F.col("object_type") == kind).select(*key, F.col("object_id").alias(name))
-
-    v = cases(t)
-    for kind, name in (("FINDING", "finding"), ("ENTITY", "entity")):
-        v = I.with_links(v, of(kind, name + "_id"), key, name + "_id", name + "_ids")
-    return v.select(*key, I.case_number("case_id").alias("case_number"), "finding_ids_count",
-                    F.array_join("finding_ids", ",").alias("finding_ids"), F.array_join("entity_ids", ",").alias("entity_ids"))
+    """Every incident, finding and entity of every case, with its number of each kind."""
+    links = case_links(t)
+    counts = I.link_counts(links, ["tenant_id", "case_id", "object_type"], "members")
+    return (links.join(counts, ["tenant_id", "case_id", "object_type"])
+            .select("tenant_id", "case_id", I.case_number("case_id").alias("case_number"), "object_type", "object_id",
+                    "members"))
 
 
 # Patches: one per order line, on the incident / case of the order's line number group.

@@ -206,7 +206,7 @@ def replay_set(t):
     payload = F.encode(F.concat(F.lit("payload-"), text), "UTF-8")
     o = t.read("orders")
     # Sequences that the stream no longer holds are numbered apart.
-    stream = o.select(F.when(k % 5 == 0, -k).otherwise(k).alias("sequence"),
+    stream = o.select(F.when(k % 5 == 0, -k - 1).otherwise(k).alias("sequence"),
                       F.when(k % 7 == 0, "raw.other").otherwise("raw.persisted").alias("subject"),
                       payload.alias("payload"),
                       F.when(k % 2 == 0, F.concat(F.lit("req-"), text)).otherwise("").alias("request_id"))
@@ -215,7 +215,6 @@ def replay_set(t):
         (1 + k % 3).cast("int").alias("attempt"), F.concat(F.lit("dlq-"), text).alias("source_dlq_record_id"),
         F.when(k % 11 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.sha2(payload, 256)).alias("source_payload_sha256"),
         F.lit("RESERVED").alias("status"))
-    stream = stream.where(F.col("sequence") != 0)
     return L.replay_set(reserved, stream).select(
         "source_dlq_record_id", "status", F.col("headers")["Message-Id"].alias("message_id"),
         F.col("headers")["Request-Id"].alias("request_id"), F.sha2("payload", 256).alias("payload_sha256"))

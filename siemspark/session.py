@@ -39,19 +39,11 @@ def build_session(app: str = "siemspark", master: str | None = None, **conf) ->
     return ensure_settings(builder.getOrCreate())
 
 
-# Long generated methods are not compiled by the JVM; below this size they are.
-TUNING = {"spark.sql.codegen.hugeMethodLimit": "8000"}
-
-
 def ensure_settings(spark: SparkSession) -> SparkSession:
     """Applies the settings results depend on to a session built elsewhere."""
     for key, value in REQUIRED_SQL_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
-    explicit = {k for k, _ in spark.sparkContext.getConf().getAll()}
-    for key, value in TUNING.items():
-        if key not in explicit:
-            spark.conf.set(key, value)
     _ship_helpers()
     return spark
 
@@ -91,12 +83,3 @@ def cut_lineage(df, purpose: str = "cut"):
     path = shared_dir(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread_small(df):
-    """Spreads an input with fewer splits than cores, before heavy row work.
-
-    Large inputs have many splits and stay as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -45,23 +45,15 @@ def stored_or_new(new: DataFrame, stored: DataFrame, key: str) -> DataFrame:
             .select("_r.*"))
 
 
-# Partitions named one by one in the filter on the stored table.
-MAX_LISTED_PARTITIONS = 5_000
-
-
 def touched(stored: DataFrame, rows: DataFrame, partition_by: Sequence[str]) -> DataFrame:
-    """The partitions of ``stored`` that ``rows`` fall into, or all of it.
+    """The partitions of ``stored`` that ``rows`` fall into.
 
-    Only partition values are listed on the driver, and only while there are
-    few; with more, nothing is filtered and the result is the same.
+    The partition values are a table of their own that the scan of ``stored`` is
+    pruned by when it runs, however many there are.
     """
-    values = rows.select(*partition_by).distinct().limit(MAX_LISTED_PARTITIONS + 1).collect()
-    if len(values) > MAX_LISTED_PARTITIONS:
-        return stored
-    for c in partition_by:
-        stored = stored.where(F.col(c).isin([v for v in {r[c] for r in values} if v is not None])
-                              | F.col(c).isNull())
-    return stored
+    wanted = rows.select(*[F.col(c).alias(f"_p_{c}") for c in partition_by]).distinct()
+    same = [stored[c].eqNullSafe(wanted[f"_p_{c}"]) for c in partition_by]
+    return stored.join(wanted, same, "left_semi")
 
 
 def append_missing(new: DataFrame, path: str, key: str, partition_by: Sequence[str] = (),
@@ -69,9 +61,9 @@ def append_missing(new: DataFrame, path: str, key: str, partition_by: Sequence[s
     """Appends the rows whose key is not stored yet and returns the table.
 
     With ``partition_by`` a key must determine its partition: then only the
-    partitions the new rows fall into are searched for their keys.  Rows of
-    one partition are spread over tasks by the key, so a tenant with a third
-    of the data does not end in one task.
+    partitions the new rows fall into are searched for their keys.  Rows are
+    rebalanced by partition when they are written: a tenant with a third of the
+    data is split over tasks, and small partitions get one file.
     """
     spark = new.sparkSession
     # Written once, so that a costly input is not computed again for every use.
@@ -81,9 +73,8 @@ def append_missing(new: DataFrame, path: str, key: str, partition_by: Sequence[s
         stored = touched(stored, staged, partition_by)
     rows = staged.join(stored.select(key), key, "left_anti").select(*new.columns)
     if partition_by:
-        salt = F.pmod(F.xxhash64(key), F.lit(16))
-        rows = rows.withColumn("_salt", salt).repartition(*partition_by, "_salt")
-        rows = rows.sortWithinPartitions(*partition_by, *(sort_by or (key,))).drop("_salt")
+        rows = rows.hint("rebalance", *map(F.col, partition_by))
+        rows = rows.sortWithinPartitions(*partition_by, *(sort_by or (key,)))
     rows.write.mode("append").partitionBy(*partition_by).parquet(path)
     return spark.read.schema(new.schema).parquet(path)
 

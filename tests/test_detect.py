@@ -172,3 +172,31 @@ def test_copies_with_maps_and_nulls(spark):
     assert conflicting_ids(plain, "id").count() == 0
     assert dedup_events(plain, "id").count() == 3
     assert [r.id for r in conflicting_ids(plain.union(spark.createDataFrame([("a", 2)], "id string, n int")), "id").collect()] == ["a"]
+
+
+SOUND = '{{"activity_name":"Logon","status":"Failure","time":{t},"user":{{"name":{u}}},"src_endpoint":{{"ip":"10.0.0.9"}}}}'
+
+
+@pytest.mark.parametrize("broken, why", [
+    (SOUND.format(t=1, u=7), "user.name is not a string"), (SOUND.format(t='"late"', u='"root"'), "time is not numeric"),
+    (SOUND.format(t=1.5, u='"root"'), "integral"), ('{"user":5}', "malformed"), ("{", "no JSON")])
+def test_unsound_events_fail_or_are_set_aside(spark, broken, why):
+    rows = [(*event(i, 1_000 + i * 20), SOUND.format(t=1000 + i, u='"root"')) for i in range(10)]
+    df = spark.createDataFrame([*rows, (*event(99, 1_050), broken)], EVENTS + ", ocsf_event_json string")
+    # Spark wraps it when several stages fail at once.
+    with pytest.raises(Exception, match="e0099"):
+        D.detect(df, D.RulePack(), "REPLAY", "t", 0, 10_000_000).signals.collect()
+    run = D.detect(df, D.RulePack(), "REPLAY", "t", 0, 10_000_000, on_error="quarantine")
+    assert run.signals.where("rule_id = 'DET-000001'").count() == 1
+    rejected = run.rejected.collect()
+    assert [r.normalized_event_id for r in rejected] == ["e0099"] and why in rejected[0].error
+
+
+def test_sequence_input_checks(spark):
+    schema = "signal_id string, tenant_id string, rule_id string, user_name string, first_ms long, execution_mode string"
+    rows = [("a", "t", "DET-000101", "u", 1, "LIVE"), ("b", "t", "DET-000102", "u", 2, "LIVE"), ("c", "t", "DET-000103", "u", 3, "LIVE")]
+    rule = D.RulePack().sequence
+    assert D.sequence_findings(spark.createDataFrame(rows + rows[:1], schema), rule, "LIVE").count() == 1
+    for extra, match in ((("a", "t", "DET-000101", "u", 9, "LIVE"), "conflicting"), (("d", "t", "DET-000101", "u", 9, "TEST"), "another mode")):
+        with pytest.raises(PySparkException, match=match):
+            D.sequence_findings(spark.createDataFrame([*rows, extra], schema), rule, "LIVE").collect()

@@ -2,6 +2,7 @@
 
 import pytest
 
+from siemspark.operators import invest as I
 from siemspark.plans import invest_queries as Q
 from siemspark.plans.fixtures import Tables
 
@@ -12,3 +13,12 @@ def test_hot_objects_take_the_other_way(spark, data_dir, changes):
     for part in (0, 1):
         folded, walked = changes(t)[part], changes(t, fold_limit=5)[part].select(changes(t)[part].columns)
         assert folded.exceptAll(walked).count() == 0 and walked.exceptAll(folded).count() == 0
+
+
+def test_views_list_every_link(spark):
+    objects = spark.createDataFrame([("t", "a"), ("t", "b")], "tenant_id string, incident_id string")
+    links = spark.range(5000).selectExpr("'t' AS tenant_id", "'a' AS incident_id", "concat('f', id) AS finding_id")
+    out = I.with_links(objects, links, ["tenant_id", "incident_id"], "finding_id", "finding_count")
+    rows = out.groupBy("incident_id").agg({"finding_id": "count", "finding_count": "max"}).collect()
+    assert {tuple(r)[0]: set(tuple(r)[1:]) for r in rows} == {"a": {5000}, "b": {0}}
+    assert out.count() == 5001

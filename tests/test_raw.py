@@ -40,15 +40,15 @@ def test_known_gap(spark):
 
 def test_journal_export_file(spark, tmp_path):
     path = tmp_path / "export.txt"
-    path.write_bytes(b"__CURSOR=s=1\nMESSAGE=hi <b>\n\nMESSAGE=\xff\x01\n\n\n\nbad name=1\n\nMESSAGE=x\n")
+    path.write_bytes(b"__CURSOR=s=1\nMESSAGE=up <&>\n\nMESSAGE=\xfe\x02\n\n\n\nbad name=1\n\nUNIT=cron\n")
     out = journal.journal_entries(journal.read_journal_export(spark, str(path)), "entry").collect()
     got = sorted((r.canonical or "", r.cursor, r.error) for r in out)
     assert got == sorted([
         ("", None, "invalid field name"),
         ('{"journald_version":1,"cursor":"s=1","fields":[{"name":"__CURSOR","encoding":"utf8","value":"s=1"},'
-         '{"name":"MESSAGE","encoding":"utf8","value":"hi \\u003cb\\u003e"}]}', "s=1", None),
-        ('{"journald_version":1,"cursor":null,"fields":[{"name":"MESSAGE","encoding":"base64","value":"/wE="}]}', None, None),
-        ('{"journald_version":1,"cursor":null,"fields":[{"name":"MESSAGE","encoding":"utf8","value":"x"}]}', None, None)])
+         '{"name":"MESSAGE","encoding":"utf8","value":"up \\u003c\\u0026\\u003e"}]}', "s=1", None),
+        ('{"journald_version":1,"cursor":null,"fields":[{"name":"MESSAGE","encoding":"base64","value":"/gI="}]}', None, None),
+        ('{"journald_version":1,"cursor":null,"fields":[{"name":"UNIT","encoding":"utf8","value":"cron"}]}', None, None)])
 
 
 def test_append_is_idempotent(spark, tmp_path):
@@ -75,3 +75,20 @@ def test_retry_budget_bound_is_checked(spark):
 def test_raw_uri(spark):
     df = spark.createDataFrame([("raw:///a/b",), ("raw:///a/../b",), ("raw:///",), ("raw:///./a",), ("file:///a",), ("raw:///a//b",), ("raw:///..a/b",)], "u string")
     assert [r[0] for r in df.select(F.col("u").rlike(R.RAW_URI)).collect()] == [True, False, False, False, False, False, True]
+
+
+def test_json_with_anything_behind_it_is_refused(spark):
+    texts = ['{"a":1}', ' [1] ', '{"a":1} garbage', '{"a":1}{}', '1 2', '"x"', '', '{"a":1e400}', '{"a":-0}']
+    df = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "i int, payload binary")
+    out = {r.i: r.reason for r in df.select("i", R.json_reason(F.lit("application/json"), "payload").alias("reason")).collect()}
+    assert [i for i, r in sorted(out.items()) if r] == [2, 3, 4, 6]
+
+
+def test_append_searches_many_partitions(spark, tmp_path):
+    path = str(tmp_path / "wide")
+    rows = spark.range(300).select(F.col("id").cast("string").alias("key"),
+                                   F.when(F.col("id") % 50 != 0, F.col("id") % 50).alias("p"))
+    for _ in range(2):
+        sinks.append_missing(rows, path, "key", ["p"])
+    table = spark.read.parquet(path)
+    assert table.count() == 300 == table.select("key").distinct().count()
