@@ -6,6 +6,9 @@ over what is new, so every query also restarts twice.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siemspark.functions.predicates import rule_predicate
@@ -131,32 +134,39 @@ def stream_normalize(t):
 
 
 @query("stream_modes", with_ctes("ne", body="""
-    SELECT execution_mode, normalized_event_id FROM ne"""))
+    SELECT c.consumer, c.execution_mode, raw_event_id
+    FROM ne JOIN (VALUES ('live', 'LIVE', 'raw.persisted'), ('replay-history', 'REPLAY', 'raw.persisted'), ('test', 'TEST', 'raw.persisted'),
+      ('replay-selected', 'REPLAY', 'raw.replay')) c(consumer, execution_mode, subject)
+    ON c.subject = CASE WHEN event_id % 13 = 0 THEN 'raw.replay' ELSE 'raw.persisted' END"""))
 def stream_modes(t):
-    """Live, replay and test rows are consumed by separate queries."""
-    rows = t.normalized_events.select("execution_mode", "normalized_event_id", "event_time_seconds")
+    """Each consumer reads all records of its subject, in its own mode."""
+    rows = t.normalized_events.select(
+        F.when(F.col("event_id") % 13 == 0, "raw.replay").otherwise("raw.persisted").alias("subject"),
+        "raw_event_id", "event_time_seconds")
     out = shared_dir(t.spark, "modes")
     checks = shared_dir(t.spark, "checks")
 
-    def write(df, mode):
-        return (df.writeStream.format("parquet").option("path", f"{out}/{mode}")
-                .option("checkpointLocation", f"{checks}/{mode}").trigger(availableNow=True).start())
+    def write(df, consumer):
+        return (df.writeStream.format("parquet").option("path", f"{out}/{consumer}")
+                .option("checkpointLocation", f"{checks}/{consumer}").trigger(availableNow=True).start())
 
-    staged(t, rows, "event_time_seconds", lambda s: jobs.start_modes(s, write))
-    legs = [read_table(t.spark, f"{out}/{m}", rows.schema) for m in ("LIVE", "REPLAY", "TEST")]
-    return (legs[0].unionByName(legs[1]).unionByName(legs[2])
-            .select("execution_mode", "normalized_event_id"))
+    staged(t, rows, "event_time_seconds", lambda s: jobs.start_consumers(s, write))
+    schema = rows.withColumn("execution_mode", F.lit("")).schema
+    legs = [read_table(t.spark, f"{out}/{c}", schema).select(F.lit(c).alias("consumer"), "execution_mode", "raw_event_id")
+            for c in jobs.CONSUMERS]
+    return reduce(DataFrame.unionByName, legs)
 
 
 @query("stream_metrics", with_ctes("ne", body="""
-    w AS (SELECT tenant_id, ingest_time_seconds - ingest_time_seconds % 86400 AS window_start, ingest_time_seconds AS s, strlen(ocsf_event_json) AS b FROM ne)
-    SELECT tenant_id, window_start, count(*) AS events, sum(b)::BIGINT AS bytes FROM w
-    WHERE window_start + 86400 <= (SELECT max(s) FROM w) - 3600 GROUP BY ALL"""))
+    SELECT tenant_id, ingest_time_seconds - ingest_time_seconds % 86400 AS window_start, count(*) AS events, sum(strlen(ocsf_event_json))::BIGINT AS bytes
+    FROM ne GROUP BY ALL"""))
 def stream_metrics(t):
-    """Daily counters; the last days stay open behind the watermark."""
+    """Daily counters of every day; a last row closes the source and with it the open days."""
     rows = t.normalized_events.select(
-        "tenant_id", "ingest_time_seconds", F.timestamp_seconds("ingest_time_seconds").alias("ts"),
-        F.octet_length("ocsf_event_json").cast("long").alias("bytes"))
+        "tenant_id", "ingest_time_seconds", F.octet_length("ocsf_event_json").cast("long").alias("bytes"))
+    rows = rows.unionByName(jobs.end_of_source(rows, "ingest_time_seconds", 2 * 86_400))
     out = appended(t, rows, "ingest_time_seconds",
-                   lambda s: jobs.windowed_counts(s, "ts", "1 hour", "1 day", ["tenant_id"]))
-    return out.select("tenant_id", F.unix_seconds("window.start").alias("window_start"), "events", "bytes")
+                   lambda s: jobs.windowed_counts(s.withColumn("ts", F.timestamp_seconds("ingest_time_seconds")),
+                                                  "ts", "1 hour", "1 day", ["tenant_id"]))
+    return (out.where(F.col("tenant_id").isNotNull())
+            .select("tenant_id", F.unix_seconds("window.start").alias("window_start"), "events", "bytes"))

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from siemspark.functions.scalars import MODES
 from siemspark.operators import normalize as N
 from siemspark.operators import parse as P
 from siemspark.sources import sinks
@@ -58,7 +57,26 @@ def windowed_counts(stream: DataFrame, time_col: str, lateness: str, window: str
             .agg(F.count(F.lit(1)).alias("events"), F.sum("bytes").alias("bytes")))
 
 
-def start_modes(stream: DataFrame, write: Callable[[DataFrame, str], StreamingQuery]
-                ) -> list[StreamingQuery]:
-    """One independent query per execution mode, each with its own checkpoint."""
-    return [write(stream.where(F.col("execution_mode") == mode), mode) for mode in MODES]
+def end_of_source(rows: DataFrame, seconds_col: str, ahead_s: int) -> DataFrame:
+    """One row that closes a finite source: ``ahead_s`` past its last time, every other column null.
+
+    Sent last, it moves the watermark past all windows, so that none stays open.
+    """
+    last = rows.agg((F.max(seconds_col) + ahead_s).alias(seconds_col))
+    return last.select(*[F.col(c) if c == seconds_col else F.lit(None).cast(rows.schema[c].dataType).alias(c)
+                         for c in rows.columns])
+
+
+# Consumers, the mode they work in, and the subject they read.
+CONSUMERS = {"live": ("LIVE", "raw.persisted"), "replay-history": ("REPLAY", "raw.persisted"),
+             "test": ("TEST", "raw.persisted"), "replay-selected": ("REPLAY", "raw.replay")}
+
+
+def start_consumers(stream: DataFrame, write: Callable[[DataFrame, str], StreamingQuery]) -> list[StreamingQuery]:
+    """One independent query per consumer, each with its own checkpoint.
+
+    Live, historical replay and test each read every persisted record in their own
+    mode; only the selective replay has a subject of its own.
+    """
+    return [write(stream.where(F.col("subject") == subject).withColumn("execution_mode", F.lit(mode)), name)
+            for name, (mode, subject) in CONSUMERS.items()]
