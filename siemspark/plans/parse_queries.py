@@ -187,7 +187,7 @@ def parse_outcomes(t):
     y AS (SELECT *, contains(text, 'Failed password for ') AND contains(text, ' from ') AND contains(text, ' port ') AS is_sshd,
       left(ltrim(text, chr(9) || chr(10) || chr(12) || chr(13) || ' '), 1) IN ('{', '[') AS opens FROM x)
     SELECT raw_event_id, CASE WHEN is_sshd THEN 'linux/sshd' WHEN opens THEN 'json/generic' END AS parser_id,
-      strlen(text)::BIGINT AS bytes FROM y""")
+      'FAILED' AS parse_status, CASE WHEN is_sshd OR opens THEN 'PARSE-MALFORMED' ELSE 'PARSE-NO-MATCH' END AS error_code, strlen(text)::BIGINT AS bytes FROM y""")
 def parse_outcomes_text(t):
     """Whole prose texts and web pages: junk for every parser, and none may fail."""
     docs = t.read("documents").select(
@@ -199,7 +199,7 @@ def parse_outcomes_text(t):
         "raw_event_id", F.encode("text", "UTF-8").alias("payload"),
         F.lit("text/plain").alias("content_type"))
     p = P.parse(raw)
-    return p.select("raw_event_id", "parser_id",
+    return p.select("raw_event_id", "parser_id", "parse_status", "error_code",
                     F.octet_length("payload").cast("long").alias("bytes"))
 
 
