@@ -371,6 +371,33 @@ def alias_conflicts(aliases: DataFrame) -> DataFrame:
 
 # --- checks and comparison -------------------------------------------------
 
+# Roles of an entity in a finding.
+ENTITY_ROLES = ["SUBJECT", "SOURCE", "DESTINATION", "ACTOR", "TARGET", "AFFECTED", "RELATED"]
+
+
+def seen_order() -> Column:
+    return F.col("last_seen_ms") >= F.col("first_seen_ms")
+
+
+def window_pair() -> Column:
+    """Both ends of a window or none, and in order."""
+    start, end = F.col("window_start_ms"), F.col("window_end_ms")
+    return (start.isNull() & end.isNull()) | (F.coalesce(end >= start, F.lit(False)))
+
+
+def closed_case() -> Column:
+    """A closed case has a closing time, a decided disposition and a reason; no other case has a closing time."""
+    closed = F.col("status") == "CLOSED"
+    settled = (F.col("closed_ms").isNotNull() & (F.col("disposition") != "UNDETERMINED")
+               & F.coalesce(has_text("closure_reason"), F.lit(False)))
+    return F.when(closed, settled).otherwise(F.col("closed_ms").isNull())
+
+
+def one_of(name: str, values: Sequence[str]) -> Column:
+    """A required value of a closed set."""
+    return F.coalesce(F.col(name).isin(*values), F.lit(False))
+
+
 def check_rows(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Number of rows that break each rule; a rule that is NULL holds."""
     counts = df.agg(*[F.count_if(~F.coalesce(ok, F.lit(True))).alias(n) for n, ok in rules.items()])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siemspark.operators import invest as I
@@ -310,20 +313,62 @@ def case_timeline(t):
     return tl.select("tenant_id", "case_id", "timestamp_ms", "entry_type", "object_id", "title", "detail")
 
 
-@query("ops_constraints", with_ctes("li", "inv", body="""
+# Orders and lines read as stored cases and incidents, some of them unsound.
+CTE["stored"] = """
+sc AS (SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'F' THEN 'CLOSED' WHEN 'O' THEN 'OPEN' ELSE 'PENDING' END AS status,
+  CASE WHEN o_orderstatus = 'F' AND o_orderkey % 10 <> 0 OR o_orderkey % 37 = 0 THEN epoch(o_orderdate)::BIGINT * 1000 END AS closed_ms,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'UNDETERMINED' WHEN o_orderkey % 11 = 0 THEN 'NOPE' ELSE 'OTHER' END AS disposition,
+  CASE WHEN o_orderkey % 13 <> 0 THEN 'done' ELSE ' ' END AS closure_reason,
+  CASE left(o_orderpriority, 1) WHEN '1' THEN 'P1_CRITICAL' WHEN '2' THEN 'P2_HIGH' WHEN '3' THEN 'P3_MEDIUM' WHEN '4' THEN 'P4_LOW' ELSE 'P5' END AS priority FROM orders),
+si AS (SELECT l_orderkey, l_linenumber, epoch(l_shipdate)::BIGINT * 1000 AS first_ms, epoch(l_shipdate)::BIGINT * 1000 + (l_partkey % 50 - 2) * 1000 AS last_ms,
+  CASE WHEN l_linenumber % 3 <> 0 THEN l_partkey::BIGINT END AS w0, CASE WHEN l_linenumber % 4 <> 0 THEN l_suppkey::BIGINT + 5 END AS w1 FROM lineitem)"""
+
+
+@query("ops_constraints", with_ctes("li", "inv", "stored", body="""
     SELECT 'expiry_after_creation' AS "check", count(*) FILTER (expires_ms < created_ms) AS violations FROM con
-    UNION ALL SELECT 'amount_positive', count(*) FILTER (NOT amount > 50000) FROM con
+    UNION ALL SELECT 'seen_order', count(*) FILTER (last_ms < first_ms) FROM si
+    UNION ALL SELECT 'window_pair', count(*) FILTER (NOT (w0 IS NULL AND w1 IS NULL OR coalesce(w1 >= w0, false))) FROM si
+    UNION ALL SELECT 'closed_case', count(*) FILTER (CASE WHEN status = 'CLOSED' THEN closed_ms IS NULL OR disposition = 'UNDETERMINED' OR trim(closure_reason) = '' ELSE closed_ms IS NOT NULL END) FROM sc
+    UNION ALL SELECT 'case_status', count(*) FILTER (status = 'PENDING') FROM sc
+    UNION ALL SELECT 'case_priority', count(*) FILTER (priority = 'P5') FROM sc
+    UNION ALL SELECT 'case_disposition', count(*) FILTER (disposition = 'NOPE') FROM sc
+    UNION ALL SELECT 'entity_role', count(*) FILTER (role NOT IN ('ACTOR', 'TARGET')) FROM fe
     UNION ALL SELECT 'contribution_entity', count(*) FILTER (e.entity_id IS NULL) FROM con LEFT JOIN (SELECT entity_id FROM ent WHERE display_name <> 'x') e USING (entity_id)
+    UNION ALL SELECT 'relation_finding', count(*) FROM fe ANTI JOIN fnd USING (tenant_id, finding_id)
     UNION ALL SELECT 'line_order', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
+    UNION ALL SELECT 'finding_key', count(*) FROM (SELECT tenant_id, finding_id FROM fnd GROUP BY ALL HAVING count(*) > 1)
     UNION ALL SELECT 'one_line_per_number', count(*) FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(*) > 1)"""))
 def ops_constraints(t):
-    con = contributions(t)
-    lines = t.read("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
-    return (I.check_rows(con, {"expiry_after_creation": F.col("expires_ms") >= F.col("created_ms"),
-                               "amount_positive": F.col("amount") > 50_000})
-            .unionByName(I.check_reference(con, entities(t), ["entity_id"], "contribution_entity"))
-            .unionByName(I.check_reference(lines, t.read("orders"), ["o_orderkey"], "line_order"))
-            .unionByName(I.check_unique(lines, ["o_orderkey", "l_linenumber"], "one_line_per_number")))
+    con, relations, found = contributions(t), finding_entities(t), findings(t)
+    o, k, state = t.read("orders"), F.col("o_orderkey"), F.col("o_orderstatus")
+    urgency = F.substring("o_orderpriority", 1, 1)
+    when = F.unix_seconds(F.col("o_orderdate").cast("timestamp")) * 1000
+    stored = o.select(
+        F.when(state == "F", "CLOSED").when(state == "O", "OPEN").otherwise("PENDING").alias("status"),
+        F.when(((state == "F") & (k % 10 != 0)) | (k % 37 == 0), when).alias("closed_ms"),
+        F.when(k % 7 == 0, "UNDETERMINED").when(k % 11 == 0, "NOPE").otherwise("OTHER").alias("disposition"),
+        F.when(k % 13 != 0, "done").otherwise(" ").alias("closure_reason"),
+        F.when(urgency == "1", "P1_CRITICAL").when(urgency == "2", "P2_HIGH").when(urgency == "3", "P3_MEDIUM")
+        .when(urgency == "4", "P4_LOW").otherwise("P5").alias("priority"))
+    line, part = F.col("l_linenumber"), F.col("l_partkey")
+    ship = F.unix_seconds(F.col("l_shipdate").cast("timestamp")) * 1000
+    lines = t.read("lineitem").select(
+        F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", ship.alias("first_seen_ms"),
+        (ship + (part % 50 - 2) * 1000).alias("last_seen_ms"), F.when(line % 3 != 0, part).alias("window_start_ms"),
+        F.when(line % 4 != 0, F.col("l_suppkey") + 5).alias("window_end_ms"))
+    checks = [
+        I.check_rows(con, {"expiry_after_creation": F.col("expires_ms") >= F.col("created_ms")}),
+        I.check_rows(lines, {"seen_order": I.seen_order(), "window_pair": I.window_pair()}),
+        I.check_rows(stored, {"closed_case": I.closed_case(), "case_status": I.one_of("status", list(I.CASE_TRANSITIONS)),
+                              "case_priority": I.one_of("priority", I.CASE_PRIORITIES),
+                              "case_disposition": I.one_of("disposition", I.CASE_DISPOSITIONS)}),
+        I.check_rows(relations, {"entity_role": I.one_of("role", I.ENTITY_ROLES)}),
+        I.check_reference(con, entities(t), ["entity_id"], "contribution_entity"),
+        I.check_reference(relations, found, ["tenant_id", "finding_id"], "relation_finding"),
+        I.check_reference(lines, o, ["o_orderkey"], "line_order"),
+        I.check_unique(found, ["tenant_id", "finding_id"], "finding_key"),
+        I.check_unique(lines, ["o_orderkey", "l_linenumber"], "one_line_per_number")]
+    return reduce(DataFrame.unionByName, checks)
 
 
 @query("entity_alias", """
