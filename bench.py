@@ -16,7 +16,7 @@ from siemspark.session import build_session  # noqa: E402
 
 HEADLINE = [
     "detect_run", "threshold_signals", "sequence", "event_signals", "batch_scan_dedup",
-    "search_bool", "search_page", "field_state", "raw_verify", "source_gaps", "parse_outcomes",
+    "search_bool", "search_page", "search_stored", "field_state", "raw_verify", "source_gaps", "parse_outcomes",
     "normalize", "retry_state", "replay_reserve", "incident_apply", "case_timeline",
     "risk_ledger", "run_compare",
 ]

@@ -11,6 +11,7 @@ from siemspark.operators import search as S
 from siemspark.operators.events import batch_scan, conflicting_ids, dedup_events
 from siemspark.plans.fixtures import with_ctes
 from siemspark.plans.registry import query
+from siemspark.session import shared_dir
 
 DAY10 = (1704844800, 0)            # 2024-01-10T00:00:00Z
 DAY20 = (1705708800, 500_000_000)
@@ -110,6 +111,23 @@ def search_page(t):
     return S.page(rows, 200, "desc").select(*_PAGE_COLUMNS)
 
 
+@query("search_stored", with_ctes("ne", body=f"""
+    SELECT normalized_event_id, event_time_seconds, event_time_nanos, user_name FROM ne
+    WHERE event_time_present = 1 AND tenant_id = 'tenant-1' AND user_name = 'user7'
+      AND event_time_seconds * 1000000000 + event_time_nanos >= {DAY10[0]}000000000 + {DAY10[1]}
+      AND event_time_seconds * 1000000000 + event_time_nanos < {DAY20[0]}000000000 + {DAY20[1]}"""))
+def search_stored(t):
+    """The normalized table, written once by tenant, mode and day: range, tenant and field reach the scan."""
+    path = shared_dir(t.spark, "normalized")
+    rows = t.normalized_events
+    (rows.hint("rebalance", F.col("tenant_id"), F.col("execution_mode"), F.col("event_date"))
+     .sortWithinPartitions("tenant_id", "execution_mode", "event_date", "event_time_seconds", "event_time_nanos")
+     .write.partitionBy("tenant_id", "execution_mode", "event_date").parquet(path))
+    found = S.search(t.spark.read.schema(rows.schema).parquet(path), "tenant-1", DAY10, DAY20,
+                     {"field": "user.name", "op": "==", "value": "user7"})
+    return found.select("normalized_event_id", "event_time_seconds", "event_time_nanos", "user_name")
+
+
 @query("search_next_page", with_ctes("ne", body=_PAGE_SQL.format(
     d="ASC", w=f"""(event_time_seconds > {DAY10[0]} OR (event_time_seconds = {DAY10[0]} AND
        (event_time_nanos > 5 OR (event_time_nanos = 5 AND normalized_event_id > '018f47a2'))))""")))
