@@ -3,12 +3,14 @@
 Texts are bags of hashed words and word pairs.  Three generative models come from
 labelled documents: the target (good, not toxic), low quality, and toxic.  Raw text
 is their mixture in the labelled shares.  A bucket's probability in one of the other
-groups is the target's times a ratio.  Buckets whose counts do not differ by more
-than a margin share one ratio, the one that makes probabilities sum to 1, so chance and
-mere differences of language do not add up over a long text.  A document's log weight is the log ratio of its probability in the
-target model to that in raw text, summed over its n-grams.
-
-As many documents are drawn as are likelier target documents than not, and Gumbel
+groups is the target's times a ratio.  Buckets whose counts do not differ clearly
+share one ratio, the one that makes probabilities sum to 1, so chance and mere
+differences of language do not add up over a long text.  A group is judged by the whole
+text or by its most telling passage of ``PASSAGE`` words, whichever says more, so that
+length clears no document.  The log weight is the log ratio of the document's
+probability in the target model to that in raw text.
+
+As many documents are drawn as may well be target documents (``LEAST_TARGET``), and Gumbel
 top-k draws them without replacement: the largest sums of log weight and scaled Gumbel
 noise stay.  Noise comes from the document's id, so a repeated task draws the same.
 Only the labelled sample is bounded: weights, their number and the k-th largest key
@@ -34,9 +36,11 @@ from siemspark.llm.common import chunks, id_text, mix64, stage, word_hashes
 from siemspark.llm.labels import SAMPLE_ROWS, labelled
 
 BITS = 20
-SHRINK = 2.0
-MARGIN = 1.0
-CHUNK = 4_000_000
+SHRINK, SHRINK_SHARE = 2.0, 5e-6  # pseudo-count of a bucket: the larger of both, the second of a group's n-grams
+MARGIN, SIGMAS = 1.5, 6.0  # least log ratio, and least deviation, of a bucket with a ratio of its own
+PASSAGE = 100  # words
+LEAST_TARGET = 0.3  # probability of being a target document from which one counts towards the number drawn
+CHUNK = 2_000_000
 GROUPS = ("target", "low", "toxic")
 _SYMBOLS = b"#*$%&|<>"
 # Letters in lower case, sentence marks as white space.
@@ -71,19 +75,26 @@ class Weights:
         """Log weight and probability of being a target document, per text."""
         if not np.isfinite(self.share[0]):
             return np.zeros(len(texts)), np.ones(len(texts))
-        bags = [ngrams(t) for t in texts]
-        sizes = np.array([len(b) for b in bags], np.int64)
-        total = np.zeros((len(GROUPS), len(bags)))
-        full = np.flatnonzero(sizes)
-        if len(full):
-            flat = np.concatenate(bags)
-            at = (np.cumsum(sizes) - sizes)[full]
-            for c in range(1, len(GROUPS)):
-                total[c, full] = np.add.reduceat(self.ratio[c - 1][flat], at)
+        total = np.zeros((len(GROUPS), len(texts)))
+        for i, text in enumerate(texts):
+            bag = ngrams(text)
+            n = (len(bag) + 1) // 2  # words; pairs follow
+            for c in range(1, len(GROUPS) if n else 1):
+                found = self.ratio[c - 1][bag].astype(float)
+                found[1:n] += found[n:]
+                total[c, i] = _telling(found[:n])
         weight = -np.logaddexp.reduce(total + self.share[:, None], axis=0)
         return weight, np.exp(weight + self.share[0])
 
 
+def _telling(ratios: np.ndarray) -> float:
+    """The sum over all words, or over the passage that has the largest."""
+    if len(ratios) <= PASSAGE:
+        return ratios.sum()
+    total = np.concatenate([[0.0], np.cumsum(ratios)])
+    return max(total[-1], (total[PASSAGE:] - total[:-PASSAGE]).max())
+
+
 def _tally(batches: Iterator[pa.RecordBatch]):
     counts = np.zeros((len(GROUPS), 1 << BITS), np.int64)
     for batch in batches:
@@ -111,10 +122,12 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> Weigh
         if not total[f"n{c}"]:
             continue
         expected = F.col("n0") * (total[f"n{c}"] / total["n0"])
-        lift = F.log((F.col(f"n{c}") + SHRINK) / (expected + SHRINK))
+        shrink = max(SHRINK, SHRINK_SHARE * total[f"n{c}"])
+        lift = F.log((F.col(f"n{c}") + shrink) / (expected + shrink))
+        clear = F.abs(F.col(f"n{c}") - expected) >= SIGMAS * F.sqrt(expected + 1)
         # Only buckets that differ clearly, of which a bounded sample has few.
-        found = (counts.select("bucket", "n0", F.col(f"n{c}").alias("n"), lift.alias("r"))
-                 .where(F.abs("r") >= MARGIN).toArrow())
+        found = (counts.select("bucket", "n0", F.col(f"n{c}").alias("n"), lift.alias("r"), clear.alias("clear"))
+                 .where((F.abs("r") >= MARGIN) & F.col("clear")).toArrow())
         rest = [1 - found[n].to_numpy().sum() / all_ for n, all_ in (("n", total[f"n{c}"]), ("n0", total["n0"]))]
         ratio[c - 1] = np.log(max(rest[0], 1e-9) / max(rest[1], 1e-9))
         ratio[c - 1, found["bucket"].to_numpy()] = found["r"].to_numpy()
@@ -164,7 +177,7 @@ def resample(docs: DataFrame, model: Weights, temperature: float = 0.1, seed: in
                                              names=["doc_id", "log_weight", "target", "key"])
 
     scored = stage(id_text(docs).mapInArrow(run, "doc_id long, log_weight double, target double, key long"), "weights")
-    return scored, kth_largest(scored, scored.where(F.col("target") >= 0.5).count())
+    return scored, kth_largest(scored, scored.where(F.col("target") >= LEAST_TARGET).count())
 
 
 def classify(docs: DataFrame, labels: DataFrame, temperature: float = 0.1, seed: int = 1,
