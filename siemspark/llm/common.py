@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 
 from siemspark.session import ensure_settings, shared_dir
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table.  Queries hand texts to Python in batches of a few megabytes, unless the session says otherwise."""
     ensure_settings(spark)
+    if spark.conf.get(BATCH_ROWS, None) == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -86,7 +90,7 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 400_000:
+        if len(self) >= 150_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

@@ -37,7 +37,7 @@ from siemspark.llm.components import components
 COORDINATES = 1024
 BANDS = 42
 ROWS = 6  # coordinates per band
-CHUNK = 4_000_000  # characters worked on at once
+CHUNK = 2_000_000  # characters worked on at once
 BLOCK = 512  # members of a bucket compared in one task with as many others
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))

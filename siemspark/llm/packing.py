@@ -28,7 +28,7 @@ from siemspark.llm.common import chunks, id_text, stage, worker_store
 
 PART_PIECES = 8_192
 CHUNK = 2_000_000  # characters tokenised at once
-MEMO = 400_000  # words kept in each of two generations
+MEMO = 250_000  # words kept in each of two generations
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
 
