@@ -21,7 +21,7 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table.  Queries hand texts to Python in batches of a few megabytes, unless the session says otherwise."""
     ensure_settings(spark)
-    if spark.conf.get(BATCH_ROWS, None) == "10000":
+    if spark.conf.get(BATCH_ROWS) == "10000":
         spark.conf.set(BATCH_ROWS, "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -63,8 +63,10 @@ def bucket_count(items: int, per_bucket: int = 4_000_000, least: int = 1024) ->
 
 
 def worker_store(name: str) -> dict:
-    """A dict that lives as long as the Python worker, shared by its tasks."""
+    """A dict that lives in the Python worker, shared by its tasks, until another name is asked for."""
     holder = sys.modules.setdefault("_siemspark_worker", types.ModuleType("_siemspark_worker"))
+    for other in [k for k, v in holder.__dict__.items() if isinstance(v, dict) and k not in (name, "__builtins__")]:
+        del holder.__dict__[other]
     return holder.__dict__.setdefault(name, {})
 
 
