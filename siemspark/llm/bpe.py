@@ -185,7 +185,10 @@ def _codec(shared, pattern: str, path: str) -> Codec:
     store = worker_store("bpe")
     key = (path, pattern)
     if key not in store:
-        store[key] = Codec(*shared.value, pattern)
+        entries, state = shared.value
+        index = PerfectHash.__new__(PerfectHash)
+        index.__dict__.update(state)
+        store[key] = Codec(entries, index, pattern)
     return store[key]
 
 
@@ -196,8 +199,9 @@ def _vocabulary(path: str) -> tuple[list[bytes], PerfectHash]:
 
 
 def _shared(docs: DataFrame, path: str):
-    """The vocabulary and its hash; as large as the vocabulary file, whatever the corpus."""
-    return docs.sparkSession.sparkContext.broadcast(_vocabulary(path))
+    """The vocabulary and its hash, as plain data; as large as the vocabulary file, whatever the corpus."""
+    entries, index = _vocabulary(path)
+    return docs.sparkSession.sparkContext.broadcast((entries, vars(index)))
 
 
 def _rows(batches):
