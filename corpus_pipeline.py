@@ -24,8 +24,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and the boosted trees over their statistics."""
-    return rules.keep(docs, rules.train(docs, table(spark, sf_dir, "labels")))
+    """Documents that pass the base rule and the boosted trees over their statistics.
+
+    The trees are fitted on the raw table: the stage before has taken the labelled low-quality documents away.
+    """
+    return rules.keep(docs, rules.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -202,6 +202,21 @@ def test_pipeline(spark, tables):
     assert {r.doc_id for r in seen["best_fit_packing"].select("doc_id").collect()} == set(ids["substring_dedup"])
 
 
+def test_quality_rules_are_fitted_on_raw_documents(spark, tables):
+    """Low-quality documents that reach the stage go, also where none of another quality is left to fit on."""
+    import corpus_pipeline as pipeline
+
+    docs, labels = tables["documents"], tables["labels"]
+    low = docs.join(labels.where("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi")
+    base = rules.keep(low, None).count()
+    assert base > 0
+    assert pipeline.quality_rules(spark, low, DATA).count() <= 0.1 * base
+    kept = resample.keep(docs, labels)
+    alone = {r.doc_id for r in rules.judge(docs, rules.train(docs, labels)).where("kept").collect()}
+    out = {r.doc_id for r in pipeline.quality_rules(spark, kept, DATA).collect()}
+    assert out == alone & {r.doc_id for r in kept.select("doc_id").collect()}
+
+
 @pytest.mark.parametrize("name", ["quality_classifier", "quality_rules", "near_dedup", "substring_dedup", "best_fit_packing"])
 def test_stages_on_odd_rows(spark, docs, empty, name):
     import corpus_pipeline as pipeline
