@@ -34,14 +34,16 @@ PLACED = PIECES + ", sequence_id long, offset long"
 
 
 class WordTokenizer:
-    """Ids of texts by a tokenizer that never joins across ASCII white space."""
+    """Ids of texts by a tokenizer that never joins across ASCII white space.
+
+    Special tokens that a text quotes are found as the tokenizer finds them; they hold no white space.
+    """
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 

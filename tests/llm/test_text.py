@@ -110,6 +110,24 @@ def test_word_tokenizer_equals_whole_texts(text):
     assert np.frombuffer(own([text])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["foo", " ", "\n", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "é", "'s", "bar"]), max_size=9))
+def test_word_tokenizer_on_quoted_special_tokens(parts):
+    from tokenizers import Tokenizer
+
+    if not hasattr(test_word_tokenizer_on_quoted_special_tokens, "pair"):
+        test_word_tokenizer_on_quoted_special_tokens.pair = (
+            Tokenizer.from_file(WORDS), packing.WordTokenizer(open(WORDS, encoding="utf-8").read()))
+    plain, own = test_word_tokenizer_on_quoted_special_tokens.pair
+    text = "".join(parts)
+    assert np.frombuffer(own([text])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_a_quoted_special_token(spark):
+    rows = [(1, "foo <|endoftext|> bar"), (2, "foo<|endoftext|>bar"), (3, "plain")]
+    check_packing(rows, packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), WORDS).collect())
+
+
 @pytest.fixture(scope="module")
 def codec():
     entries, index = bpe._vocabulary(RANKS)
