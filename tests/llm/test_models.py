@@ -132,6 +132,32 @@ def test_wrapper_finds_template_and_content():
     assert wrapper.induce([same.format(i) for i in range(8)])["template"] == []
 
 
+def prose(n, k=12):
+    """Words of their own for every page and block."""
+    return " ".join(f"w{n}x{i}" for i in range(k))
+
+
+def texts(spark, sources):
+    """Texts of pages by number, a host for each name."""
+    rows = [(i, f"http://{host}.example/{i}", page) for i, (host, page) in enumerate(sources)]
+    out = wrapper.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    return [r.text for r in sorted(out)]
+
+
+def test_pages_keep_all_varying_text_without_marked_articles(spark):
+    forms = ["<div class=content><h1>T {0}</h1><p>{1}</p><div class=body><p>{2}</p><p>{3}</p><p>{4}</p></div></div>",
+             "<div><div class=a><p>{2}</p><p>{3}</p></div><div class=b><p>{1}</p></div></div>",
+             "<div class=section><p>{1}</p></div><div class=section><p>{2}</p><p>{3}</p></div><div class=section><p>{4}</p></div>"]
+    sources, want = [], []
+    for f, form in enumerate(forms):
+        for n in range(8):
+            parts = [prose(f"{f}p{n}q{k}", 12 if k == 1 else 60) for k in range(1, 5)]
+            sources.append((f"h{f}", "<html><body>" + form.format(n, *parts) + "</body></html>"))
+            p = parts
+            want.append("\n".join([[f"T {n}", *p], [p[1], p[2], p[0]], p][f]))
+    assert texts(spark, sources) == want
+
+
 def test_pages_of_the_table(tables):
     import html
     import re
