@@ -158,6 +158,34 @@ def test_pages_keep_all_varying_text_without_marked_articles(spark):
     assert texts(spark, sources) == want
 
 
+def test_template_goes_by_slot_layout_and_content(spark):
+    notice, long = "<p>All rights are with the makers of this site</p>", "<p>" + prose("boiler", 80) + "</p>"
+    sources, want = [], []
+
+    def host(name, pages):
+        for page, text in pages:
+            sources.append((name, f"<html><body>{page}</body></html>"))
+            want.append(text)
+
+    p = [prose(n) for n in range(40)]
+    host("marked", [(f"<main><p>{x}</p>{notice}</main>", x) for x in p[:8]])
+    host("short", [(f"<div><p>{x}</p>{long}</div>", x) for x in p[:8]])
+    host("two", [(f"<div><p>{x}</p>{notice}</div>", x) for x in p[:2]])
+    host("layouts", [(f"<div class=a><p>{x}</p>{notice}</div>", x) for x in p[:6]]
+         + [(f"<div class=b><div class=c><p>{x}</p></div></div>", x) for x in p[6:20]])
+    # In one slot of both layouts, constant in one of them.
+    host("shared", [(f"<div><p>{x}</p>{notice}<ul><li>{x} item</li></ul></div>", f"{x}\n{x} item") for x in p[:6]]
+         + [(f"<div><p>{x}</p></div><div class=d><p>{x} d</p></div>", f"{x}\n{x} d") for x in p[6:20]])
+    # On most pages of a host, far more than a sample sees; a text on half of them stays.
+    host("many", [(f"<div><p>{x}</p>{notice if n < 38 else ''}{long if n % 2 else ''}</div>",
+                   x + ("\n" + prose("boiler", 80) if n % 2 else "")) for n, x in enumerate(p)])
+    # Copies and near copies of one article are no template.
+    host("same", [(f"<div><p>{p[0]}</p>{long}</div><!-- {n} -->", f"{p[0]}\n{prose('boiler', 80)}") for n in range(4)])
+    near = [f"{prose('near', 60)} {n}" for n in range(6)]
+    host("near", [(f"<div><p>{x}</p>{long}</div>", f"{x}\n{prose('boiler', 80)}") for x in near])
+    assert texts(spark, sources) == want
+
+
 def test_pages_of_the_table(tables):
     import html
     import re
