@@ -186,6 +186,19 @@ def test_template_goes_by_slot_layout_and_content(spark):
     assert texts(spark, sources) == want
 
 
+def test_words_of_class_and_id_are_hints(spark):
+    p = [[prose(f"{n}b{k}", 30) for k in range(4)] for n in range(3)]
+    article = ("<article><h1>T</h1><p>{0}</p><section id=discussion><p>{1}</p><p>short</p></section>"
+               "<div id=search-results-explained><p>{2}</p></div><div class=related><p>See also</p></div></article>")
+    framed = "<div class='content sidebar-left'><p>{0}</p><p>{1}</p></div><div class=sidebar><p>Links here</p></div>"
+    titled = "<div class=promo><h1>T {0}</h1></div><div class=x><p>{1}</p><p>{2} <span class=share>Share it</span></p></div>"
+    sources = [(f"{name}{n}", f"<html><body>{form.format(*x)}</body></html>")
+               for name, form in (("a", article), ("f", framed), ("t", titled)) for n, x in enumerate(p)]
+    want = [f"T\n{x[0]}\n{x[1]}\nshort\n{x[2]}" for x in p] + [f"{x[0]}\n{x[1]}" for x in p]
+    want += [f"T {x[0]}\n{x[1]}\n{x[2]}" for x in p]
+    assert texts(spark, sources) == want
+
+
 def test_pages_of_the_table(tables):
     import html
     import re
