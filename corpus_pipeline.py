@@ -6,7 +6,7 @@ stage to the shared folder, so a lost executor costs no earlier stage.
 
 Nulls, empty texts, repeated rows and empty tables are as the operators define them:
 a null text is an empty one, a row without ``doc_id`` takes no part in comparisons and
-stays, and near duplicates keep the row whose ``doc_id`` names its group.
+stays, and near duplicates keep one row of the ``doc_id`` that names a group, the smallest.
 """
 
 from __future__ import annotations
@@ -35,7 +35,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, similarity of 0.8), the smallest id."""
     found = minhash.near_duplicates(docs, percent=80, width=5)
     gone = stage(found.where(~F.col("kept")).select("doc_id").distinct(), "duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    docs = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # Rows of one id are one document: the smallest row stays.
+    repeated = stage(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n"))
+                     .where("n > 1").select("doc_id"), "repeated")
+    rows = docs.join(repeated, "doc_id", "left_semi").select("doc_id", F.struct(*docs.columns).alias("row"))
+    rows = rows.groupBy("doc_id").agg(F.min("row").alias("row")).select("row.*")
+    return docs.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(rows)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ Nothing is capped.
 
 Defined results: documents without words (null or empty text) have an empty set,
 no links, and their own id as component.  Rows that repeat a ``doc_id`` belong to
-one node.  A null ``doc_id`` takes no part: component null, kept true.
+one node, which has the links of all its texts.  A null ``doc_id`` takes no part: component null, kept true.
 """
 
 from __future__ import annotations
@@ -79,18 +79,27 @@ def band_keys(rows: np.ndarray) -> np.ndarray:
     return key
 
 
+def _print(found: np.ndarray) -> bytes | None:
+    """128 bits of a set; none for the empty one."""
+    return xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None
+
+
+def _number(print_: bytes | None) -> int | None:
+    return int.from_bytes(print_[:8], "little", signed=True) if print_ else None
+
+
 def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]):
         for ids, texts in chunks(batches, CHUNK, lambda t: len(t or "")):
             sets = [shingles(t, width) for t in texts]
             full = [s for s in sets if len(s)]
             marks = iter(sketches(full))
-            prints = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            prints = [_print(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array(prints, pa.binary()),
+                 pa.array(prints, pa.binary()), pa.array(map(_number, prints), pa.int64()),
                  pa.array([next(marks).tobytes() if len(s) else None for s in sets], pa.binary())],
-                names=["doc_id", "n_shingles", "print", "sketch"])
+                names=["doc_id", "n_shingles", "print", "number", "sketch"])
 
     return run
 
@@ -113,6 +122,17 @@ def _sets(width: int):
     return run
 
 
+def _printed_sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]):
+        for ids, texts in chunks(batches, CHUNK, lambda t: len(t or "")):
+            sets = [shingles(t, width) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array([_print(s) for s in sets], pa.binary()),
+                 pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "print", "set"])
+
+    return run
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -169,17 +189,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     Two documents are linked when ``100 * intersection >= percent * union``.
     """
     docs = id_text(docs)
-    marks = stage(docs.mapInArrow(_signatures(width), "doc_id long, n_shingles long, print binary, sketch binary"),
-                  "sketches")
+    marks = stage(docs.mapInArrow(_signatures(width), "doc_id long, n_shingles long, print binary, number long, "
+                                  "sketch binary"), "sketches")
     named = marks.where(F.col("doc_id").isNotNull() & F.col("print").isNotNull())
-    classes = stage(named.groupBy("print").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = stage(named.join(classes, (named["doc_id"] == classes["rep"]) & (named["print"] == classes["print"]))
+    # Ids with several texts: a class is numbered by its smallest id, or by its print if that id has another class.
+    repeated = stage(named.groupBy("doc_id").agg(F.min("print").alias("p"), F.max("print").alias("q")).where("p <> q")
+                     .select("doc_id", "p"), "repeated")
+    classes = named.groupBy("print").agg(F.min("doc_id").alias("least"), F.min("number").alias("number"))
+    classes = stage(classes.join(repeated, classes["least"] == repeated["doc_id"], "left").select(
+        "print", "least", F.when(F.coalesce("p", "print") == F.col("print"), F.col("least")).otherwise(F.col("number"))
+        .alias("rep")), "classes")
+    reps = stage(named.join(classes, (named["doc_id"] == classes["least"]) & (named["print"] == classes["print"]))
                  .select("rep", "n_shingles", "sketch"), "reps")
     # Rows that share an id but not a text are one node: their classes are linked as they stand.
-    same = (named.select("doc_id", "print").distinct().join(classes, "print")
-            .where(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    repeated = named.groupBy("doc_id").agg(F.min("print").alias("p"), F.max("print").alias("q")).where("p <> q")
-    same = same.join(repeated.select(F.col("doc_id").alias("a")), "a", "left_semi")
+    own = (named.join(repeated.select("doc_id"), "doc_id", "left_semi").select("doc_id", "print").distinct()
+           .join(classes, "print").select("doc_id", "rep"))
+    own = stage(own, "own")
+    same = (own.join(own.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").where(F.col("rep") != F.col("b"))
+            .select(F.col("rep").alias("a"), "b"))
 
     bands = stage(reps.select("rep", "sketch").mapInArrow(_bands, "key long, rep long"), "bands")
     heads = stage(bands.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last"))
@@ -193,11 +220,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     stars = stars.where((100 * F.col("most_a") >= percent * F.col("least_b"))
                         & (100 * F.col("most_b") >= percent * F.col("least_a"))).select("a", "b")
     # The full sets of whatever met another document, read once for both rounds.
-    ids = met.select(F.col("rep").alias("doc_id")).distinct()
+    ids = met.select(F.col("rep").alias("doc_id")).distinct().join(repeated, "doc_id", "left_anti")
     texts = docs.join(ids.hint("merge"), "doc_id", "left_semi").select("doc_id", "text")
-    # A repeated id may come with several texts; the smallest stands for it.
+    # Texts of one id differ in case and white space here; the smallest stands for them.
     texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
-    sets = stage(texts.mapInArrow(_sets(width), "id long, set binary"), "sets")
+    once = texts.mapInArrow(_sets(width), "id long, set binary")
+    # A repeated id has a set for each class it stands for.
+    several = (docs.join(repeated, "doc_id", "left_semi").select("doc_id", "text").distinct()
+               .mapInArrow(_printed_sets(width), "doc_id long, print binary, set binary"))
+    several = (several.join(classes, (several["doc_id"] == classes["least"]) & (several["print"] == classes["print"]))
+               .select(F.col("rep").alias("id"), "set").dropDuplicates(["id"]))
+    sets = stage(once.union(several), "sets")
     links = _links(stars, sets, percent).union(same)
     labels = stage(components(links), "labels")
 
@@ -216,9 +249,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     late = _links(more, sets, percent)
     labels = stage(components(links.union(late)), "labels")
 
-    named_by = classes.join(labels, classes["rep"] == labels["node"], "left").select(
-        "print", F.coalesce("component", "rep").alias("component_id"))
-    out = marks.select("doc_id", "n_shingles", "print").join(named_by, "print", "left")
-    found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    grouped = stage(classes.join(labels, classes["rep"] == labels["node"], "left").select(
+        "print", "least", F.coalesce("component", "rep").alias("component")), "grouped")
+    # Numbers may be smaller than ids: a component is named by its smallest id.
+    names = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    named_by = grouped.join(names, "component").select("print", "component_id")
+    # Rows without words belong to the node of their id, if that has other texts.
+    blank = marks.where(F.col("doc_id").isNotNull() & F.col("print").isNull()).select("doc_id").distinct()
+    by_id = stage(named.select("doc_id", "print").join(blank, "doc_id", "left_semi").join(named_by, "print")
+                  .groupBy("doc_id").agg(F.min("component_id").alias("of_id")), "blank")
+    out = marks.select("doc_id", "n_shingles", "print").join(named_by, "print", "left").join(by_id, "doc_id", "left")
+    found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "of_id", "doc_id"))
     return out.select("doc_id", "n_shingles", found.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

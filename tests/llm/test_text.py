@@ -236,6 +236,30 @@ def test_near_duplicates_of_a_repeated_id(docs):
     assert {r.component_id for r in got if r.doc_id == 15} == {15}
 
 
+def test_near_duplicates_of_each_text_of_a_repeated_id(spark):
+    def text(name, changed=0):
+        return " ".join(f"{name}{i}" for i in range(200)) + "".join(f" new{changed}x{i}" for i in range(changed))
+
+    rows = [(15, text("a")), (15, text("b")), (15, text("b")), (30, text("b", 8)), (31, text("a", 8)),
+            (16, ""), (16, text("c")), (16, text("d")), (32, text("c", 8)), (33, text("d", 8)), (14, text("d", 5)),
+            (40, text("e")), (41, text("e")), (41, text("f")), (42, text("f", 7)), (43, text("g")), (44, text("g", 3))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, minhash.near_duplicates(df, 80).collect()))
+    assert got == cases.near(rows, 80)
+    assert {i: c for i, _, c, _ in got} == {15: 15, 30: 15, 31: 15, 16: 14, 32: 14, 33: 14, 14: 14,
+                                            40: 40, 41: 40, 42: 40, 43: 43, 44: 43}
+
+
+def test_near_dedup_keeps_one_row_of_an_id(spark):
+    import corpus_pipeline as pipeline
+
+    rows = [(12, "a b c d e f g"), (12, "a b c d e f g"), (13, "a b c d e f g"), (15, "x y z"), (15, "other words"),
+            (20, "alone here"), (None, "no id"), (None, "no id")]
+    out = pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert ordered(map(tuple, out)) == ordered([(12, "a b c d e f g"), (15, "other words"), (20, "alone here"),
+                                                (None, "no id"), (None, "no id")])
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(5)
     shared = rng.integers(0, 2 ** 63, 400, dtype=np.uint64)
