@@ -43,6 +43,15 @@ def test_katz_on_corpus_beats_base(corpus):
     assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
 
 
+def test_registered_model_reads_two_words_of_context(spark):
+    from siemspark.llm.catalog import QUERIES
+
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    want, _ = cases.katz(rows, [cases.held(i) for i, _ in rows], 3, katz.CUT, katz.discounts)
+    got = QUERIES["op1_katz_scores"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.doc_id: r.score for r in got} == {w[0]: pytest.approx(w[6]) for w in want}
+
+
 def test_katz_empty(empty):
     assert katz.score(empty, F.lit(False)).collect() == []
 
