@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 
 from siemspark.functions.scalars import (INPUT_TYPE_CODES, MODE_CODES, RULE_TYPE_CODES, enum_code,
                                          floor_div, millis)
+from siemspark.operators.ordered import CHUNK, backwards, in_chunks, later_chunks, with_carry
 
 # How many window lengths one bucket of a split group spans.
 BUCKET_WINDOWS = 8
+# Up to this rank Spark limits window groups before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
+MAP_SIDE_RANK = 1_000
+RANK_PARTS = 64
 
 
 # --- count threshold -------------------------------------------------------
@@ -31,7 +35,8 @@ def threshold_matches(events: DataFrame, group_by: Sequence[str], count: int, wi
 
     * time is cut into slices of one window.  Once a slice holds ``count``
       rows the run is complete, so later rows of that slice cannot end the
-      earliest run.  The rank filter is applied map-side before the shuffle.
+      earliest run.  The rank filter is applied map-side before the shuffle; where
+      Spark does not do so, above ``MAP_SIDE_RANK``, parts of a slice are ranked first.
     * slices are joined into buckets; the last slice of a bucket is also sent
       to the next one, which is all that a run ending there can reach back to.
     """
@@ -41,6 +46,11 @@ def threshold_matches(events: DataFrame, group_by: Sequence[str], count: int, wi
     rows = (events.where(known)
             .select(*keys, F.col(id_col).alias("_id"), F.col(time_ms).cast("long").alias("_t"))
             .withColumn("_slice", floor_div("_t", window_ms)))
+    if count > MAP_SIDE_RANK:
+        # Each of the parts of a slice keeps its first rows, so the slice itself is bounded.
+        part = Window.partitionBy(*keys, "_slice", "_part").orderBy("_t", "_id")
+        rows = (rows.withColumn("_part", F.pmod(F.xxhash64("_id"), F.lit(RANK_PARTS)))
+                .withColumn("_n", F.row_number().over(part)).where(F.col("_n") <= count).drop("_part", "_n"))
     in_slice = Window.partitionBy(*keys, "_slice").orderBy("_t", "_id")
     rows = rows.withColumn("_n", F.row_number().over(in_slice)).where(F.col("_n") <= count)
 
@@ -49,17 +59,19 @@ def threshold_matches(events: DataFrame, group_by: Sequence[str], count: int, wi
     rows = (rows.withColumn("_home", bucket)
             .withColumn("_bucket", F.explode(
                 F.when(last_slice, F.array(bucket, bucket + 1)).otherwise(F.array(bucket)))))
-    ordered = Window.partitionBy(*keys, "_bucket").orderBy("_t", "_id")
-    recent = ordered.rowsBetween(-(count - 1), 0)
-    start = F.lag("_t", count - 1).over(ordered) if count > 1 else F.col("_t")
-    hits = (rows.withColumn("_start", start)
-            .withColumn("_ids", F.collect_list("_id").over(recent))
-            .where((F.col("_home") == F.col("_bucket"))
-                   & (F.col("_t") - F.col("_start") <= window_ms)))
-    first = F.min_by(F.struct("_ids", "_start", "_t"), F.struct("_t", "_id"))
-    return (hits.groupBy(*keys).agg(first.alias("_m"))
-            .select(*keys, F.col("_m._ids").alias("event_ids"),
-                    F.col("_m._start").alias("first_ms"), F.col("_m._t").alias("last_ms")))
+    in_bucket = Window.partitionBy(*keys, "_bucket")
+    ordered = in_bucket.orderBy("_t", "_id")
+    hit = (F.col("_home") == F.col("_bucket")) & (F.col("_t") - F.col("_start") <= window_ms)
+    rows = (rows.withColumn("_rank", F.row_number().over(ordered))
+            .withColumn("_start", F.lag("_t", count - 1).over(ordered) if count > 1 else F.col("_t"))
+            .withColumn("_hit", F.min(F.when(hit, F.col("_rank"))).over(in_bucket))
+            # Only the run that ends at a bucket's first hit is gathered.
+            .where(F.col("_rank").between(F.col("_hit") - (count - 1), F.col("_hit"))))
+    runs = rows.groupBy(*keys, "_bucket").agg(F.array_sort(F.collect_list(F.struct("_t", "_id"))).alias("_run"))
+    first = F.min_by("_run", F.element_at("_run", -1))
+    return (runs.groupBy(*keys).agg(first.alias("_m"))
+            .select(*keys, F.col("_m._id").alias("event_ids"),
+                    F.col("_m")[0]["_t"].alias("first_ms"), F.element_at("_m", -1)["_t"].alias("last_ms")))
 
 
 def check_threshold_args(group_by, count, window_ms, late_policy: str = "ACCEPT") -> None:
@@ -85,38 +97,56 @@ def sequence_matches(rows: DataFrame, join_keys: Sequence[str], stages: Sequence
     also gives the shortest span for that start, so the earliest start whose
     chain fits is the answer.  One chain per group.
 
-    Groups are cut into time buckets; a row within one window after a bucket
-    start is also sent to the previous bucket, where chains that began there
-    may end.  Per bucket one sort serves all stages.
+    A group is cut into chunks of its ordered rows, however its times lie.  In a chunk
+    every row gets the chain that starts there as far as the chunk goes.  The summary of
+    a chunk is the chain from its first row of each stage; scanned from the last chunk to
+    the first these give, for each chunk and stage, how a chain that still needs that
+    stage goes on behind the chunk.
     """
     if len(stages) < 2:
         raise ValueError("a sequence needs at least two stages")
     if window_ms <= 0 or not join_keys:
         raise ValueError("a sequence needs a window and join keys")
-    keys = [tenant, *join_keys]
-    flags = [f"_s{i}" for i in range(len(stages))]
+    keys, order, last = [tenant, *join_keys], ["_t", "_id"], len(stages)
+    flags = [f"_s{i}" for i in range(last)]
     known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, time_ms, id_col]])
-    span = BUCKET_WINDOWS * window_ms
     src = (rows.where(known & reduce(lambda a, b: a | b, stages))
            .select(*keys, F.col(id_col).alias("_id"), F.col(time_ms).cast("long").alias("_t"),
-                   *[F.coalesce(s, F.lit(False)).alias(n) for s, n in zip(stages, flags)])
-           .withColumn("_home", floor_div("_t", span)))
-    reaches_back = F.col("_t") - F.col("_home") * span <= window_ms
-    src = src.withColumn("_bucket", F.explode(
-        F.when(reaches_back, F.array("_home", F.col("_home") - 1)).otherwise(F.array("_home"))))
-    later = (Window.partitionBy(*keys, "_bucket").orderBy(F.desc("_t"), F.desc("_id"))
-             .rowsBetween(Window.unboundedPreceding, -1))
-    chain = F.when(F.col(flags[-1]), F.struct(F.array("_id").alias("ids"), F.col("_t").alias("end")))
-    for flag in reversed(flags[:-1]):
-        src = src.withColumn("_c", chain).withColumn("_next", F.last("_c", ignorenulls=True).over(later))
-        chain = F.when(F.col(flag) & F.col("_next").isNotNull(),
-                       F.struct(F.concat(F.array("_id"), F.col("_next.ids")).alias("ids"),
-                                F.col("_next.end").alias("end")))
-    found = (src.withColumn("_c", chain)
-             .where(F.col("_c").isNotNull() & (F.col("_home") == F.col("_bucket"))
-                    & (F.col("_c.end") - F.col("_t") <= window_ms)))
-    first = F.min_by(F.struct("_c", "_t"), F.struct("_t", "_id"))
-    return (found.groupBy(*keys).agg(first.alias("_m"))
+                   *[F.coalesce(s, F.lit(False)).alias(n) for s, n in zip(stages, flags)]))
+    src = in_chunks(src, keys, order, "sequence")
+
+    def chain(ids, end, need):
+        return F.struct(ids.alias("ids"), end.alias("end"), need.alias("need"))
+
+    # From the last stage to the first: the row and the next stage's nearest later chain.
+    later = backwards(keys, order)
+    for n in reversed(range(last)):
+        here = chain(F.array("_id"), F.col("_t"), F.lit(n + 1))
+        if n < last - 1:
+            src = src.withColumn("_next", F.last(f"_p{n + 1}", ignorenulls=True).over(later))
+            here = F.when(F.col("_next").isNull(), here).otherwise(
+                chain(F.concat(F.array("_id"), F.col("_next.ids")), F.col("_next.end"), F.col("_next.need")))
+        src = src.withColumn(f"_p{n}", F.when(F.col(flags[n]), here))
+
+    def completed(partial, carried):
+        """The chain with what is carried for the stage it needs; null if that does not exist."""
+        out = F.when(partial["need"] == last, partial)
+        for n, rest in carried.items():
+            out = out.when((partial["need"] == n) & rest.isNotNull(),
+                           chain(F.concat(partial["ids"], rest["ids"]), rest["end"], F.lit(last)))
+        return out
+
+    first = [F.min_by(f"_p{n}", F.when(F.col(flags[n]), F.struct(*order))).alias(f"_f{n}") for n in range(1, last)]
+    carry = src.groupBy(*keys, CHUNK).agg(*first)
+    carried = {}
+    for n in reversed(range(1, last)):
+        carry = (carry.withColumn("_v", completed(F.col(f"_f{n}"), carried))
+                 .withColumn(f"_after{n}", F.last("_v", ignorenulls=True).over(later_chunks(keys))).drop("_v", f"_f{n}"))
+        carried[n] = F.col(f"_after{n}")
+    starts = src.where(F.col(flags[0])).select(*keys, CHUNK, *order, "_p0")
+    found = (with_carry(starts, carry, keys).withColumn("_c", completed(F.col("_p0"), carried))
+             .where(F.col("_c.end") - F.col("_t") <= window_ms))
+    return (found.groupBy(*keys).agg(F.min_by(F.struct("_c", "_t"), F.struct(*order)).alias("_m"))
             .select(*keys, F.col("_m._c.ids").alias("input_ids"),
                     F.col("_m._t").alias("start_ms"), F.col("_m._c.end").alias("end_ms")))
 
@@ -162,6 +192,18 @@ class SequenceRule:
     configuration: str = "account-compromise-sequence-v1"
 
 
+@dataclass(frozen=True)
+class JoinRule:
+    """Events of one predicate that meet events of another, with equal keys and within a window around them."""
+
+    rule_id: str
+    left: dict
+    right: dict
+    join_keys: tuple[str, ...]
+    after_ms: int
+    before_ms: int = 0
+
+
 def _eq(name, value):
     return {"op": "eq", "field": name, "value": value}
 
@@ -409,26 +451,79 @@ def absence_rule(triggers: DataFrame, expected: DataFrame, keys: Sequence[str],
                  time_ms: str = "event_time_ms", id_col: str = "normalized_event_id") -> DataFrame:
     """Trigger events not followed by an expected event within ``window_ms``.
 
-    Both sides are merged and cut into time buckets; an expected event shortly
-    after a bucket start is also sent to the previous bucket.  The next
-    expected time is then a running minimum over a descending sort, so no
-    trigger is paired with every expected event of its group.
+    An expected event at the trigger's own time follows it.  Rows lacking a key or a
+    time are left out.  Both sides are merged and cut into chunks of a key's
+    ordered rows; the next expected time is a running minimum inside the chunk or,
+    behind its last expected event, the first one of a later chunk.
     """
-    span = BUCKET_WINDOWS * window_ms
-    home = floor_div(time_ms, span)
-
-    def side(df, flag):
-        return df.select(*keys, F.col(id_col).alias("_id"), F.col(time_ms).alias("_t"),
-                         F.lit(flag).alias("_trigger"), home.alias("_home"))
-
-    rows = side(triggers, True).unionByName(side(expected, False))
-    back = ~F.col("_trigger") & (F.col("_t") - F.col("_home") * span <= window_ms)
-    rows = rows.withColumn("_bucket", F.explode(
-        F.when(back, F.array("_home", F.col("_home") - 1)).otherwise(F.array("_home"))))
-    later = (Window.partitionBy(*keys, "_bucket").orderBy(F.desc("_t"), F.desc("_trigger"))
-             .rowsBetween(Window.unboundedPreceding, -1))
-    following = F.min(F.when(~F.col("_trigger"), F.col("_t"))).over(later)
-    return (rows.withColumn("_next", following)
-            .where(F.col("_trigger") & (F.col("_home") == F.col("_bucket"))
-                   & (F.col("_next").isNull() | (F.col("_next") - F.col("_t") > window_ms)))
+    keys, order = list(keys), ["_t", "_kind", "_id"]
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, time_ms]])
+
+    def side(df, kind):
+        return df.where(known).select(*keys, F.col(id_col).alias("_id"), F.col(time_ms).cast("long").alias("_t"),
+                                      F.lit(kind).alias("_kind"))
+
+    rows = in_chunks(side(triggers, 0).unionByName(side(expected, 1)), keys, order, "absence")
+    time = F.when(F.col("_kind") == 1, F.col("_t"))
+    carry = (rows.groupBy(*keys, CHUNK).agg(F.min(time).alias("_first"))
+             .withColumn("_behind", F.min("_first").over(later_chunks(keys))).drop("_first"))
+    inside = rows.withColumn("_next", F.min(time).over(backwards(keys, order))).where(F.col("_kind") == 0)
+    found = with_carry(inside, carry, keys).withColumn("_next", F.coalesce("_next", "_behind"))
+    return (found.where(F.col("_next").isNull() | (F.col("_next") - F.col("_t") > window_ms))
             .select(*keys, F.col("_id").alias(id_col), F.col("_t").alias(time_ms)))
+
+
+def join_rule(left: DataFrame, right: DataFrame, keys: Sequence[str], after_ms: int, before_ms: int = 0,
+              time_ms: str = "event_time_ms", id_col: str = "normalized_event_id") -> DataFrame:
+    """Left events that meet right events of the same keys from ``before_ms`` before to ``after_ms`` after them.
+
+    One row per left event with a match: its id and time, the number of matches and the first one by (time, id).
+    Both ends belong to the window.  Rows lacking a key, an id or a time are left out; each
+    side must hold an id once.
+
+    No pair is made.  A left event asks at both ends of its window how many right events
+    come later; the difference is the number of matches, and the first that comes
+    after its beginning is the first match.  Questions and right events are merged and cut into
+    chunks of a key's ordered rows, which carry the count and first right event of the chunks behind.
+    """
+    if after_ms < 0 or before_ms < 0 or not keys:
+        raise ValueError("a join rule needs keys and a window")
+    keys, order = list(keys), ["_t", "_kind", "_id"]
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, time_ms, id_col]])
+
+    def side(df, *ends):
+        """``ends``: (kind, shift of the time)."""
+        t = F.col(time_ms).cast("long")
+        places = F.array(*[F.struct(F.lit(k).alias("_kind"), (t + F.lit(ms).cast("long")).alias("_t")) for k, ms in ends])
+        return df.where(known).select(*keys, F.col(id_col).alias("_id"), t.alias("_own"), F.inline(places))
+
+    # Kinds order equal times: a window's beginning, right events, a window's end.
+    rows = side(left, (0, -before_ms), (2, after_ms)).unionByName(side(right, (1, 0)))
+    rows = in_chunks(rows, keys, order, "join-rule")
+    is_right = F.col("_kind") == 1
+    event = F.when(is_right, F.struct("_t", "_id"))
+    carry = rows.groupBy(*keys, CHUNK).agg(F.sum(is_right.cast("long")).alias("_n"), F.min(event).alias("_first"))
+    behind = later_chunks(keys)
+    carry = (carry.withColumn("_count_behind", F.sum("_n").over(behind))
+             .withColumn("_next_behind", F.last("_first", ignorenulls=True).over(behind)).drop("_n", "_first"))
+    later = backwards(keys, order)
+    asked = (rows.withColumn("_count", F.sum(is_right.cast("long")).over(later))
+             .withColumn("_next", F.last(event, ignorenulls=True).over(later)).where(~is_right))
+    asked = with_carry(asked, carry, keys)
+    count = F.coalesce("_count", F.lit(0)) + F.coalesce("_count_behind", F.lit(0))
+    begins = F.col("_kind") == 0
+    found = (asked.groupBy(*keys, "_id", "_own")
+             .agg((F.max(F.when(begins, count)) - F.max(F.when(~begins, count))).alias("matches"),
+                  F.max(F.when(begins, F.coalesce("_next", "_next_behind"))).alias("_m"))
+             .where(F.col("matches") > 0))
+    return found.select(*keys, F.col("_id").alias(id_col), F.col("_own").alias(time_ms), "matches",
+                        F.col("_m._id").alias("first_match_id"), F.col("_m._t").alias("first_match_ms"))
+
+
+def join_matches(events: DataFrame, rule: JoinRule, time_ms: str = "event_time_ms") -> DataFrame:
+    """``join_rule`` over events of one table, with the rule's predicates; tenants never mix."""
+    from siemspark.functions.predicates import rule_predicate
+
+    left, right = (events.where(rule_predicate(p)) for p in (rule.left, rule.right))
+    found = join_rule(left, right, ["tenant_id", *rule.join_keys], rule.after_ms, rule.before_ms, time_ms)
+    return found.withColumn("rule_id", F.lit(rule.rule_id))

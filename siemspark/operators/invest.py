@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siemspark.functions.scalars import has_text, is_uuid_v7
-from siemspark.session import cut_lineage
+from siemspark.operators.changes import Rules, apply_changes, written  # noqa: F401
 
 # Allowed state changes and closed value sets.
 INCIDENT_TRANSITIONS = {
@@ -35,8 +34,6 @@ CASE_DISPOSITIONS = ["UNDETERMINED", "CONFIRMED_INCIDENT", "BENIGN_ACTIVITY", "F
                      "DUPLICATE", "TEST", "OTHER"]
 
 LEDGER_ROWS = 200
-# Objects with more changes than this are not folded as one array.
-FOLD_LIMIT = 10_000
 
 
 # --- state changes ---------------------------------------------------------
@@ -53,23 +50,6 @@ def _owner_ok(owner: Column) -> Column:
     return owner.isNull() | (owner == "") | is_uuid_v7(owner)
 
 
-@dataclass(frozen=True)
-class Rules:
-    """How one kind of object changes.
-
-    ``fields`` are the state columns besides ``version``; ``check(s, p)``
-    tells whether patch ``p`` fits state ``s``; ``change(s, p)`` gives the new
-    values; ``event(s, n, p)`` gives (event type, action, reason) for audit.
-    """
-
-    kind: str
-    fields: tuple[str, ...]
-    patch_fields: tuple[str, ...]
-    check: Callable[[Column, Column], Column]
-    change: Callable[[Column, Column], dict[str, Column]]
-    event: Callable[[Column, dict[str, Column], Column], tuple[Column, Column, Column]]
-
-
 def _set(s: Column, p: Column, name: str) -> Column:
     return F.coalesce(p[name], s[name])
 
@@ -89,9 +69,20 @@ def _incident_event(s, n, p):
             F.when(moved, "status_changed").otherwise("update"), p["reason"])
 
 
+def _place(value, values):
+    """Index in a list; null if it is not there."""
+    return F.nullif(F.array_position(F.lit(list(values)), value), F.lit(0)) - 1
+
+
+def _incident_writes(s, p):
+    return {n: written(p[n], p[n].isNotNull()) for n in ("title", "owner", "disposition")}
+
+
 INCIDENT = Rules("incident", ("status", "title", "owner", "disposition"),
                  ("status", "title", "owner", "disposition", "reason"),
-                 _incident_check, _incident_change, _incident_event)
+                 _incident_check, _incident_change, _incident_event,
+                 tuple({"status": s} for s in INCIDENT_TRANSITIONS),
+                 lambda s: _place(s["status"], INCIDENT_TRANSITIONS), ("status",), _incident_writes)
 
 
 def _closing(s, p):
@@ -134,127 +125,28 @@ def _case_event(s, n, p):
             .otherwise(reason))
 
 
+def _case_index(s):
+    decided = F.coalesce(s["disposition"] != "UNDETERMINED", F.lit(False)).cast("int")
+    return (_place(s["status"], CASE_TRANSITIONS) * 4 + decided * 2
+            + F.coalesce(has_text(s["closure_reason"]), F.lit(False)).cast("int"))
+
+
+def _case_writes(s, p):
+    again = F.coalesce(_reopening(s, p), F.lit(False))
+    out = {n: written(p[n], p[n].isNotNull()) for n in ("priority", "title", "owner")}
+    out["disposition"] = written(F.when(again, "UNDETERMINED").otherwise(p["disposition"]), again | p["disposition"].isNotNull())
+    out["closure_reason"] = written(F.when(again, "").otherwise(p["closure_reason"]), again | p["closure_reason"].isNotNull())
+    out["closed_ms"] = written(F.when(~again, p["at_ms"]), again | F.coalesce(_closing(s, p), F.lit(False)))
+    return out
+
+
 CASE = Rules("case", ("status", "priority", "title", "owner", "disposition", "closure_reason", "closed_ms"),
              ("status", "priority", "title", "owner", "disposition", "closure_reason", "reopen_reason",
-              "reason", "at_ms"), _case_check, _case_change, _case_event)
-
-
-def _step(rules: Rules, s: Column, p: Column):
-    """(accepted, new state fields, audit struct) of patch ``p`` on state ``s``."""
-    ok = F.coalesce((p["expected_version"] >= 1) & (p["expected_version"] == s["version"])
-                    & rules.check(s, p), F.lit(False))
-    new = rules.change(s, p)
-    kind, action, reason = rules.event(s, new, p)
-    audit = F.struct(kind.alias("event_type"), action.alias("action"), reason.alias("reason"),
-                     s["version"].alias("before_version"), (s["version"] + 1).alias("after_version"),
-                     s["status"].alias("before_status"), new["status"].alias("after_status"))
-    return ok, new, audit
-
-
-def apply_changes(objects: DataFrame, patches: DataFrame, rules: Rules, key: Sequence[str],
-                  order: Sequence[str], fold_limit: int = FOLD_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """(new states, audit rows) after a batch of versioned patches.
-
-    Patches of one object are taken in ``order``; one is accepted when it
-    names the current version and passes the checks, and then the version
-    goes up by one.  ``objects`` has ``key``, ``version`` and the state
-    fields; ``patches`` has ``key``, ``order``, ``expected_version`` and the
-    patch fields.
-
-    Most objects have few patches: those are folded as one bounded array.
-    An object with more than ``fold_limit`` is worked off version by version
-    instead: the next accepted patch is the first later one that names the
-    current version and fits, which is a join and a minimum, however many
-    patches name that version.
-    """
-    key, order = list(key), list(order)
-    patch_struct = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)],
-                            F.col("expected_version"), *[F.col(c) for c in rules.patch_fields])
-    state_struct = F.struct("version", *rules.fields)
-    tagged = patches.select(*key, patch_struct.alias("_p"))
-    counts = tagged.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    hot_keys = counts.where(F.col("_n") > fold_limit).select(*key)
-    base = objects.select(*key, state_struct.alias("_s"))
-
-    few = tagged.join(hot_keys, key, "left_anti")
-    calm = base.join(hot_keys, key, "left_anti")
-    state, audit = _fold(calm, few, rules, key)
-    if not hot_keys.isEmpty():
-        hot_state, hot_audit = _rounds(base.join(hot_keys, key, "left_semi"),
-                                       tagged.join(hot_keys, key, "left_semi"), rules, key, len(order))
-        state, audit = state.unionByName(hot_state), audit.unionByName(hot_audit)
-    return state, audit
-
-
-_AUDIT = ("array<struct<event_type:string,action:string,reason:string,before_version:int,"
-          "after_version:int,before_status:string,after_status:string>>")
-
-
-def _fold(base: DataFrame, patches: DataFrame, rules: Rules, key: list[str]):
-    lists = patches.groupBy(*key).agg(F.array_sort(F.collect_list("_p")).alias("_ps"))
-    start = F.struct(F.col("_s.version").cast("int").alias("version"),
-                     *[F.col("_s")[n].alias(n) for n in rules.fields],
-                     F.array().cast(_AUDIT).alias("audit"))
-
-    def merge(acc, p):
-        ok, new, audit = _step(rules, acc, p)
-        return F.struct(
-            F.when(ok, acc["version"] + 1).otherwise(acc["version"]).alias("version"),
-            *[F.when(ok, new[n]).otherwise(acc[n]).alias(n) for n in rules.fields],
-            F.when(ok, F.concat(acc["audit"], F.array(audit))).otherwise(acc["audit"]).alias("audit"))
-
-    done = (base.join(lists, key, "left")
-            .withColumn("_r", F.when(F.col("_ps").isNull(), start)
-                        .otherwise(F.aggregate("_ps", start, merge))))
-    state = done.select(*key, "_r.version", *[F.col("_r")[n].alias(n) for n in rules.fields])
-    audit = done.select(*key, F.explode("_r.audit").alias("_a")).select(*key, "_a.*")
-    return state, audit
-
-
-def _rounds(base: DataFrame, patches: DataFrame, rules: Rules, key: list[str], width: int):
-    """Version by version, for objects with very many patches.
-
-    Patches are laid out once by how far their version lies above the stored
-    one; round ``r`` reads only those of distance ``r``.
-    """
-    start = base.select(*key, F.col("_s.version").cast("int").alias("_v0"))
-    laid = (patches.join(start, key)
-            .withColumn("_d", F.col("_p.expected_version") - F.col("_v0")).where(F.col("_d") >= 0)
-            .drop("_v0"))
-    spark = base.sparkSession
-    from siemspark.session import shared_dir
-
-    path = shared_dir(spark, "patches")
-    laid.write.partitionBy("_d").parquet(path)
-    stored = spark.read.parquet(path)
-    distances = sorted(r[0] for r in stored.select("_d").distinct().collect())  # versions, not rows
-    position = F.struct(*[F.col("_p")[f"o{i}"].alias(f"o{i}") for i in range(width)])
-    none = F.lit(None).cast(patches.select(position).schema[0].dataType)
-    state = base.select(*key, F.struct(F.col("_s.version").cast("int").alias("version"),
-                                       *[F.col("_s")[n].alias(n) for n in rules.fields]).alias("_s"),
-                        none.alias("_at"), F.lit(0).alias("_moves"))
-    audits = None
-    for d in distances:
-        here = stored.where(F.col("_d") == d).select(*key, "_p")
-        ok, new, audit = _step(rules, F.col("_s"), F.col("_p"))
-        fits = (state.where(F.col("_moves") == d).join(here, key)
-                .where((F.col("_at").isNull() | (position > F.col("_at"))) & ok))
-        won = fits.select(*key, position.alias("_pos"), F.struct(
-            F.struct((F.col("_s.version") + 1).alias("version"),
-                     *[new[n].alias(n) for n in rules.fields]).alias("s"), audit.alias("a")).alias("_r"))
-        won = won.groupBy(*key).agg(F.min_by("_r", "_pos").alias("_r"), F.min("_pos").alias("_pos"))
-        joined = cut_lineage(state.join(won, key, "left"), "round")
-        moved = F.col("_r").isNotNull()
-        part = joined.where(moved).select(*key, "_r.a.*")
-        audits = part if audits is None else audits.unionByName(part)
-        state = joined.select(*key, F.coalesce("_r.s", "_s").alias("_s"),
-                              F.coalesce("_pos", "_at").alias("_at"),
-                              (F.col("_moves") + moved.cast("int")).alias("_moves"))
-    final = state.select(*key, "_s.version", *[F.col("_s")[n].alias(n) for n in rules.fields])
-    if audits is None:
-        audits = spark.createDataFrame([], final.select(*key, F.explode(F.array().cast(_AUDIT)).alias("_a"))
-                                       .select(*key, "_a.*").schema)
-    return final, audits
+              "reason", "at_ms"), _case_check, _case_change, _case_event,
+             # A case can close if its disposition is decided and its reason has text.
+             tuple({"status": s, "disposition": d, "closure_reason": r} for s in CASE_TRANSITIONS
+                   for d in ("UNDETERMINED", "OTHER") for r in ("", "text")),
+             _case_index, ("status",), _case_writes)
 
 
 # --- ledger and views ------------------------------------------------------

@@ -11,6 +11,7 @@ from siemspark.functions.scalars import (col, first_failure, in_timestamp_range,
                                          is_sha256, is_uuid_v7, rfc3339)
 from siemspark.functions.text import strict_json
 from siemspark.operators.detect import id_from_key
+from siemspark.operators.ordered import running_max
 
 DEFAULT_MAX_PAYLOAD = 1_048_576
 
@@ -238,13 +239,12 @@ def source_gaps(rows: DataFrame, keys: Sequence[str], sequence: str, order: Sequ
     A number at most one above the highest seen so far is no gap; repeats and
     steps back are ignored.  ``chunk`` must not decrease along ``order``: a
     source with a third of all rows is cut into chunks, each chunk gets the
-    highest number before it from a small per-chunk summary, and only then
+    highest number before it from a scan over chunks and chunks of chunks, and only then
     are rows compared inside their chunk.
     """
     seen = rows.where(F.col(sequence).isNotNull()).withColumn("_chunk", chunk)
-    upto = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (seen.groupBy(*keys, "_chunk").agg(F.max(sequence).alias("_top"))
-             .withColumn("_carry", F.max("_top").over(upto)).drop("_top"))
+    tops = seen.groupBy(*keys, "_chunk").agg(F.max(sequence).alias("_top"))
+    carry = running_max(tops, keys, "_chunk", "_top").withColumnRenamed("before", "_carry")
     inside = (Window.partitionBy(*keys, "_chunk").orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, -1))
     highest = F.greatest("_carry", F.max(sequence).over(inside))

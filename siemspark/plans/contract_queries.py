@@ -143,3 +143,17 @@ def absence(t):
     rows = live(t).where(F.col("user_name").isNotNull())
     return D.absence_rule(rows.where(F.col("status") == "Failure"),
                           rows.where(F.col("activity_name") == "Privilege Escalation"), ["tenant_id", "user_name"], DAY_MS)
+
+
+JOIN = D.JoinRule("DET-000301", D.FAILED_LOGIN, D.PRIVILEGE_ESCALATION, ("user_name",), DAY_MS, DAY_MS // 2)
+
+
+@query("join_rule", with_ctes("live", body="""
+    SELECT 'DET-000301' AS rule_id, a.tenant_id, a.user_name, a.normalized_event_id, a.time_ms AS event_time_ms, count(*) AS matches,
+      arg_min(b.normalized_event_id, (b.time_ms, b.normalized_event_id)) AS first_match_id, min(b.time_ms) AS first_match_ms
+    FROM live a JOIN live b ON a.tenant_id = b.tenant_id AND a.user_name = b.user_name
+      AND b.time_ms BETWEEN a.time_ms - 43200000 AND a.time_ms + 86400000
+    WHERE a.activity_name = 'Logon' AND a.status = 'Failure' AND b.activity_name = 'Privilege Escalation' GROUP BY ALL"""))
+def join_rule(t):
+    """Failed logins with a privilege escalation of the same user half a day before to a day after them."""
+    return D.join_matches(live(t), JOIN)

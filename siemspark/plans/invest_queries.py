@@ -205,12 +205,12 @@ INCIDENT_TARGETS = ["TRIAGED", "INVESTIGATING", "CONTAINED", "RESOLVED", "CLOSED
 CASE_TARGETS = ["TRIAGE", "INVESTIGATING", "RESPONSE", "RESOLVED", "CLOSED", "INVESTIGATING", "ON_HOLD"]
 
 
-def incident_changes(t, fold_limit=I.FOLD_LIMIT):
-    return I.apply_changes(incident_objects(t), patches(t, INCIDENT_TARGETS), I.INCIDENT, ["k"], ["seq"], fold_limit)
+def incident_changes(t):
+    return I.apply_changes(incident_objects(t), patches(t, INCIDENT_TARGETS), I.INCIDENT, ["k"], ["seq"])
 
 
-def case_changes(t, fold_limit=I.FOLD_LIMIT):
-    return I.apply_changes(case_objects(t), patches(t, CASE_TARGETS), I.CASE, ["k"], ["seq"], fold_limit)
+def case_changes(t):
+    return I.apply_changes(case_objects(t), patches(t, CASE_TARGETS), I.CASE, ["k"], ["seq"])
 
 
 def _allowed_sql(table):

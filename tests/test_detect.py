@@ -8,8 +8,20 @@ from pyspark.sql import functions as F
 
 from siemspark.operators import detect as D
 from siemspark.operators.events import conflicting_ids, dedup_events
+from siemspark.operators.ordered import in_chunks, running_max
 
 MIN = 60_000
+
+
+@pytest.fixture
+def many_chunks(spark):
+    """Ranges stay apart, so that small groups are cut into chunks too."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.unset(name)
+
+
 EVENTS = ("tenant_id string, normalized_event_id string, event_time_present int, event_time_seconds long, "
           "event_time_nanos int, activity_name string, status string, user_name string, src_ip string, "
           "execution_mode string")
@@ -97,8 +109,29 @@ def brute_sequence(rows, stages, window):
     return found
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_threshold_ranks_parts_of_a_slice_for_high_counts(spark, seed, monkeypatch):
+    monkeypatch.setattr(D, "MAP_SIDE_RANK", 1)
+    monkeypatch.setattr(D, "RANK_PARTS", 3)
+    rnd = random.Random(seed)
+    rows = [("t", rnd.choice(["hot", "hot", "u"]), "ip", rnd.randrange(300), f"e{i:04d}") for i in range(500)]
+    got = {(r.tenant_id, r.user_name, r.src_ip): r.event_ids for r in burst(spark, rows, 12, 20)}
+    assert got == brute_threshold(rows, 12, 20)
+
+
+def test_threshold_of_five_thousand(spark):
+    """All rows of a key in one slice, in number beyond Spark's map-side rank."""
+    df = spark.range(60_000).select(
+        F.lit("t").alias("tenant_id"), F.when(F.col("id") < 4_999, "few").otherwise("hot").alias("user_name"),
+        (F.col("id") % 977).alias("event_time_ms"), F.format_string("e%06d", "id").alias("normalized_event_id"))
+    out = D.threshold_matches(df, ["user_name"], 5_000, 10_000).collect()
+    assert [(r.user_name, len(r.event_ids), r.first_ms) for r in out] == [("hot", 5_000, 0)]
+    want = sorted(((i % 977, f"e{i:06d}") for i in range(4_999, 60_000)))[:5_000]
+    assert out[0].event_ids == [i for _, i in want] and out[0].last_ms == want[-1][0]
+
+
 @pytest.mark.parametrize("seed", range(4))
-def test_sequence_random(spark, seed):
+def test_sequence_random(spark, seed, many_chunks):
     rnd = random.Random(seed)
     span = [100, 2_000, 20_000, 500][seed]
     rows = [("t", "hot" if rnd.random() < 0.5 else f"u{rnd.randrange(8)}", rnd.choice("abcd"),
@@ -200,3 +233,75 @@ def test_sequence_input_checks(spark):
     for extra, match in ((("a", "t", "DET-000101", "u", 9, "LIVE"), "conflicting"), (("d", "t", "DET-000101", "u", 9, "TEST"), "another mode")):
         with pytest.raises(PySparkException, match=match):
             D.sequence_findings(spark.createDataFrame([*rows, extra], schema), rule, "LIVE").collect()
+
+
+@pytest.mark.parametrize("stages", ["ab", "abcd", "aba"])
+def test_sequence_of_other_lengths_at_one_time(spark, many_chunks, stages):
+    """Many rows of one key at one time: only ids order them."""
+    rnd = random.Random(7)
+    rows = [("t", rnd.choice(["hot", "hot", "u"]), rnd.choice("abcdx"), rnd.choice([5, 5, 5, 9]), f"s{i:04d}") for i in range(300)]
+    df = spark.createDataFrame(rows, "tenant_id string, user_name string, rule_id string, time_ms long, signal_id string")
+    out = D.sequence_matches(df, ["user_name"], [F.col("rule_id") == s for s in stages], 4).collect()
+    assert {(r.tenant_id, r.user_name): r.input_ids for r in out} == brute_sequence(rows, stages, 4)
+
+
+def test_hot_key_is_cut_into_chunks(spark, many_chunks):
+    """All rows of one key at one time are spread over all ranges."""
+    df = spark.range(40_000).select(F.lit("k").alias("k"), F.lit(1).alias("t"), "id").repartition(4)
+    sizes = [r["count"] for r in in_chunks(df, ["k"], ["t", "id"], "test").groupBy("_chunk").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 10_000
+
+
+def sides(rnd, n, span):
+    rows = [("t", rnd.choice(["hot", "hot", "u1", "u2", None]), rnd.choice([None, *[rnd.randrange(span)] * 9]),
+             f"e{i:04d}") for i in range(n)]
+    cut = rnd.randrange(n // 3, n // 2)
+    return rows[:cut], rows[cut:]
+
+
+SIDE = "tenant_id string, user_name string, event_time_ms long, normalized_event_id string"
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_absence_random(spark, seed, many_chunks):
+    rnd = random.Random(seed)
+    triggers, expected = sides(rnd, 400, [60, 3_000, 500, 50][seed])
+    if seed == 3:
+        expected = []
+    window = rnd.choice([0, 5, 40])
+    a, b = (spark.createDataFrame(x, SIDE) for x in (triggers, expected))
+    got = sorted(tuple(r) for r in D.absence_rule(a, b, ["tenant_id", "user_name"], window).collect())
+    want = sorted((t, u, i, at) for t, u, at, i in triggers if u is not None and at is not None and not any(
+        v == u and x is not None and at <= x <= at + window for _, v, x, _ in expected))
+    assert got == want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_join_rule_random(spark, seed, many_chunks):
+    rnd = random.Random(seed)
+    left, right = sides(rnd, 400, [60, 3_000, 500, 50][seed])
+    after, before = rnd.choice([(0, 0), (5, 0), (40, 7), (0, 30)])
+    a, b = (spark.createDataFrame(x, SIDE) for x in (left, right))
+    got = sorted(tuple(r) for r in D.join_rule(a, b, ["tenant_id", "user_name"], after, before).collect())
+    want = []
+    for t, u, at, i in left:
+        hits = sorted((x, j) for _, v, x, j in right if None not in (u, at, x) and v == u and at - before <= x <= at + after)
+        if hits:
+            want.append((t, u, i, at, len(hits), hits[0][1], hits[0][0]))
+    assert got == sorted(want)
+
+
+def test_join_rule_without_rows_or_window(spark):
+    none = spark.createDataFrame([], SIDE)
+    assert D.join_rule(none, none, ["user_name"], 5).collect() == []
+    for bad in ((["user_name"], -1), (["user_name"], 1, -1), ([], 1)):
+        with pytest.raises(ValueError, match="window"):
+            D.join_rule(none, none, *bad)
+
+
+def test_running_max_over_chunks_of_chunks(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice(["a", "a", None]), at, rnd.randrange(1000)) for at in rnd.sample(range(-3_000, 3_000), 500)]
+    df = spark.createDataFrame(rows, "k string, at long, v long")
+    got = {(r.k, r["at"]): r.before for r in running_max(df, ["k"], "at", "v", fan=7).collect()}
+    assert got == {(k, at): max([v for j, b, v in rows if j == k and b < at], default=None) for k, at, _ in rows}
