@@ -27,8 +27,8 @@ def with_chunk(docs: DataFrame, n: int) -> DataFrame:
     return docs.withColumn("chunk", chunk_of(n))
 
 
-def chunk_of(n: int):
-    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
+def chunk_of(n: int, key: str = "doc_id", text: str = "text"):
+    return F.pmod(F.xxhash64(key, text), F.lit(n)).cast("int")
 
 
 def slices(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

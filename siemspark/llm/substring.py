@@ -23,6 +23,8 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from siemspark.llm.common import (bucket_count, fixed_bytes, from_fixed_bytes, id_text, mix64, rolling, stage,
                                   text_bytes, word_hashes, words)
@@ -213,20 +215,23 @@ def _remove(width: int, buckets: int):
     return run
 
 
-def _replace(width: int, buckets: int, columns: list[str]):
+def _replace(width: int, buckets: int, names: list[str], columns: list[str], chars: str | None):
+    """``names``: the added key and text; ``columns``: what the rows had."""
+
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        table = _sorted(table)
-        texts, chars = table["text"].to_pylist(), table["n_chars"].to_pylist() if "n_chars" in columns else None
-        for d, (_, n, _, kept) in enumerate(_kept(table, answers, width, buckets)):
+        table = table.combine_chunks().sort_by([(n, "ascending") for n in names])
+        plain = pa.table({"doc_id": table[names[0]], "text": table[names[1]]})
+        texts, kinds = table["text"].to_pylist(), {n: table.schema.field(n).type for n in columns}
+        counts = table[chars].to_pylist() if chars else None
+        for d, (_, n, _, kept) in enumerate(_kept(plain, answers, width, buckets)):
             if n:
                 texts[d] = kept.decode("utf-8", "surrogatepass")
                 if chars:
-                    chars[d] = len(texts[d])
-        table = table.set_column(table.column_names.index("text"), "text", pa.array(texts, pa.string()))
+                    counts[d] = len(texts[d])
+        new = {"text": pa.array(texts, kinds["text"])}
         if chars:
-            at = table.column_names.index("n_chars")
-            table = table.set_column(at, "n_chars", pa.array(chars, table.schema.field(at).type))
-        return table.select(columns)
+            new[chars] = pa.array(counts, kinds[chars])
+        return pa.table([new.get(n, table[n]) for n in columns], names=columns)
 
     return run
 
@@ -258,8 +263,22 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
 
 
 def clean(docs: DataFrame, width: int = 13) -> DataFrame:
-    """The rows of ``docs`` with all their columns; texts with repeats keep their other words, others stay as they are."""
+    """The rows of ``docs`` with all their columns; texts with repeats keep their other words, others stay as they are.
+
+    ``n_chars`` follows the text where it is a whole number; any other column of that name is left alone.
+    Ids and texts may have any type that casts to a long and a string.
+    """
     answers, n, buckets = _asked(docs, width)
-    mine = docs.withColumn("_llm_chunk", chunk_of(n))
-    return mine.groupBy("_llm_chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        _replace(width, buckets, docs.columns), docs.schema)
+    taken = {c.lower() for c in docs.columns}
+    names = []
+    for name in ("key", "string", "chunk"):
+        while name in taken:
+            name = "_" + name
+        taken.add(name)
+        names.append(name)
+    chars = next((f.name for f in docs.schema if f.name == "n_chars" and isinstance(f.dataType, IntegralType)), None)
+    # The same casts as in the passes before, so every row is in the chunk that asked for it.
+    mine = docs.withColumns({names[0]: F.col("doc_id").cast("long"), names[1]: F.col("text").cast("string")})
+    mine = mine.withColumn(names[2], chunk_of(n, *names[:2]))
+    return mine.groupBy(names[2]).cogroup(answers.groupBy("chunk")).applyInArrow(
+        _replace(width, buckets, names[:2], docs.columns, chars), docs.schema)
