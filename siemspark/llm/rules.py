@@ -164,6 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> Trees
     """Trees that tell good from bad documents, from at most ``limit`` labelled ones."""
     rows = labelled(docs, labels, limit).select("doc_id", "text", "quality").mapInArrow(
         _sample, "x array<double>, y int").collect()
+    # In an order of their own, so that sums do not depend on the order of arrival.
+    rows.sort(key=lambda r: (r["x"], r["y"]))
     return fit(np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES)), np.array([r["y"] for r in rows], float))
 
 
