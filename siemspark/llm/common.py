@@ -71,10 +71,10 @@ def worker_store(name: str) -> dict:
 
 
 class TwoGenerationCache:
-    """A bounded memo: the younger half is kept when the limit is reached."""
+    """A bounded memo: the younger half is kept when the limit is reached.  Keys longer than ``longest`` are not kept."""
 
-    def __init__(self, make, limit: int):
-        self.make, self.limit, self.new, self.old = make, limit, {}, {}
+    def __init__(self, make, limit: int, longest: int = 4_000):
+        self.make, self.limit, self.longest, self.new, self.old = make, limit, longest, {}, {}
 
     def __getitem__(self, key):
         value = self.new.get(key)
@@ -82,6 +82,8 @@ class TwoGenerationCache:
             value = self.old.get(key)
             if value is None:
                 value = self.make(key)
+                if len(key) > self.longest:
+                    return value
             if len(self.new) >= self.limit:
                 self.old, self.new = self.new, {}
             self.new[key] = value

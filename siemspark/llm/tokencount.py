@@ -4,7 +4,8 @@ A text's pre-tokens are cut into the vocabulary pieces of largest total score.
 best score of a prefix depends on the prefix alone, so distinct pre-tokens are inserted
 in a trie and every node holds the forward score and piece count of its prefix, computed
 once for all pre-tokens that share it; terminals keep the counts.  Tries and terminals
-live in the Python worker, are bounded, and start anew when full.
+live in the Python worker, are bounded, and start anew when full.  A pre-token of more than
+``LONG`` bytes gets no nodes: the same recurrence runs over a ring of the last scores.
 
 Scores are fixed by the vocabulary: piece of rank r has -log(r + 1), as ranks follow
 frequency; no tokenizer is trained.  All single bytes are pieces, so every text has a
@@ -27,6 +28,7 @@ from siemspark.llm.bpe import read_ranks
 from siemspark.llm.common import id_text, worker_store
 
 NODES = 500_000
+LONG = 2_000  # bytes of a pre-token above which no nodes are made
 ROWS = 512
 COUNTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_pretokens", T.LongType()),
                        T.StructField("n_tokens", T.LongType()), T.StructField("score", T.DoubleType())])
@@ -46,6 +48,8 @@ class Trie:
 
     def insert(self, token: bytes) -> tuple[int, float]:
         """Piece count and score of a pre-token."""
+        if len(token) > LONG:
+            return self.ring(token)
         if len(self.best) > NODES:
             self.clear()
         path, node, child = [0], 0, self.child
@@ -68,6 +72,21 @@ class Trie:
             path.append(node)
         return pieces[node], best[node]
 
+    def ring(self, token: bytes) -> tuple[int, float]:
+        """The same for a long pre-token, whose prefixes nobody shares: only the last scores are kept, no nodes."""
+        size = self.longest + 1
+        best, pieces, scores = [0.0] * size, [0] * size, self.scores
+        for end in range(1, len(token) + 1):
+            top, least = -math.inf, 0
+            for start in range(max(0, end - self.longest), end):
+                gain = scores.get(token[start:end])
+                if gain is not None:
+                    total, n = best[start % size] + gain, pieces[start % size] + 1
+                    if total > top or total == top and n < least:
+                        top, least = total, n
+            best[end % size], pieces[end % size] = top, least
+        return pieces[len(token) % size], best[len(token) % size]
+
 
 class Counter:
     """Terminals of the trie by pre-token."""
@@ -85,10 +104,17 @@ class Counter:
         if len(pieces) > NODES:
             pieces.clear()
             scores.clear()
+        long = []
         for part in set(parts):
             if part not in pieces:
                 pieces[part], scores[part] = self.trie.insert(part.encode("utf-8", "surrogatepass"))
-        return len(parts), sum(map(pieces.__getitem__, parts)), math.fsum(map(scores.__getitem__, parts))
+                if len(part) > LONG:
+                    long.append(part)
+        out = len(parts), sum(map(pieces.__getitem__, parts)), math.fsum(map(scores.__getitem__, parts))
+        for part in long:
+            # Terminals hold short pre-tokens only.
+            del pieces[part], scores[part]
+        return out
 
 
 def token_counts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
