@@ -90,6 +90,24 @@ def targets(counted: DataFrame, weights: Sequence[float], share: float, epochs:
                          F.least(F.col("weight") * F.lit(level), F.col("source_size") * F.lit(epochs)).alias("target"))
 
 
+def words_before(buckets: DataFrame) -> DataFrame:
+    """(source, bucket, before): words of a source's earlier buckets.
+
+    Summed up in two steps of 256, so that a source is 256 groups and not one.
+    """
+    def earlier(*by):
+        return Window.partitionBy("source", *by).rowsBetween(Window.unboundedPreceding, -1)
+
+    none, high = F.lit(0), F.substring("bucket", 1, BUCKET_DIGITS // 2)
+    fine = buckets.withColumn("high", high)
+    fine = fine.withColumn("inside", F.coalesce(F.sum("words").over(earlier("high").orderBy("bucket")), none))
+    coarse = buckets.groupBy(F.col("source").alias("of"), high.alias("part")).agg(F.sum("words").alias("words"))
+    above = Window.partitionBy("of").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    coarse = coarse.withColumn("above", F.coalesce(F.sum("words").over(above), none)).drop("words")
+    both = fine.join(coarse, F.col("source").eqNullSafe(F.col("of")) & (F.col("high") == F.col("part")))
+    return both.select("source", "bucket", (F.col("above") + F.col("inside")).alias("before"))
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, epochs: float = 2.0,
         seed: str = "mix") -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of every document."""
@@ -105,9 +123,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     counted = buckets.groupBy("source").agg(F.sum("words").alias("source_size"))
     wanted = targets(counted, weights, share, epochs)
 
-    # At most 65,536 buckets of a source.
-    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.withColumn("before", F.coalesce(F.sum("words").over(earlier), F.lit(0))).drop("words")
+    buckets = words_before(buckets)
     whole = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0))
     wanted = (wanted.withColumn("whole", whole)
               .withColumn("rest", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")))
