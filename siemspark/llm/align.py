@@ -6,9 +6,9 @@ several tokens share one character (multibyte characters that A splits, byte-fal
 tokens of B) the lengths of the decoded bytes refine them.  Offsets where tokens of both end cut a text into
 groups; the two tokens that end at such an offset are linked.
 
-Neither tokenizer joins across a space that follows a character that is no white space (checked when B is
-loaded), so texts are cut there and every different segment is aligned once per chunk of documents, and once in a
-worker while its memo holds it.  A chunk keeps the segment numbers of its documents and lists each id pair once with
+Neither tokenizer joins across a space that follows a character that is no white space, nor a letter and a mark (checked
+when B is loaded), so texts are cut there and every different segment is aligned once per chunk of documents, and once in
+a worker while its memo holds it.  A chunk keeps the segment numbers of its documents and lists each id pair once with
 its count; pairs are summed over all chunks by Spark, the sums go back to the chunks by a join on the pair.
 A pair is at most one row of a chunk, however many documents hold it.
 
@@ -23,22 +23,27 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siemspark.llm.common import TwoGenerationCache, chunks, id_text, stage, worker_store
+from siemspark.llm.common import chunks, id_text, stage, worker_store
 
-CHUNK = 4_000_000  # characters of the documents of one chunk
+CHUNK = 8_000_000  # characters of the documents of one chunk
 PIECE = 1_000_000  # characters cut into segments at once
 CARRIER = 20_000  # characters of new segments that are encoded as one text
 LONG = 4_000
-MEMO = 120_000  # segments in each of two generations
+MEMO = 300_000  # segments in each of two generations
 SPACE_MARK = "▁"
 
-SEGMENT = re.compile(r"(?<=\S)(?= .)", re.S)
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Where texts are cut: before a space behind other than white space, and between a letter and an ASCII mark.
+SEGMENT = re.compile(rf"(?<=\S)(?= .)|(?<=[{LETTERS}])(?=[!-/:-@\[-`{{-~])", re.S)
+#: Stands before a segment that begins with a mark.
+FILLER = " a"
 CHUNKS = ("chunk long, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, "
           "digests array<string>, doc_segments binary, doc_sizes binary, segment_links binary, segment_sizes binary, "
           "pairs array<long>, times array<long>")
@@ -86,9 +91,10 @@ class Tokenizers:
                         for i, p in enumerate(pieces)]
         self.a_size = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
-        # A piece with a space after another character would join segments.
-        inside = re.compile(f"[^{SPACE_MARK}]{SPACE_MARK}")
-        self.separable = not any(inside.search(p) for p in pieces)
+        # A piece with a space after another character, or a mark after a letter, would join segments.
+        inside = re.compile(rf"[^{SPACE_MARK}]{SPACE_MARK}|[{LETTERS}][!-/:-@\[-`{{-~]")
+        self.separable = not any(inside.search(p) for i, p in enumerate(pieces) if not (
+            self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i)))
 
     def encode(self, texts: list[str]) -> list[tuple | None]:
         """(ids of A, their byte ends, ids of B, their byte ends) of texts that begin with a space.
@@ -100,8 +106,8 @@ class Tokenizers:
         of_b = self.b.encode([t[1:] for t in texts], return_type="proto", num_threads=1)
         for text, a, b in zip(texts, of_a, of_b, strict=True):
             data = text.encode()
-            a_ids, b_pieces = a.ids, b.pieces
-            b_ids = [p.id for p in b_pieces]
+            a_ids, b_spans = a.ids, [(p.id, p.begin, p.end) for p in b.pieces]
+            b_ids = [i for i, _, _ in b_spans]
             if b"".join([self.a_bytes[i] for i in a_ids]) != data or b"".join([self.b_bytes[i] for i in b_ids]) != data:
                 out.append(None)
                 continue
@@ -112,15 +118,14 @@ class Tokenizers:
             else:
                 codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
                 before = np.concatenate([[0], np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF))])
-            spans = np.array(a.offsets, np.int64).reshape(-1, 2)
+            spans = np.fromiter(chain.from_iterable(a.offsets), np.int64, 2 * len(a_ids)).reshape(-1, 2)
             if before is not None:
                 spans = before[spans]
             a_end = refine(spans[:, 0], spans[:, 1], self.a_size[a_ids])
             # Spans of B leave out the space that it adds.
-            begin = np.array([p.begin for p in b_pieces], np.int64) + 1
-            end = np.array([p.end for p in b_pieces], np.int64) + 1
-            begin[:1] = 0
-            out.append((a_ids, a_end, b_ids, refine(begin, end, self.b_size[b_ids])))
+            b_spans = np.fromiter(chain.from_iterable(b_spans), np.int64, 3 * len(b_ids)).reshape(-1, 3)[:, 1:] + 1
+            b_spans[:1, 0] = 0
+            out.append((a_ids, a_end, b_ids, refine(b_spans[:, 0], b_spans[:, 1], self.b_size[b_ids])))
         return out
 
 
@@ -149,73 +154,77 @@ def aligned(a_ids, a_end, b_ids, b_end) -> tuple[np.ndarray, np.ndarray]:
     return in_a, in_b
 
 
-def describe(a_ids, b_ids, in_a, in_b) -> bytes:
-    """Groups as ``a1,a2|b1;a3|b2,b3``."""
-    a, b, parts, i, j = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist())), [], 0, 0
+def group_texts(a_ids, b_ids, in_a, in_b) -> list[str]:
+    """Each group as ``a1,a2|b1,b2``."""
+    a, b, out, i, j = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist())), [], 0, 0
     for x, y in zip((in_a + 1).tolist(), (in_b + 1).tolist(), strict=True):
-        parts.append((a[i] if x == i + 1 else ",".join(a[i:x])) + "|" + (b[j] if y == j + 1 else ",".join(b[j:y])))
+        out.append((a[i] if x == i + 1 else ",".join(a[i:x])) + "|" + (b[j] if y == j + 1 else ",".join(b[j:y])))
         i, j = x, y
-    return ";".join(parts).encode()
+    return out
 
 
 class Aligner:
-    """Alignments of segments: (tokens of A, tokens of B, links as id pairs, groups as text), or None."""
+    """Alignments of segments: (tokens of A, tokens of B, links as 64-bit id pairs, groups as text), or None."""
 
     def __init__(self, definition: str, model: bytes):
         self.tokenizers = Tokenizers(definition, model)
-        self.memo = TwoGenerationCache(lambda key: None, MEMO)
+        self.new: dict[str, tuple | None] = {}
+        self.old: dict[str, tuple | None] = {}
 
     def pieces(self, text: str) -> Iterator[list[str]]:
         return segments(text) if self.tokenizers.separable else iter([[text]])
 
     def __call__(self, wanted: list[str]) -> list[tuple | None]:
         """Alignments of different segments."""
-        memo, new, out = self.memo, {}, []
-        missing = [s for s in wanted if s not in memo.new and s not in memo.old]
-        carrier, size = [], 0
-        for segment in missing:
-            # Only segments that end in a character that is no white space can stand before others.
-            if len(segment) > LONG or segment[-1].isspace() or not self.tokenizers.separable:
-                self._align([segment], new)
+        new, old, found, carrier, size = self.new, self.old, {}, [], 0
+        for segment in wanted:
+            if segment in new:
                 continue
-            carrier.append(segment)
-            size += len(segment)
-            if size > CARRIER:
-                self._align(carrier, new)
-                carrier, size = [], 0
-        if carrier:
-            self._align(carrier, new)
-        for s in wanted:
-            if s in new:
-                out.append(new[s])
+            if segment in old:
+                found[segment] = old[segment]
+            # Only segments that end in a character that is no white space can stand before others.
+            elif len(segment) > LONG or segment[-1].isspace() or not self.tokenizers.separable:
+                self._align([segment], found)
             else:
-                out.append(memo.new[s] if s in memo.new else memo.old[s])
-        for s, value in new.items():
-            if len(s) <= LONG:
-                if len(memo.new) >= memo.limit:
-                    memo.old, memo.new = memo.new, {}
-                memo.new[s] = value
+                carrier.append(segment)
+                size += len(segment)
+                if size > CARRIER:
+                    self._align(carrier, found)
+                    carrier, size = [], 0
+        if carrier:
+            self._align(carrier, found)
+        out = [found[s] if s in found else new[s] for s in wanted]
+        if len(new) + len(found) > MEMO:
+            self.old, self.new = new, {}
+        self.new.update((s, v) for s, v in found.items() if len(s) <= LONG)
         return out
 
-    def _align(self, group: list[str], into: dict) -> None:
-        found = self.tokenizers.encode(["".join(group)])[0]
+    def _align(self, segments: list[str], into: dict) -> None:
+        group = []
+        for segment in segments:
+            if segment[0] != " ":
+                group.append(FILLER)
+            group.append(segment)
+        text = "".join(group)
+        found = self.tokenizers.encode([text])[0]
         if found is None:
-            if len(group) == 1:
-                into[group[0]] = None
+            if len(segments) == 1:
+                into[segments[0]] = None
             else:
-                for segment in group:
+                for segment in segments:
                     self._align([segment], into)
             return
         a_ids, a_end, b_ids, b_end = found
         in_a, in_b = aligned(*found)
-        ends = np.cumsum([len(s.encode()) for s in group])
+        sizes = map(len, group) if a_end[-1] == len(text) else [len(s.encode()) for s in group]
+        ends = np.cumsum(np.fromiter(sizes, np.int64, len(group)))
         at_a, at_b = np.searchsorted(a_end, ends, "right"), np.searchsorted(b_end, ends, "right")
         at_group = np.searchsorted(in_a, at_a)
-        pairs = a_ids[in_a] << 32 | b_ids[in_b]
+        pairs = (a_ids[in_a] << 32 | b_ids[in_b]).tobytes()
+        texts = group_texts(a_ids, b_ids, in_a, in_b)
         i = j = g = 0
         for segment, x, y, z in zip(group, at_a.tolist(), at_b.tolist(), at_group.tolist(), strict=True):
-            text = describe(a_ids[i:x], b_ids[j:y], in_a[g:z] - i, in_b[g:z] - j)
-            into[segment] = (x - i, y - j, pairs[g:z], text)
+            into[segment] = (x - i, y - j, pairs[8 * g:8 * z], ";".join(texts[g:z]).encode())
             i, j, g = x, y, z
 
 
@@ -223,54 +232,87 @@ class Chunk:
     """Documents that list their different segments and id pairs once."""
 
     def __init__(self, aligner: Aligner):
-        self.aligner, self.number, self.values = aligner, {}, []
-        self.rows, self.doc_segments = [], []
-
-    def add(self, key, text: str | None) -> None:
-        parts, digest, total = [], hashlib.sha256(), [0, 0, 0]
-        for piece in self.aligner.pieces(" " + text) if text else ():
-            different = [s for s in dict.fromkeys(piece) if s not in self.number]
-            for s, value in zip(different, self.aligner(different), strict=True):
-                self.number[s] = len(self.values)
-                self.values.append(value)
-            numbers = np.fromiter(map(self.number.__getitem__, piece), np.uint32, len(piece))
-            values = [self.values[i] for i in numbers.tolist()]
-            if any(v is None for v in values):
+        self.aligner, self.number = aligner, {}
+        # By segment number; ``broken`` are those whose tokens do not give back their bytes.
+        self.n_a, self.n_b, self.links, self.texts, self.broken = [], [], [], [], set()
+        self.ids, self.digests, self.doc_segments = [], [], []
+
+    def extend(self, ids: list, texts: list[str | None]) -> None:
+        """Adds documents; those of ordinary length learn their segments together."""
+        group, size = [], 0
+        for key, text in zip(ids, texts, strict=True):
+            if text and len(text) > PIECE:
+                self._finish(group)
+                group, size = [], 0
+                self._finish_long(key, self.aligner.pieces(" " + text))
+                continue
+            group.append((key, list(chain.from_iterable(self.aligner.pieces(" " + text))) if text else []))
+            size += len(text or "")
+            if size > PIECE // 4:
+                self._finish(group)
+                group, size = [], 0
+        self._finish(group)
+
+    def _learn(self, found) -> None:
+        number = self.number
+        different = [s for s in dict.fromkeys(found) if s not in number]
+        for s, value in zip(different, self.aligner(different), strict=True):
+            if value is None:
+                self.broken.add(len(self.n_a))
+            a, b, links, groups = value or (0, 0, b"", b"")
+            number[s] = len(self.n_a)
+            self.n_a.append(a)
+            self.n_b.append(b)
+            self.links.append(links)
+            self.texts.append(groups)
+
+    def _finish(self, group: list[tuple]) -> None:
+        self._learn(chain.from_iterable(parts for _, parts in group))
+        for key, parts in group:
+            self._finish_long(key, [parts] if parts else [], known=True)
+
+    def _finish_long(self, key, pieces, known: bool = False) -> None:
+        parts, digest = [], hashlib.sha256()
+        for piece in pieces:
+            if not known:
+                self._learn(piece)
+            at = list(map(self.number.__getitem__, piece))
+            if self.broken and not self.broken.isdisjoint(at):
                 parts = []
                 break
             if parts:
                 digest.update(b";")
-            digest.update(b";".join([v[3] for v in values]))
-            total[0] += sum([v[0] for v in values])
-            total[1] += sum([v[1] for v in values])
-            total[2] += sum([len(v[2]) for v in values])
-            parts.append(numbers)
-        if not parts:
-            self.rows.append((key, 0, 0, 0, ""))
-        else:
-            self.rows.append((key, *total, digest.hexdigest()))
+            digest.update(b";".join(map(self.texts.__getitem__, at)))
+            parts.append(np.array(at, np.uint32))
+        self.ids.append(key)
+        self.digests.append(digest.hexdigest() if parts else "")
         self.doc_segments.append(np.concatenate(parts) if parts else np.empty(0, np.uint32))
 
     def batch(self, number: int) -> pa.RecordBatch:
-        links = [v[2] if v is not None else np.empty(0, np.int64) for v in self.values]
-        sizes = np.array([len(x) for x in links], np.int64)
-        links = np.concatenate([*links, np.empty(0, np.int64)])
+        sizes = np.array([len(x) // 8 for x in self.links], np.int64)
+        links = np.frombuffer(b"".join(self.links), np.int64)
+        doc_sizes = np.array([len(x) for x in self.doc_segments], np.int64)
         of_docs = np.concatenate([*self.doc_segments, np.empty(0, np.uint32)])
         pairs, at = np.unique(links, return_inverse=True)
         often = np.bincount(of_docs, minlength=len(sizes))
-        times = np.zeros(len(pairs), np.int64)
-        np.add.at(times, at, np.repeat(often, sizes))
-        columns = [list(c) for c in zip(*self.rows, strict=True)]
-        doc_sizes = np.array([len(x) for x in self.doc_segments], "<u4")
+        times = np.bincount(at, np.repeat(often, sizes), len(pairs)).astype(np.int64)
+        counts = [sums(np.array(x, np.int64)[of_docs], doc_sizes) for x in (self.n_a, self.n_b, sizes)]
         longs = pa.list_(pa.int64())
         return pa.RecordBatch.from_arrays(
-            [pa.array([number], pa.int64()), *[pa.array([c], longs) for c in columns[:4]],
-             pa.array([columns[4]], pa.list_(pa.string())), pa.array([of_docs.astype("<u4").tobytes()], pa.binary()),
-             pa.array([doc_sizes.tobytes()], pa.binary()), pa.array([at.astype("<u4").tobytes()], pa.binary()),
-             pa.array([sizes.astype("<u4").tobytes()], pa.binary()), pa.array([pairs], longs), pa.array([times], longs)],
+            [pa.array([number], pa.int64()), *[pa.array([c], longs) for c in (self.ids, *counts)],
+             pa.array([self.digests], pa.list_(pa.string())),
+             *[pa.array([x.astype("<u4").tobytes()], pa.binary()) for x in (of_docs, doc_sizes, at, sizes)],
+             pa.array([pairs], longs), pa.array([times], longs)],
             names=[c.split()[0] for c in CHUNKS.split(", ")])
 
 
+def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of consecutive stretches of the given sizes."""
+    ends = np.concatenate([[0], np.cumsum(values)])
+    at = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    return ends[at[1:]] - ends[at[:-1]]
+
+
 def chunk_rows(docs: DataFrame, definition_path: str, model_path: str) -> DataFrame:
     """One row per chunk of documents: their digests, segments, and id pairs with counts."""
     context = docs.sparkSession.sparkContext
@@ -288,8 +330,7 @@ def chunk_rows(docs: DataFrame, definition_path: str, model_path: str) -> DataFr
         first = TaskContext.get().partitionId() << 32
         for n, (ids, texts) in enumerate(chunks(batches, CHUNK, lambda t: len(t or ""))):
             chunk = Chunk(store[name])
-            for key, text in zip(ids, texts, strict=True):
-                chunk.add(key, text)
+            chunk.extend(ids, texts)
             yield chunk.batch(first + n)
 
     return id_text(docs).mapInArrow(run, CHUNKS)
@@ -305,11 +346,6 @@ def _score(rows: pa.Table, answers: pa.Table) -> pa.Table:
     def array(name):
         return np.frombuffer(row[name].as_py(), "<u4")
 
-    def sums(values, sizes):
-        ends = np.concatenate([[0], np.cumsum(values)])
-        at = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-        return ends[at[1:]] - ends[at[:-1]]
-
     links, sizes, of_docs, doc_sizes = map(array, ("segment_links", "segment_sizes", "doc_segments", "doc_sizes"))
     total = sums(sums(count[links], sizes)[of_docs], doc_sizes)
     highest = sums(sums(best[links], sizes)[of_docs], doc_sizes)

@@ -128,8 +128,10 @@ def test_spans_and_bytes_give_the_same_ends(text):
 
     assert found[1].tolist() == ends(x) and found[3].tolist() == ends(y)
     chunk = align.Chunk(state["aligner"])
-    chunk.add(1, text)
-    assert chunk.rows[0] == tuple(plain_alignment([(1, text)], state["whole"])[0][i] for i in (0, 1, 2, 3, 7))
+    chunk.extend([1], [text])
+    row = chunk.batch(7).to_pylist()[0]
+    assert tuple(row[c][0] for c in ("doc_ids", "n_a", "n_b", "n_groups", "digests")) == \
+        tuple(plain_alignment([(1, text)], state["whole"])[0][i] for i in (0, 1, 2, 3, 7))
 
 
 # --- runs ------------------------------------------------------------------
