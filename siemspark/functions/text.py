@@ -17,17 +17,106 @@ def trim_space(c) -> Column:
     return F.btrim(col(c), F.lit(WHITE_SPACE))
 
 
+#: Ends the array in which a text is read; a text that holds it is read another way.
+_END = "end-of-text-5c1f"
+
+
 def strict_json(text) -> Column:
     """The JSON value of the whole text, SQL NULL when the text is not JSON.
 
-    ``parse_json`` stops after the first value.  Inside both an object and an
-    array nothing but white space can follow it, so garbage makes one of the
-    two invalid.
+    ``parse_json`` stops after the first value.  The text is read as the first of two elements of an array: if anything
+    but white space follows its value, the second one is not where it must be.
     """
     text = col(text)
+    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
+    whole = (F.try_variant_get(pair, "$[1]", "string") == _END) & F.try_variant_get(pair, "$[2]", "variant").isNull()
+    # Inside both an object and an array only white space can follow a value.
     in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
     in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    return F.when(in_array.isNotNull(), F.try_variant_get(in_object, "$.v", "variant"))
+    return F.when(~text.contains(_END), F.when(whole, F.try_variant_get(pair, "$[0]", "variant"))).otherwise(
+        F.when(in_array.isNotNull(), F.try_variant_get(in_object, "$.v", "variant")))
+
+
+# --- canonical JSON --------------------------------------------------------
+
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+# From the end of the last match over strings and all that is no number, to a whole number that is no key.
+_NUMBER = (r"(?s)\G((?:[^\"0-9\-]++|" + _STRING + r")*+)"
+           r"((?>-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?))(?!\s*+:)")
+# Numbers that a JSON value does not keep as they are written (or digits in a string that look so).
+_RESPELLED = r"[0-9][.eE]|-0|[0-9]{19}"
+_MARKS = ("\\u0001", "\\u0002", "\\u0003", "\\u0004", "\\u0005", "\\u0006", "\\u0007")
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)``, the value computed once however often it is used, and not copied into the generated code."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _spelled(text: Column) -> Column:
+    """Canonical JSON whose numbers go through the parser as strings that begin with a mark; NULL if no mark is left."""
+    mark = F.filter(F.lit(list(_MARKS)), lambda m: ~text.contains(m))
+    inside = F.regexp_replace(text, F.lit(_NUMBER), F.concat(F.lit('$1"\\'), F.get(mark, F.lit(0)), F.lit('$2"')))
+    pattern = F.concat(F.lit('"\\'), F.get(mark, F.lit(0)), F.lit('(-?[0-9.eE+-]++)"'))
+    return F.regexp_replace(F.to_json(F.try_parse_json(inside)), pattern, F.lit("$1"))
+
+
+def _small_escapes(text: Column) -> Column:
+    """Control characters are escaped with small letters; pairs of backslashes before them are characters of their own."""
+    codes = [f"u00{c}" for c in ("0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F")]
+    return F.aggregate(F.lit(codes), text, lambda t, code: F.regexp_replace(
+        t, F.concat(F.lit(r"(?<!\\)((?:\\\\)*+)\\"), code), F.concat(F.lit(r"$1\\"), F.lower(code))))
+
+
+def canonical_json(text, value: Column | None = None) -> Column:
+    """Keys sorted at every level, no white space, strings with the shortest escapes, numbers as they are written.
+
+    ``value`` may hold the text's JSON value already; NULL where the text is not JSON.  Numbers
+    keep their spelling unless the text spells out all seven control characters from 1 to 7 as escapes.
+    """
+    text = col(text)
+
+    def written(value):
+        plain = F.to_json(value)
+        out = F.when(~text.rlike(_RESPELLED), plain).otherwise(F.coalesce(_spelled(text), plain))
+        return F.when(value.isNotNull(), F.when(text.contains("\\u00"), _small_escapes(out)).otherwise(out))
+
+    return once(strict_json(text), written) if value is None else written(value)
+
+
+# --- the shape of JSON -----------------------------------------------------
+
+_INNERMOST = r"[\[{][x:,]*+[\]}]"
+
+
+def json_shape(text: Column) -> Column:
+    """Brackets, commas and colons of a JSON text; every string and every other value is an x."""
+    return F.regexp_replace(F.regexp_replace(text, F.lit("(?s)" + _STRING), F.lit("x")),
+                            F.lit(r"[^\[\]{},:]++"), F.lit("x"))
+
+
+def collapsed(shape: Column, times: int) -> Column:
+    """The shape after its innermost collections were replaced by an x so many times."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(times)), shape,
+                       lambda s, _: F.regexp_replace(s, F.lit(_INNERMOST), F.lit("x")))
+
+
+def widest_over(shape: Column, times: int, limit: int) -> Column:
+    """Whether any collection of ``shape``, at most ``times`` deep, has more than ``limit`` members."""
+    wide = rf"[\[{{][x:]*+(?:,[x:]*+){{{limit}}}+"
+    start = F.struct(shape.alias("s"), F.lit(False).alias("over"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(times)), start, lambda a, _: F.struct(
+        F.regexp_replace(a["s"], F.lit(_INNERMOST), F.lit("x")).alias("s"),
+        (a["over"] | a["s"].rlike(wide)).alias("over")))["over"]
+
+
+def long_string_in(text: Column, limit: int) -> Column:
+    """Whether a string of a JSON text has more than ``limit`` bytes, its escapes read."""
+    def too_long(token):
+        value = F.try_variant_get(F.try_parse_json(token), "$", "string")
+        return (F.octet_length(token) > limit + 2) & (F.octet_length(value) > limit)
+
+    return F.exists(F.regexp_extract_all(text, F.lit("(?s)" + _STRING), F.lit(0)), too_long)
 
 
 _RFC3339 = ("^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt][0-9]{2}:[0-9]{2}:[0-9]{2}(\\.[0-9]+)?"

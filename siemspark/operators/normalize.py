@@ -191,12 +191,6 @@ class MappingRegistry:
         return self
 
 
-def canonical_json(text) -> Column:
-    """Keys sorted at every level, no white space.  Numbers keep their digits
-    except for trailing zeros of a fraction."""
-    return F.to_json(F.try_parse_json(text))
-
-
 def configuration_hash(parser_id, parser_version, mapping_id, mapping_version, mode: str,
                        policy: Column | None = None, pipeline: str = PIPELINE_VERSION) -> Column:
     """Hash of everything that shaped a derivation.

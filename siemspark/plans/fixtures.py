@@ -209,7 +209,7 @@ def raw_lines(events: DataFrame) -> DataFrame:
     j = n % 6
     generic = (F.when(j == 0, cat('{"event_time":"', rfc, '","user":"', user, '"}'))
                .when(j == 1, cat('{"timestamp":"01/02/2024","n":123456789012345678901234567890,"u":', txt(uid), "}"))
-               .when(j == 2, cat('{"@timestamp":', txt(floor_div("us", 1_000_000)), ',"a":[1,2]}'))
+               .when(j == 2, cat('{"@timestamp":', txt(floor_div("us", 1_000_000)), ',"a":[1.50,1e2,-0,1E400]}'))
                .when(j == 3, "[1,2,3]")
                .when(j == 4, cat('{"b":{"z":1,"a":"', F.col("event_type"), '"},"a":null}'))
                .otherwise(cat('{"event_time":"', rfc, '","timestamp":5}')))
@@ -266,7 +266,7 @@ rl1 AS (SELECT *, CASE k
      || CASE n % 8 WHEN 6 THEN '12a' ELSE us::VARCHAR END || '"}},{{"name":"DATA","encoding":"base64","value":"' || CASE n % 8 WHEN 3 THEN 'A*==' ELSE 'AAEC' END || '"}}]}}'
   WHEN 4 THEN CASE n % 6 WHEN 0 THEN '{{"event_time":"' || rfc || '","user":"' || usr || '"}}'
      WHEN 1 THEN '{{"timestamp":"01/02/2024","n":123456789012345678901234567890,"u":' || user_id::VARCHAR || '}}'
-     WHEN 2 THEN '{{"@timestamp":' || (us // 1000000)::VARCHAR || ',"a":[1,2]}}' WHEN 3 THEN '[1,2,3]'
+     WHEN 2 THEN '{{"@timestamp":' || (us // 1000000)::VARCHAR || ',"a":[1.50,1e2,-0,1E400]}}' WHEN 3 THEN '[1,2,3]'
      WHEN 4 THEN '{{"b":{{"z":1,"a":"' || event_type || '"}},"a":null}}' ELSE '{{"event_time":"' || rfc || '","timestamp":5}}' END
   ELSE CASE n % 6 WHEN 0 THEN '{{"a":' WHEN 1 THEN 'Failed password for root from 10.0.0.1 port 999999 ssh2'
      WHEN 2 THEN '<999>Jan 01 00:00:00 h a: x' WHEN 3 THEN 'plain junk' WHEN 4 THEN 'Failed password for x from 1.2.3.4 port 22.0 y' ELSE '{{"a":1' END

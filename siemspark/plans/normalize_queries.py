@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siemspark.functions.text import canonical_json
 from siemspark.operators import normalize as N
 from siemspark.operators import parse as P
 from siemspark.plans.fixtures import CTE, with_ctes
@@ -117,13 +118,13 @@ def ocsf_auth(t):
 @query("canonical_hash", with_ctes("out", body="""
     SELECT raw_event_id, sha256(CASE n % 6 WHEN 0 THEN '{"event_time":"' || rfc || '","user":"' || usr || '"}'
         WHEN 1 THEN '{"n":123456789012345678901234567890,"timestamp":"01/02/2024","u":' || user_id::VARCHAR || '}'
-        WHEN 2 THEN '{"@timestamp":' || (us // 1000000)::VARCHAR || ',"a":[1,2]}' WHEN 3 THEN '[1,2,3]'
+        WHEN 2 THEN '{"@timestamp":' || (us // 1000000)::VARCHAR || ',"a":[1.50,1e2,-0,1E400]}' WHEN 3 THEN '[1,2,3]'
         WHEN 4 THEN '{"a":null,"b":{"a":"' || event_type || '","z":1}}' ELSE '{"event_time":"' || rfc || '","timestamp":5}' END) AS hash
     FROM outcome WHERE k = 4"""))
 def canonical_hash(t):
     lines = t.raw_lines.where((F.col("content_type") == "application/json"))
     p = P.select_parser(lines, P.ParserRegistry()).where(F.col("parser_id") == P.JSON)
-    text = N.canonical_json(F.col("payload").cast("string"))
+    text = canonical_json(F.col("payload").cast("string"))
     return p.select("raw_event_id", F.sha2(text, 256).alias("hash")).where(F.col("hash").isNotNull())
 
 

@@ -143,7 +143,7 @@ def syslog_pri(t):
     SELECT raw_event_id, parse_status,
       CASE n % 6 WHEN 0 THEN '{"event_time":"' || rfc || '","user":"' || usr || '"}'
         WHEN 1 THEN '{"n":123456789012345678901234567890,"timestamp":"01/02/2024","u":' || user_id::VARCHAR || '}'
-        WHEN 2 THEN '{"@timestamp":' || (us // 1000000)::VARCHAR || ',"a":[1,2]}' WHEN 3 THEN '[1,2,3]'
+        WHEN 2 THEN '{"@timestamp":' || (us // 1000000)::VARCHAR || ',"a":[1.50,1e2,-0,1E400]}' WHEN 3 THEN '[1,2,3]'
         WHEN 4 THEN '{"a":null,"b":{"a":"' || event_type || '","z":1}}' ELSE '{"event_time":"' || rfc || '","timestamp":5}' END AS fields,
       CASE n % 6 WHEN 0 THEN 'event_time=' || rfc || '/rfc3339/high' WHEN 1 THEN 'timestamp=01/02/2024/source_text/low'
         WHEN 2 THEN '@timestamp=' || (us // 1000000)::VARCHAR || '/source_numeric_unspecified_unit/low'
