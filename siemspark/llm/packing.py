@@ -16,6 +16,7 @@ packed as often as they occur; a null ``doc_id`` is carried along.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,13 +30,34 @@ from siemspark.llm.common import chunks, id_text, stage, worker_store
 PART_PIECES = 8_192
 CHUNK = 2_000_000  # characters tokenised at once
 MEMO = 400_000  # words kept in each of two generations
+MARKS = b".,;:!?"
+END, GROUP = "</w>", 500
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+LETTER_END = re.compile(rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]\Z")  # Latin-1 letters, without the signs of times and division
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
 
 
+def word_parts(word: bytes) -> tuple[bytes, bytes]:
+    """A word in lower case, and the marks at its end, which the tokenizer encodes alone: most words are few
+    different letters with a mark.
+
+    Letters and digits never join marks, so a mark stands alone behind an ASCII or Latin-1 letter or a digit.
+    """
+    if b"<|" in word:
+        return word, b""  # perhaps a special token, which has its case
+    word = word.lower()
+    core = word.rstrip(MARKS)
+    if len(core) < len(word) and core and (core[-1:].isalnum() or LETTER_END.search(core)):
+        return core, word[len(core):]
+    return word, b""
+
+
 class WordTokenizer:
     """Ids of texts by a tokenizer that never joins across ASCII white space.
 
+    New words are encoded once while the memo holds them: words of ASCII and Latin-1 letters many at a time, where the ids with
+    the vocabulary's end mark tell where each ends, others one by one.
     Special tokens that a text quotes are found as the tokenizer finds them; they hold no white space.
     """
 
@@ -46,26 +68,46 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_str(definition)
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(END)]] = True
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [t.encode().split() if t else [] for t in texts]
         if len(self.new) > MEMO:
             self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        missing = []
-        for word in set().union(*split):
-            if word not in new:
-                ids = old.get(word)
-                if ids is None:
-                    missing.append(word)
-                else:
-                    new[word] = ids
-        for word, found in zip(missing, self.tokenizer.encode_batch_fast([w.decode() for w in missing],
-                                                                         add_special_tokens=False), strict=True):
-            new[word] = np.array(found.ids, "<u4").tobytes()
+        new = self.new
+        missing = self._unknown(set().union(*split))
+        parts = [word_parts(w) for w in missing]
+        wanted = self._unknown({p for pair in parts for p in pair if p})
+        self._letters([w for w in wanted if LETTERS.fullmatch(w)])
+        self._one_by_one([w for w in wanted if w not in new])
+        new.update((w, new[core] + new[marks] if marks else new[core]) for w, (core, marks) in zip(missing, parts, strict=True))
         return [b"".join(map(new.__getitem__, w)) for w in split]
 
+    def _unknown(self, found: set[bytes]) -> list[bytes]:
+        """Those without ids; what the older half knows is taken over."""
+        new, old = self.new, self.old
+        found = found.difference(new)
+        new.update((w, old[w]) for w in found.intersection(old))
+        return list(found.difference(new))
+
+    def _one_by_one(self, words: list[bytes]) -> None:
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        self.new.update((w, np.array(f.ids, "<u4").tobytes()) for w, f in zip(words, found, strict=True))
+
+    def _letters(self, words: list[bytes]) -> None:
+        groups = [words[i:i + GROUP] for i in range(0, len(words), GROUP)]
+        found = self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)
+        for group, f in zip(groups, found, strict=True):
+            ids = np.array(f.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            # Without end marks in the vocabulary they are encoded one by one.
+            if len(ends) == len(group):
+                data = ids.tobytes()
+                self.new.update((w, data[a:b]) for w, a, b in zip(group, [0, *ends], ends, strict=False))
+
 
 def pieces(docs: DataFrame, path: str, capacity: int, closing: int) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document's ids, ``closing`` at the end."""
@@ -98,16 +140,14 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
     bins, offsets, made = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), 0
     for i, size in enumerate(lengths.tolist()):
-        # Half the change of the sum of squares if a bin of gap g goes to gap g - size; closed bins count nothing.
-        after = open_bins[:capacity + 1 - size]
-        change = after - open_bins[size:]
-        change[0] = -open_bins[size]
-        if size < capacity:
-            change[1:] += 1
-        change = np.where(open_bins[size:] > 0, change, capacity * len(lengths) + 1)
+        # The change of the sum of squares if a bin of gap g goes to gap g - size; closed bins count nothing.
+        here = open_bins[size:]
+        change = 2 * (open_bins[:capacity + 1 - size] - here + 1)
+        change[0] = 1 - 2 * here[0]
+        change = np.where(here > 0, change, 2 * capacity * len(lengths) + 4)
         best = int(change.argmin())
-        # A new bin takes none away: half its change is N(capacity - size) + 1/2.
-        fresh = open_bins[capacity - size] + 0.5 if size < capacity else 0.0
+        # A new bin takes none away.
+        fresh = 2 * open_bins[capacity - size] + 1 if size < capacity else 0
         gap = best + size
         if open_bins[gap] and (change[best] <= fresh):
             which = stacks[gap].pop()
