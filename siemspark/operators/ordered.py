@@ -49,6 +49,24 @@ def with_carry(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFr
     return rows.join(named, same, "left").drop(*[f"_c_{c}" for c in on])
 
 
+def first_ranks(rows: DataFrame, keys: Sequence[str], order: Sequence[str], limit: Column, purpose: str) -> DataFrame:
+    """The first rows of every key with ``_rank`` from 1, and ``_limit``: the value of ``limit`` in the key's first row,
+    which says how many they are.
+
+    Counts of chunks give the rank at which each begins; chunks that begin beyond the limit are not sorted at all.
+    """
+    chunked = in_chunks(rows, keys, order, purpose)
+    sizes = chunked.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_size"),
+                                              F.min_by(limit, F.struct(*order)).alias("_own"))
+    along = Window.partitionBy(*keys).orderBy(CHUNK)
+    begins = F.coalesce(F.sum("_size").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    carry = sizes.select(*keys, CHUNK, begins.alias("_begins"), F.first("_own").over(
+        along.rowsBetween(Window.unboundedPreceding, 0)).alias("_limit")).where("_begins < _limit")
+    inside = F.row_number().over(Window.partitionBy(*keys, CHUNK).orderBy(*order))
+    return (with_carry(chunked, carry, keys).where(F.col("_limit").isNotNull())
+            .withColumn("_rank", (F.col("_begins") + inside).cast("long")).where("_rank <= _limit").drop("_begins", CHUNK))
+
+
 def running_max(values: DataFrame, keys: Sequence[str], at: str, value: str, fan: int = 1_000) -> DataFrame:
     """(keys, at, before): the highest ``value`` at smaller ``at`` of the key; ``values`` has a row per key and ``at``.
 

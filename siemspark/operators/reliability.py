@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siemspark.functions.scalars import col, is_sha256
+from siemspark.operators.ordered import first_ranks
 
 DLQ_SCHEMA_VERSION = "normalization-dlq/v1"
 PERSISTED_SUBJECT = "raw.persisted"
@@ -67,8 +68,7 @@ def retry_delay_ms(deliveries, min_ms: int, max_ms: int, seed=None) -> Column:
     return F.greatest(F.lit(min_ms * 1_000_000), F.least(nanos, F.lit(max_ms * 1_000_000))) / 1_000_000
 
 
-def retry_state(attempts: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
-                max_budget: int) -> DataFrame:
+def retry_state(attempts: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Open retry state per key after a history of attempts.
 
     ``attempts`` holds failures and clearing rows (``outcome`` FAILURE, or
@@ -77,27 +77,20 @@ def retry_state(attempts: DataFrame, keys: Sequence[str], order: Sequence[str],
     up or not retryable) change nothing.
 
     A key with very many attempts is not sorted as one group.  Only the
-    failures after its last clearing matter, and of those only as many as the
-    largest possible budget, which ``max_budget`` must bound: that rank filter
-    runs map-side.  ``chunk`` must not decrease along ``order``; it lets the
-    last clearing be found with plain aggregates.
+    failures after its last clearing matter, and of those only as many as the budget of
+    the first one, whatever it is: the rest is cut off by chunks.
     """
-    rows = attempts.withColumn("_chunk", chunk)
-    position = F.struct("_chunk", *order)
-    clears = (rows.where(F.col("outcome") != "FAILURE").groupBy(*keys)
+    position = F.struct(*order)
+    clears = (attempts.where(F.col("outcome") != "FAILURE").groupBy(*keys)
               .agg(F.max(position).alias("_cleared")))
-    failures = (rows.where(F.col("outcome") == "FAILURE").withColumn("_at", position)
+    failures = (attempts.where(F.col("outcome") == "FAILURE")
                 .join(clears, list(keys), "left")
-                .where(F.col("_cleared").isNull() | (F.col("_at") > F.col("_cleared"))))
-    over = failures.where(F.col("retry_budget") > max_budget)
-    in_life = Window.partitionBy(*keys).orderBy("_at")
-    first = failures.withColumn("_n", F.row_number().over(in_life)).where(F.col("_n") <= max_budget)
-    run = in_life.rowsBetween(Window.unboundedPreceding, 0)
-    before = in_life.rowsBetween(Window.unboundedPreceding, -1)
-    budget = F.first("retry_budget").over(run)
-    kept = (first.withColumn("_budget", budget)
-            .withColumn("_stopped", F.coalesce(F.max((~F.col("retryable")).cast("int")).over(before), F.lit(0)))
-            .where((F.col("_n") <= F.col("_budget")) & (F.col("_stopped") == 0)))
+                .where(F.col("_cleared").isNull() | (position > F.col("_cleared"))).drop("_cleared"))
+    first = first_ranks(failures, keys, order, F.col("retry_budget"), "retries")
+    first = first.withColumn("_n", F.col("_rank")).withColumn("_budget", F.col("_limit"))
+    # The first failure that is not retryable is the last one that counts.
+    stops = first.groupBy(*keys).agg(F.min(F.when(~F.col("retryable"), F.col("_n"))).alias("_stop"))
+    kept = first.join(stops, list(keys)).where(F.col("_stop").isNull() | (F.col("_n") <= F.col("_stop")))
     at = F.struct("_n")
     state = kept.groupBy(*keys).agg(
         F.min_by("message_id", F.when(F.col("message_id").isNotNull(), F.col("_n"))).alias("message_id"),
@@ -108,16 +101,11 @@ def retry_state(attempts: DataFrame, keys: Sequence[str], order: Sequence[str],
         F.max_by("retryable", at).alias("last_error_retryable"),
         F.max_by("next_retry_ms", at).alias("_next"))
     isolated = ~F.col("last_error_retryable") | (F.col("failure_count") >= F.col("retry_budget"))
-    out = state.select(
+    return state.select(
         *keys, "message_id", "first_failure_ms", "last_failure_ms", "failure_count", "retry_budget",
         "last_delivery_attempt", "last_error_code", "last_error_retryable",
         F.when(~isolated, F.greatest("last_failure_ms", "_next")).alias("next_retry_ms"),
         isolated.alias("isolated"))
-    # A budget above the declared bound would make the rank filter inexact.
-    wrong = over.groupBy(*keys).agg(F.max("retry_budget").alias("_over"))
-    guard = F.when(F.col("_over").isNotNull(), F.raise_error(F.lit("retry budget above max_budget")))
-    return (out.join(wrong, list(keys), "left")
-            .withColumn("retry_budget", F.coalesce(guard.cast("int"), F.col("retry_budget"))).drop("_over"))
 
 
 def retry_disposition(failure_count, budget, retryable) -> Column:
@@ -179,7 +167,7 @@ def replay_eligibility(dlq: DataFrame, max_attempts: int) -> DataFrame:
                 F.lit("normalization-replay:v1:dlq:"), root))))
 
 
-def replay_reserve(requests: DataFrame, order: Sequence[str], max_budget: int) -> DataFrame:
+def replay_reserve(requests: DataFrame, order: Sequence[str]) -> DataFrame:
     """Budgeted replay attempts for a batch of requests, in arrival order.
 
     The first request of a lifecycle fixes root and budget; requests that
@@ -188,7 +176,7 @@ def replay_reserve(requests: DataFrame, order: Sequence[str], max_budget: int) -
     and beyond the budget nothing is reserved.
 
     Sources are first reduced to their earliest request (map-side), then only
-    the first ``max_budget`` sources of a lifecycle are ranked.
+    as many sources of a lifecycle are ranked as its budget allows.
     """
     life, source = ["lifecycle_key"], ["lifecycle_key", "source_dlq_record_id"]
     arrival = F.struct(*order)
@@ -201,13 +189,11 @@ def replay_reserve(requests: DataFrame, order: Sequence[str], max_budget: int) -
     firsts = (rows.where("_ok").groupBy(*source)
               .agg(F.min("_at").alias("_first"), F.min_by("source_sequence", "_at").alias("_seq"),
                    F.max("max_attempts").alias("_max")))
-    ranked = (firsts.withColumn("_attempt", F.row_number().over(Window.partitionBy(*life).orderBy("_first")))
-              .where(F.col("_attempt") <= max_budget).where(F.col("_attempt") <= F.col("_max"))
-              .select(*source, "_seq", "_attempt"))
+    ranked = (first_ranks(firsts, life, ["_first"], F.col("_max"), "replays")
+              .select(*source, "_seq", F.col("_rank").alias("_attempt")))
     out = rows.join(ranked, source, "left")
     held = F.col("_attempt").isNotNull()
-    status = (F.when(F.col("max_attempts") > max_budget, F.raise_error(F.lit("budget above max_budget")))
-              .when(~F.col("_ok"), "CONFLICT").when(held & (F.col("_seq") != F.col("source_sequence")), "CONFLICT")
+    status = (F.when(~F.col("_ok"), "CONFLICT").when(held & (F.col("_seq") != F.col("source_sequence")), "CONFLICT")
               .when(held, "RESERVED").otherwise("EXHAUSTED"))
     return (out.withColumn("status", status)
             .withColumn("attempt", F.when(F.col("status") == "RESERVED", F.col("_attempt"))

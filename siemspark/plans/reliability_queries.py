@@ -56,21 +56,25 @@ def error_classify(t):
 
 
 # A plain walk through every history, one attempt at a time.
-@query("retry_state", with_ctes("att", body="""
-    w AS (SELECT *, sum(CASE WHEN outcome <> 'FAILURE' THEN 1 ELSE 0 END) OVER (PARTITION BY message_key ORDER BY seq ROWS UNBOUNDED PRECEDING) AS life FROM att),
-    l AS (SELECT *, max(life) OVER (PARTITION BY message_key) AS last_life FROM w),
-    f AS (SELECT *, row_number() OVER (PARTITION BY message_key ORDER BY seq) AS n, first_value(retry_budget) OVER (PARTITION BY message_key ORDER BY seq) AS budget,
-        sum(CASE WHEN retryable THEN 0 ELSE 1 END) OVER (PARTITION BY message_key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hard_before
-      FROM l WHERE outcome = 'FAILURE' AND life = last_life),
-    k AS (SELECT * FROM f WHERE n <= budget AND coalesce(hard_before, 0) = 0),
-    g AS (SELECT message_key, arg_min(message_id, CASE WHEN message_id IS NOT NULL THEN n END) AS message_id, arg_min(occurred_ms, n) AS first_failure_ms,
-        max(occurred_ms) AS last_failure_ms, count(*)::INTEGER AS failure_count, max(budget)::INTEGER AS retry_budget, arg_max(seq, n)::INTEGER AS last_delivery_attempt,
-        arg_max(error_code, n) AS last_error_code, arg_max(retryable, n) AS last_error_retryable, arg_max(occurred_ms, n) + 5000 AS nx FROM k GROUP BY 1)
-    SELECT 'normalizer' AS consumer, message_key, message_id, first_failure_ms, last_failure_ms, failure_count, retry_budget, last_delivery_attempt, last_error_code, last_error_retryable,
-      CASE WHEN last_error_retryable AND failure_count < retry_budget THEN greatest(last_failure_ms, nx) END AS next_retry_ms,
-      NOT (last_error_retryable AND failure_count < retry_budget) AS isolated FROM g"""))
+@query("retry_state", "WITH RECURSIVE" + with_ctes("att", body="""
+    a AS (SELECT * RENAME (message_id AS new_id), row_number() OVER (PARTITION BY message_key ORDER BY seq) AS at, outcome <> 'FAILURE' AS clears FROM att),
+    w AS (
+     SELECT message_key, 0::BIGINT AS i, 0 AS n, NULL::VARCHAR AS message_id, NULL::BIGINT AS first_ms, NULL::BIGINT AS last_ms, NULL::INTEGER AS budget,
+       NULL::INTEGER AS last_attempt, NULL::VARCHAR AS code, NULL::BOOLEAN AS again, NULL::BIGINT AS nx FROM (SELECT DISTINCT message_key FROM att)
+     UNION ALL
+     SELECT message_key, at, CASE WHEN clears THEN 0 WHEN counts THEN n + 1 ELSE n END, CASE WHEN clears THEN NULL WHEN counts THEN coalesce(message_id, new_id) ELSE message_id END,
+       CASE WHEN clears THEN NULL WHEN counts THEN coalesce(first_ms, occurred_ms) ELSE first_ms END,
+       CASE WHEN clears THEN NULL WHEN counts THEN greatest(coalesce(last_ms, occurred_ms), occurred_ms) ELSE last_ms END,
+       CASE WHEN clears THEN NULL WHEN counts THEN coalesce(budget, retry_budget) ELSE budget END, CASE WHEN clears THEN NULL WHEN counts THEN seq ELSE last_attempt END,
+       CASE WHEN clears THEN NULL WHEN counts THEN error_code ELSE code END, CASE WHEN clears THEN NULL WHEN counts THEN retryable ELSE again END,
+       CASE WHEN clears THEN NULL WHEN counts THEN occurred_ms + 5000 ELSE nx END
+     FROM (SELECT *, n = 0 OR (again AND n < budget) AS counts FROM w JOIN a USING (message_key) WHERE at = i + 1))
+    SELECT 'normalizer' AS consumer, message_key, message_id, first_ms AS first_failure_ms, last_ms AS last_failure_ms, n::INTEGER AS failure_count, budget AS retry_budget,
+      last_attempt::INTEGER AS last_delivery_attempt, code AS last_error_code, again AS last_error_retryable,
+      CASE WHEN again AND n < budget THEN greatest(last_ms, nx) END AS next_retry_ms, NOT (again AND n < budget) AS isolated
+    FROM (SELECT *, max(i) OVER (PARTITION BY message_key) AS top FROM w) WHERE i = top AND n > 0""")[4:])
 def retry_state(t):
-    return L.retry_state(attempts(t), ["consumer", "message_key"], ["seq"], floor_div("seq", 1000), max_budget=10)
+    return L.retry_state(attempts(t), ["consumer", "message_key"], ["seq"])
 
 
 @query("retry_backoff", with_ctes("att", body="""
@@ -190,7 +194,7 @@ def replay_requests(t):
     s AS (SELECT *, CASE WHEN NOT ok THEN 'CONFLICT' WHEN a IS NOT NULL AND s0 <> source_sequence THEN 'CONFLICT' WHEN a IS NOT NULL THEN 'RESERVED' ELSE 'EXHAUSTED' END AS status FROM j)
     SELECT l_orderkey, seq, status, CASE status WHEN 'RESERVED' THEN a WHEN 'EXHAUSTED' THEN max_attempts END::INTEGER AS attempt FROM s"""))
 def replay_reserve(t):
-    return (L.replay_reserve(replay_requests(t), ["l_orderkey", "seq"], max_budget=100)
+    return (L.replay_reserve(replay_requests(t), ["l_orderkey", "seq"])
             .select("l_orderkey", "seq", "status", "attempt"))
 
 

@@ -61,7 +61,8 @@ def append_missing(new: DataFrame, path: str, key: str, partition_by: Sequence[s
     """Appends the rows whose key is not stored yet and returns the table.
 
     With ``partition_by`` a key must determine its partition: then only the
-    partitions the new rows fall into are searched for their keys.  Rows are
+    partitions the new rows fall into are searched for their keys.  Only the
+    key column is read, and of a batch that is small enough only the keys travel.  Rows are
     rebalanced by partition when they are written: a tenant with a third of the
     data is split over tasks, and small partitions get one file.
     """
@@ -71,7 +72,10 @@ def append_missing(new: DataFrame, path: str, key: str, partition_by: Sequence[s
     stored = read_table(spark, path, new.schema)
     if partition_by:
         stored = touched(stored, staged, partition_by)
-    rows = staged.join(stored.select(key), key, "left_anti").select(*new.columns)
+    # The stored keys that are among the new ones: where those are few enough to be sent to all tasks, the table is not
+    # shuffled; where they are not, Spark may filter it by them first.
+    known = stored.select(key).join(staged.select(F.col(key).alias("_k")), F.col(key) == F.col("_k"), "left_semi")
+    rows = staged.join(known, key, "left_anti").select(*new.columns)
     if partition_by:
         rows = rows.hint("rebalance", *map(F.col, partition_by))
         rows = rows.sortWithinPartitions(*partition_by, *(sort_by or (key,)))

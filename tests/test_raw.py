@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from siemspark.functions.scalars import floor_div
 from siemspark.operators import raw as R
 from siemspark.operators import reliability as L
+from siemspark.session import cut_lineage
 from siemspark.sources import journal, sinks
 
 
@@ -63,13 +64,58 @@ def test_append_is_idempotent(spark, tmp_path):
     assert standing.where("v = 'third'").count() == 0
 
 
-def test_retry_budget_bound_is_checked(spark):
-    rows = [("c", "k", 1, "FAILURE", None, 5, 99, 1, "X", True, 6)]
-    df = spark.createDataFrame(rows, "consumer string, message_key string, seq int, outcome string, message_id string, occurred_ms long, "
-                                     "retry_budget int, delivery_attempt int, error_code string, retryable boolean, next_retry_ms long")
-    with pytest.raises(PySparkException, match="retry budget"):
-        L.retry_state(df, ["consumer", "message_key"], ["seq"], F.lit(0), 10).collect()
-    assert L.retry_state(df, ["consumer", "message_key"], ["seq"], F.lit(0), 99).first().failure_count == 1
+ATTEMPT = ("consumer string, message_key string, seq int, outcome string, message_id string, occurred_ms long, "
+           "retry_budget int, delivery_attempt int, error_code string, retryable boolean, next_retry_ms long")
+
+
+def walk_retries(rows):
+    """(count, budget, isolated, last attempt) of every open lifecycle."""
+    state = {}
+    for r in sorted(rows, key=lambda r: (r[1], r[2])):
+        key, outcome, budget, retryable = r[1], r[3], r[6], r[9]
+        if outcome != "FAILURE":
+            state.pop(key, None)
+        elif key not in state:
+            state[key] = (1, budget, not retryable or 1 >= budget, r[7])
+        elif not state[key][2]:
+            n, first, _, _ = state[key]
+            state[key] = (n + 1, first, not retryable or n + 1 >= first, r[7])
+    return state
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_retry_state_with_mixed_budgets(spark, seed):
+    """Budgets from 1 to 100,000, one key with most attempts, cut into several chunks."""
+    rnd = random.Random(seed)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = [("c", rnd.choice(["hot", "hot", "hot", "a", "b", "d"]), i, rnd.choice(["FAILURE"] * 400 + ["SUCCESS", "DLQ_PUBLISHED"]),
+             rnd.choice([None, f"m{i}"]), 1_000 + i, rnd.choice([1, 3, 100, 100_000]), i, "X", rnd.random() < [1, 0.99, 0.5][seed], 5)
+            for i in range(3_000)]
+    try:
+        got = L.retry_state(spark.createDataFrame(rows, ATTEMPT).repartition(3), ["consumer", "message_key"], ["seq"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.message_key: (r.failure_count, r.retry_budget, r.isolated, r.last_delivery_attempt) for r in got} == walk_retries(rows)
+
+
+def test_replay_budget_comes_from_the_first_request(spark):
+    rows = [("life", "root", 100_000 if k else 5_000, f"s{i}", i, i) for k in (0,) for i in range(6_000)]
+    rows += [("small", "root", 2, f"s{i}", i, i) for i in range(5)] + [("small", "root", 9, "s0", 0, 9)]
+    df = spark.createDataFrame(rows, "lifecycle_key string, replay_root string, max_attempts int, source_dlq_record_id string, source_sequence long, at int")
+    got = L.replay_reserve(df.repartition(4), ["at"]).groupBy("lifecycle_key", "status").agg(F.count("*"), F.max("attempt")).collect()
+    assert sorted(map(tuple, got)) == [("life", "EXHAUSTED", 1_000, 5_000), ("life", "RESERVED", 5_000, 5_000),
+                                       ("small", "CONFLICT", 1, None), ("small", "EXHAUSTED", 3, 2), ("small", "RESERVED", 2, 2)]
+
+
+def test_append_of_a_small_batch_does_not_shuffle_the_table(spark, tmp_path):
+    path = str(tmp_path / "big")
+    rows = spark.range(5_000).select(F.concat(F.lit("k"), "id").alias("key"), F.lit("x" * 50).alias("v"))
+    sinks.append_missing(rows, path, "key")
+    stored = sinks.read_table(spark, path, rows.schema)
+    staged = cut_lineage(rows.limit(20), "few")
+    known = stored.select("key").join(staged.select(F.col("key").alias("_k")), F.col("key") == F.col("_k"), "left_semi")
+    assert "ShuffleExchange" not in known._jdf.queryExecution().executedPlan().toString()
+    assert sinks.append_missing(rows.limit(20).union(spark.createDataFrame([("new", "y")], rows.schema)), path, "key").count() == 5_001
 
 
 def test_raw_uri(spark):
