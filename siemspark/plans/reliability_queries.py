@@ -57,18 +57,18 @@ def error_classify(t):
 
 # A plain walk through every history, one attempt at a time.
 @query("retry_state", "WITH RECURSIVE" + with_ctes("att", body="""
-    a AS (SELECT * RENAME (message_id AS new_id), row_number() OVER (PARTITION BY message_key ORDER BY seq) AS at, outcome <> 'FAILURE' AS clears FROM att),
+    a AS (SELECT * RENAME (message_id AS new_id), row_number() OVER (PARTITION BY message_key ORDER BY seq) AS pos, outcome <> 'FAILURE' AS clears FROM att),
     w AS (
      SELECT message_key, 0::BIGINT AS i, 0 AS n, NULL::VARCHAR AS message_id, NULL::BIGINT AS first_ms, NULL::BIGINT AS last_ms, NULL::INTEGER AS budget,
        NULL::INTEGER AS last_attempt, NULL::VARCHAR AS code, NULL::BOOLEAN AS again, NULL::BIGINT AS nx FROM (SELECT DISTINCT message_key FROM att)
      UNION ALL
-     SELECT message_key, at, CASE WHEN clears THEN 0 WHEN counts THEN n + 1 ELSE n END, CASE WHEN clears THEN NULL WHEN counts THEN coalesce(message_id, new_id) ELSE message_id END,
+     SELECT message_key, pos, CASE WHEN clears THEN 0 WHEN counts THEN n + 1 ELSE n END, CASE WHEN clears THEN NULL WHEN counts THEN coalesce(message_id, new_id) ELSE message_id END,
        CASE WHEN clears THEN NULL WHEN counts THEN coalesce(first_ms, occurred_ms) ELSE first_ms END,
        CASE WHEN clears THEN NULL WHEN counts THEN greatest(coalesce(last_ms, occurred_ms), occurred_ms) ELSE last_ms END,
        CASE WHEN clears THEN NULL WHEN counts THEN coalesce(budget, retry_budget) ELSE budget END, CASE WHEN clears THEN NULL WHEN counts THEN seq ELSE last_attempt END,
        CASE WHEN clears THEN NULL WHEN counts THEN error_code ELSE code END, CASE WHEN clears THEN NULL WHEN counts THEN retryable ELSE again END,
        CASE WHEN clears THEN NULL WHEN counts THEN occurred_ms + 5000 ELSE nx END
-     FROM (SELECT *, n = 0 OR (again AND n < budget) AS counts FROM w JOIN a USING (message_key) WHERE at = i + 1))
+     FROM (SELECT *, n = 0 OR (again AND n < budget) AS counts FROM w JOIN a USING (message_key) WHERE pos = i + 1))
     SELECT 'normalizer' AS consumer, message_key, message_id, first_ms AS first_failure_ms, last_ms AS last_failure_ms, n::INTEGER AS failure_count, budget AS retry_budget,
       last_attempt::INTEGER AS last_delivery_attempt, code AS last_error_code, again AS last_error_retryable,
       CASE WHEN again AND n < budget THEN greatest(last_ms, nx) END AS next_retry_ms, NOT (again AND n < budget) AS isolated
