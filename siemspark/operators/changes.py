@@ -2,9 +2,9 @@
 
 Patches of one object depend on each other: one is accepted if it names the current version and fits the
 current state, and then both change.  An object may still have any share of all patches, because
-acceptance needs little of the state.  ``Rules.states`` lists the states that acceptance can tell apart, so a patch
-is a small table from state to next state, and a stretch of patches a table from (version, state) on entry to
-(version, state) on leaving:
+acceptance needs little of both.  ``Rules.states`` lists the states that it can tell apart and ``Rules.kinds`` the
+patches, so a patch is a row of a small table from state to next state, and a stretch of patches a table from (version, state)
+on entry to (version, state) on leaving:
 
 1. Patches are dealt by ranges of (object, order) into chunks.  Most objects lie in one.
 2. For objects in several chunks each chunk lists its table, for entries that the chunks before can produce.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siemspark.operators.ordered import CHUNK, in_chunks, with_carry
+from siemspark.operators.ordered import CHUNK, dealt_in_chunks, with_carry
 from siemspark.session import cut_lineage
 
 
@@ -37,6 +37,8 @@ class Rules:
     ``fields`` are the state columns besides ``version``; ``check(s, p)`` tells whether patch ``p`` fits state
     ``s``; ``change(s, p)`` gives the new values; ``event(s, n, p)`` gives (event type, action, reason) for audit.
 
+    ``kinds`` says what ``check`` and the states' ``change`` look at in a patch: for each field some example values and a
+    function that gives the place of the example a value is like.  All other fields and differences do not matter to them.
     ``states`` are examples of all states that ``check`` tells apart, as values of some fields; ``index(s)`` is the
     place of a state's example, null if no patch ever fits it.  ``writes(s, p)`` gives, for each field that no example holds as it is,
     a struct of the value that an accepted patch writes, or null if it leaves the field; it may read the fields of ``s``
@@ -49,22 +51,43 @@ class Rules:
     check: Callable[[Column, Column], Column]
     change: Callable[[Column, Column], dict[str, Column]]
     event: Callable[[Column, dict[str, Column], Column], tuple[Column, Column, Column]]
+    kinds: dict[str, tuple[list, Callable[[Column], Column]]]
     states: tuple[dict[str, str], ...]
     index: Callable[[dict[str, Column]], Column]
     known: tuple[str, ...]
     writes: Callable[[dict[str, Column], Column], dict[str, Column]]
 
 
-def _moves(rules: Rules, types: dict) -> Column:
-    """For each example state the place of the next one, -1 where the patch does not fit; the last place fits none."""
-    examples = F.array(*[F.struct(*[F.lit(s.get(f)).cast(types[f]).alias(f) for f in rules.fields]) for s in rules.states])
-    patch = F.col("_p")
+def _kind(rules: Rules, p: Column) -> Column:
+    """The number of a patch's kind: the places of its fields' examples as digits."""
+    number, weight = F.lit(0), 1
+    for field, (examples, place) in rules.kinds.items():
+        number = number + place(p[field]) * weight
+        weight *= len(examples)
+    return number.cast("int")
 
-    def move(s):
-        fits = F.coalesce(rules.check(s, patch), F.lit(False))
-        return F.when(fits, _place(rules, rules.change(s, patch))).otherwise(-1)
 
-    return F.concat(F.transform(examples, move), F.array(F.lit(-1)))
+def _moves(spark, rules: Rules, types: dict, patch_types: dict) -> list[list[int]]:
+    """For each kind of patch and each example state the place of the next one, -1 where the patch does not fit.
+
+    The last state fits none.  The table is as large as the rules make it, whatever the data.
+    """
+    number, fields, total = F.col("id"), {}, 1
+    for field, (examples, _) in rules.kinds.items():
+        values = F.array(*[F.lit(e).cast(patch_types[field]) for e in examples])
+        fields[field] = F.element_at(values, (F.floor(number / total) % len(examples) + 1).cast("int"))
+        total *= len(examples)
+    patch = F.struct(*[fields.get(f, F.lit(None).cast(patch_types[f])).alias(f) for f in rules.patch_fields])
+    states = F.array(*[F.struct(*[F.lit(s.get(f)).cast(types[f]).alias(f) for f in rules.fields]) for s in rules.states])
+    pairs = (spark.range(total).select("id", patch.alias("_p"), states.alias("_states"))
+             .select("id", "_p", F.posexplode("_states").alias("_q", "_s")))
+    fits = F.coalesce(rules.check(F.col("_s"), F.col("_p")), F.lit(False))
+    found = pairs.select("id", "_q", F.when(fits, _place(rules, rules.change(F.col("_s"), F.col("_p")))).otherwise(-1)
+                         .alias("to")).toArrow()
+    table = [[-1] * (len(rules.states) + 1) for _ in range(total)]
+    for kind, state, to in zip(*(found[c].to_pylist() for c in ("id", "_q", "to")), strict=True):
+        table[kind][state] = to
+    return table
 
 
 def _place(rules: Rules, s: dict[str, Column]) -> Column:
@@ -90,17 +113,22 @@ def apply_changes(objects: DataFrame, patches: DataFrame, rules: Rules, key: Seq
             .select(*key, *[F.col(c).alias(p) for c, p in zip(order, places, strict=True)],
                     F.col("expected_version").cast("int").alias("_e"),
                     F.struct(*rules.patch_fields).alias("_p")))
-    rows = in_chunks(rows, key, places, "patches").withColumn("_t", _moves(rules, types))
-
-    spans = rows.select(*key, CHUNK).distinct()
-    spans = spans.join(base, key).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*key)))
-    spans = cut_lineage(spans, "spans")
-    most = spans.agg(F.max("_n").alias("n")).first()["n"] or 0
-    enter = spans.where(F.col("_n") == 1).select(*key, CHUNK, "_v", "_q")
-    if most > 1:
-        enter = enter.unionByName(_entries_reached(rows, spans.where(F.col("_n") > 1), rules, key, places, most))
-
-    accepted = cut_lineage(_accepted(rows, enter, key, places), "accepted")
+    moves = _moves(objects.sparkSession, rules, types, {f: patches.schema[f].dataType for f in rules.patch_fields})
+    rows, chunks = dealt_in_chunks(rows, key, places, "patches")
+    rows = rows.withColumn("_t", _kind(rules, F.col("_p")))
+
+    if chunks == 1:
+        spans = base.withColumn(CHUNK, F.lit(0))
+        enter = spans.select(*key, CHUNK, "_v", "_q")
+    else:
+        spans = rows.select(*key, CHUNK).distinct().join(base, key)
+        spans = cut_lineage(spans.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*key))), "spans")
+        most = spans.agg(F.max("_n").alias("n")).first()["n"] or 0
+        enter = spans.where(F.col("_n") == 1).select(*key, CHUNK, "_v", "_q")
+        if most > 1:
+            enter = enter.unionByName(_entries_reached(rows, spans.where(F.col("_n") > 1), moves, key, places, most))
+
+    accepted = cut_lineage(_accepted(rows, enter, moves, key, places), "accepted")
     told = _with_state(accepted, spans, rules, key)
     new = rules.change(F.col("_s"), F.col("_p"))
     last = told.groupBy(*key).agg(F.max_by(
@@ -127,11 +155,11 @@ def _runs(batches: Iterator[pa.RecordBatch], names: list[str]):
 
 
 def _in_order(rows: DataFrame, key: list[str], places: list[str]) -> DataFrame:
-    """Chunks whole in one partition each, their rows by object and order."""
-    return rows.repartition(CHUNK).sortWithinPartitions(CHUNK, *key, *places)
+    """The rows of an object in a chunk together and in order."""
+    return rows.repartition(CHUNK, *key).sortWithinPartitions(CHUNK, *key, *places)
 
 
-def _accepted(rows: DataFrame, enter: DataFrame, key: list[str], places: list[str]) -> DataFrame:
+def _accepted(rows: DataFrame, enter: DataFrame, table: list[list[int]], key: list[str], places: list[str]) -> DataFrame:
     """The accepted patches with the version and state before them."""
     on = [*key, CHUNK]
     begun = _in_order(rows.join(enter, on), key, places)
@@ -140,15 +168,15 @@ def _accepted(rows: DataFrame, enter: DataFrame, key: list[str], places: list[st
         at, version, state = None, 0, 0
         for batch, found in _runs(batches, [*on, "_v", "_q", "_e", "_t"]):
             keep, versions, before = [], [], []
-            for *here, v, q, expected, moves in found:
+            for *here, v, q, expected, kind in found:
                 if here != at:
                     at, version, state = here, v, q
-                taken = expected == version and moves[state] >= 0
+                taken = expected == version and table[kind][state] >= 0
                 keep.append(taken)
                 if taken:
                     versions.append(version)
                     before.append(state)
-                    version, state = version + 1, moves[state]
+                    version, state = version + 1, table[kind][state]
             part = batch.filter(pa.array(keep, pa.bool_())).select([*on, "_p"])
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(versions, pa.int32()), pa.array(before, pa.int32())],
                                              names=[*on, "_p", "_v", "_q"])
@@ -157,7 +185,7 @@ def _accepted(rows: DataFrame, enter: DataFrame, key: list[str], places: list[st
     return begun.mapInArrow(run, schema)
 
 
-def _entries_reached(rows: DataFrame, spans: DataFrame, rules: Rules, key: list[str], places: list[str],
+def _entries_reached(rows: DataFrame, spans: DataFrame, moves: list[list[int]], key: list[str], places: list[str],
                      most: int) -> DataFrame:
     """(key, chunk, version, state) with which objects of several chunks enter the chunks that accept something."""
     wide = rows.join(spans.select(*key).distinct(), key, "left_semi").select(*key, CHUNK, *places, "_e", "_t")
@@ -165,7 +193,7 @@ def _entries_reached(rows: DataFrame, spans: DataFrame, rules: Rules, key: list[
     named = (wide.groupBy(*key, (F.col("_e") + 1).alias("_v")).agg(F.min(CHUNK).alias("_from"))
              .unionByName(spans.select(*key, "_v").distinct().withColumn("_from", F.lit(-1)))
              .groupBy(*key, "_v").agg(F.min("_from").alias("_from")))
-    entries = _tables(wide, key, places).join(named, [*key, "_v"]).where(F.col("_from") < F.col(CHUNK)).drop("_from")
+    entries = _tables(wide, moves, key, places).join(named, [*key, "_v"]).where(F.col("_from") < F.col(CHUNK)).drop("_from")
     entries = cut_lineage(entries.withColumn("_id", F.monotonically_increasing_id()), "entries")
 
     # Where a result is looked up next: the first later chunk with an entry for it.
@@ -190,16 +218,16 @@ def _entries_reached(rows: DataFrame, spans: DataFrame, rules: Rules, key: list[
     return entries.join(reached, "_id", "left_semi").select(*key, CHUNK, "_v", "_q")
 
 
-def _tables(rows: DataFrame, key: list[str], places: list[str]) -> DataFrame:
+def _tables(rows: DataFrame, table: list[list[int]], key: list[str], places: list[str]) -> DataFrame:
     """(key, chunk, version, state, version after, state after) for every entry that a chunk moves."""
     on = [*key, CHUNK]
 
     def moved(run):
         """``run``: (expected version, moves) in order.  Entries that meet go on together."""
         begun, here = set(), {}  # (version, state) -> entries that are there now
-        for expected, moves in run:
+        for expected, kind in run:
             arrived = []
-            for state, after in enumerate(moves):
+            for state, after in enumerate(table[kind]):
                 if after < 0:
                     continue
                 place = expected, state
@@ -233,12 +261,12 @@ def _tables(rows: DataFrame, key: list[str], places: list[str]) -> DataFrame:
 
         for batch, found in _runs(batches, [*on, "_e", "_t"]):
             kinds = kinds or [batch.schema.field(n).type for n in on]
-            for *here, expected, moves in found:
+            for *here, expected, kind in found:
                 if here != at:
                     if held:
                         yield out()
                     at, held = here, []
-                held.append((expected, moves))
+                held.append((expected, kind))
         if held:
             yield out()
 
@@ -277,3 +305,18 @@ def written(value: Column, when: Column) -> Column:
     """A write of ``value`` (which may be null), or null where ``when`` does not hold."""
     return F.when(when, F.struct(value.alias("value")))
 
+
+def one_of(values: Sequence) -> tuple[list, Callable[[Column], Column]]:
+    """A field whose values matter: null, each of ``values``, and any other."""
+    values = list(values)
+
+    def place(c: Column) -> Column:
+        found = F.array_position(F.lit(values), c)
+        return F.when(c.isNull(), 0).otherwise(F.when(found == 0, len(values) + 1).otherwise(found))
+
+    return [None, *values, "?"], place
+
+
+def texts(good: Callable[[Column], Column], yes: str, no: str) -> tuple[list, Callable[[Column], Column]]:
+    """A field of which only matters whether it is null, good or not."""
+    return [None, yes, no], lambda c: F.when(c.isNull(), 0).when(good(c), 1).otherwise(2)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from siemspark.functions.scalars import (INPUT_TYPE_CODES, MODE_CODES, RULE_TYPE_CODES, enum_code,
                                          floor_div, millis)
 from siemspark.operators.ordered import CHUNK, backwards, in_chunks, later_chunks, with_carry
+from siemspark.session import cut_lineage
 
 # How many window lengths one bucket of a split group spans.
 BUCKET_WINDOWS = 8
@@ -426,7 +427,8 @@ def detect(events: DataFrame, pack: RulePack, mode: str, tenant_id: str | None =
             "event_time_nanos", "activity_name", "status", *pack.threshold.group_by]
     loaded = dedup_events(scanned.select(*dict.fromkeys(need + [pack.sequence.join_key])),
                           on_conflict=on_conflict)
-    loaded = loaded.withColumn("event_time_ms", millis("event_time_seconds", "event_time_nanos"))
+    # Written once: signals, bursts and sequences all read it.
+    loaded = cut_lineage(loaded.withColumn("event_time_ms", millis("event_time_seconds", "event_time_nanos")), "loaded")
     per_event = event_signals(loaded, pack.events, mode, evaluated_ms,
                               extra=[pack.sequence.join_key, "normalized_event_id"])
     bursts = threshold_signals(loaded, pack.threshold, mode, evaluated_ms)

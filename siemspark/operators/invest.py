@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siemspark.functions.scalars import has_text, is_uuid_v7
-from siemspark.operators.changes import Rules, apply_changes, written  # noqa: F401
+from siemspark.operators.changes import Rules, apply_changes, one_of as any_of, texts, written  # noqa: F401
 
 # Allowed state changes and closed value sets.
 INCIDENT_TRANSITIONS = {
@@ -81,6 +81,7 @@ def _incident_writes(s, p):
 INCIDENT = Rules("incident", ("status", "title", "owner", "disposition"),
                  ("status", "title", "owner", "disposition", "reason"),
                  _incident_check, _incident_change, _incident_event,
+                 {"status": any_of(INCIDENT_TRANSITIONS), "title": texts(has_text, "t", " "), "owner": texts(_owner_ok, "", "?")},
                  tuple({"status": s} for s in INCIDENT_TRANSITIONS),
                  lambda s: _place(s["status"], INCIDENT_TRANSITIONS), ("status",), _incident_writes)
 
@@ -143,6 +144,10 @@ def _case_writes(s, p):
 CASE = Rules("case", ("status", "priority", "title", "owner", "disposition", "closure_reason", "closed_ms"),
              ("status", "priority", "title", "owner", "disposition", "closure_reason", "reopen_reason",
               "reason", "at_ms"), _case_check, _case_change, _case_event,
+             {"status": any_of(CASE_TRANSITIONS), "priority": texts(lambda c: c.isin(*CASE_PRIORITIES), "P4_LOW", "?"),
+              "title": texts(has_text, "t", " "), "owner": texts(_owner_ok, "", "?"),
+              "disposition": any_of(CASE_DISPOSITIONS), "closure_reason": texts(has_text, "t", " "),
+              "reopen_reason": texts(has_text, "t", " ")},
              # A case can close if its disposition is decided and its reason has text.
              tuple({"status": s, "disposition": d, "closure_reason": r} for s in CASE_TRANSITIONS
                    for d in ("UNDETERMINED", "OTHER") for r in ("", "text")),

@@ -18,15 +18,26 @@ from siemspark.functions.scalars import floor_div
 from siemspark.session import cut_lineage
 
 CHUNK = "_chunk"
+CHUNK_ROWS = 1_000_000
 
 
 def in_chunks(rows: DataFrame, keys: Sequence[str], order: Sequence[str], purpose: str) -> DataFrame:
-    """The rows with the number of their chunk, which grows along ``order`` within a key.
+    """The rows with the number of their chunk, which grows along ``order`` within a key."""
+    return dealt_in_chunks(rows, keys, order, purpose)[0]
 
-    Written once: ranges are sampled, and every reader must see the same ones.
+
+def dealt_in_chunks(rows: DataFrame, keys: Sequence[str], order: Sequence[str], purpose: str) -> tuple[DataFrame, int]:
+    """``in_chunks`` and the number of chunks: as many as the rows ask for, ``CHUNK_ROWS`` each.
+
+    The rows are written before they are dealt, as ranges are found by sampling them, and again with their chunk, as
+    every reader must see the same ranges.
     """
-    dealt = rows.repartitionByRange(*keys, *order).withColumn(CHUNK, F.spark_partition_id())
-    return cut_lineage(dealt, purpose)
+    staged = cut_lineage(rows, purpose)
+    chunks = max(1, -(-staged.count() // CHUNK_ROWS))
+    if chunks == 1:
+        return staged.withColumn(CHUNK, F.lit(0)), 1
+    dealt = staged.repartitionByRange(chunks, *keys, *order).withColumn(CHUNK, F.spark_partition_id())
+    return cut_lineage(dealt, purpose), chunks
 
 
 def backwards(keys: Sequence[str], order: Sequence[str]):
@@ -55,7 +66,11 @@ def first_ranks(rows: DataFrame, keys: Sequence[str], order: Sequence[str], limi
 
     Counts of chunks give the rank at which each begins; chunks that begin beyond the limit are not sorted at all.
     """
-    chunked = in_chunks(rows, keys, order, purpose)
+    chunked, chunks = dealt_in_chunks(rows, keys, order, purpose)
+    if chunks == 1:
+        whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return (chunked.withColumn("_rank", F.count(F.lit(1)).over(whole)).withColumn("_limit", F.first(limit).over(whole))
+                .where("_rank <= _limit").drop(CHUNK))
     sizes = chunked.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_size"),
                                               F.min_by(limit, F.struct(*order)).alias("_own"))
     along = Window.partitionBy(*keys).orderBy(CHUNK)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siemspark.functions.scalars import col, is_sha256
@@ -88,9 +88,9 @@ def retry_state(attempts: DataFrame, keys: Sequence[str], order: Sequence[str])
                 .where(F.col("_cleared").isNull() | (position > F.col("_cleared"))).drop("_cleared"))
     first = first_ranks(failures, keys, order, F.col("retry_budget"), "retries")
     first = first.withColumn("_n", F.col("_rank")).withColumn("_budget", F.col("_limit"))
-    # The first failure that is not retryable is the last one that counts.
-    stops = first.groupBy(*keys).agg(F.min(F.when(~F.col("retryable"), F.col("_n"))).alias("_stop"))
-    kept = first.join(stops, list(keys)).where(F.col("_stop").isNull() | (F.col("_n") <= F.col("_stop")))
+    # The first failure that is not retryable is the last one that counts; a key has no more rows here than its budget.
+    stop = F.min(F.when(~F.col("retryable"), F.col("_n"))).over(Window.partitionBy(*keys))
+    kept = first.withColumn("_stop", stop).where(F.col("_stop").isNull() | (F.col("_n") <= F.col("_stop")))
     at = F.struct("_n")
     state = kept.groupBy(*keys).agg(
         F.min_by("message_id", F.when(F.col("message_id").isNotNull(), F.col("_n"))).alias("message_id"),

@@ -8,18 +8,16 @@ from pyspark.sql import functions as F
 
 from siemspark.operators import detect as D
 from siemspark.operators.events import conflicting_ids, dedup_events
+from siemspark.operators import ordered
 from siemspark.operators.ordered import in_chunks, running_max
 
 MIN = 60_000
 
 
 @pytest.fixture
-def many_chunks(spark):
-    """Ranges stay apart, so that small groups are cut into chunks too."""
-    name = "spark.sql.adaptive.coalescePartitions.enabled"
-    spark.conf.set(name, "false")
-    yield
-    spark.conf.unset(name)
+def many_chunks(monkeypatch):
+    """Chunks of few rows, so that small groups are cut too."""
+    monkeypatch.setattr(ordered, "CHUNK_ROWS", 60)
 
 
 EVENTS = ("tenant_id string, normalized_event_id string, event_time_present int, event_time_seconds long, "
@@ -245,8 +243,9 @@ def test_sequence_of_other_lengths_at_one_time(spark, many_chunks, stages):
     assert {(r.tenant_id, r.user_name): r.input_ids for r in out} == brute_sequence(rows, stages, 4)
 
 
-def test_hot_key_is_cut_into_chunks(spark, many_chunks):
+def test_hot_key_is_cut_into_chunks(spark, monkeypatch):
     """All rows of one key at one time are spread over all ranges."""
+    monkeypatch.setattr(ordered, "CHUNK_ROWS", 5_000)
     df = spark.range(40_000).select(F.lit("k").alias("k"), F.lit(1).alias("t"), "id").repartition(4)
     sizes = [r["count"] for r in in_chunks(df, ["k"], ["t", "id"], "test").groupBy("_chunk").count().collect()]
     assert len(sizes) == 8 and max(sizes) < 10_000

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from siemspark.operators import ordered
 from siemspark.operators import invest as I
 
 INCIDENT = "k long, version int, status string, title string, owner string, disposition string"
@@ -15,12 +16,9 @@ FIELDS = [x.split()[0] for x in PATCH.split(", ")]
 
 
 @pytest.fixture
-def many_chunks(spark):
-    """Ranges stay apart, so that objects are cut into chunks."""
-    name = "spark.sql.adaptive.coalescePartitions.enabled"
-    spark.conf.set(name, "false")
-    yield
-    spark.conf.unset(name)
+def many_chunks(monkeypatch):
+    """Chunks of few rows, so that small groups are cut too."""
+    monkeypatch.setattr(ordered, "CHUNK_ROWS", 150)
 
 
 def text(x):
@@ -129,8 +127,9 @@ def test_changes_of_hot_objects_equal_a_plain_walk(spark, many_chunks, kind, see
     assert len(want_audits) > 150
 
 
-def test_patches_of_one_object_in_many_chunks(spark, many_chunks):
+def test_patches_of_one_object_in_many_chunks(spark, monkeypatch):
     """One object, a tenth of its patches too old; all chunks take part in one chain."""
+    monkeypatch.setattr(ordered, "CHUNK_ROWS", 20_000)
     n = 200_000
     names = "CAST(id - (id + 6) DIV 10 + 1 - CASE WHEN id % 10 = 3 THEN 7 ELSE 0 END AS INT)"
     patches = spark.range(n).selectExpr(

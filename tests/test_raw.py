@@ -7,6 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from siemspark.functions.scalars import floor_div
+from siemspark.operators import ordered
 from siemspark.operators import raw as R
 from siemspark.operators import reliability as L
 from siemspark.session import cut_lineage
@@ -84,17 +85,14 @@ def walk_retries(rows):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_retry_state_with_mixed_budgets(spark, seed):
+def test_retry_state_with_mixed_budgets(spark, seed, monkeypatch):
     """Budgets from 1 to 100,000, one key with most attempts, cut into several chunks."""
     rnd = random.Random(seed)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    monkeypatch.setattr(ordered, "CHUNK_ROWS", 300)
     rows = [("c", rnd.choice(["hot", "hot", "hot", "a", "b", "d"]), i, rnd.choice(["FAILURE"] * 400 + ["SUCCESS", "DLQ_PUBLISHED"]),
              rnd.choice([None, f"m{i}"]), 1_000 + i, rnd.choice([1, 3, 100, 100_000]), i, "X", rnd.random() < [1, 0.99, 0.5][seed], 5)
             for i in range(3_000)]
-    try:
-        got = L.retry_state(spark.createDataFrame(rows, ATTEMPT).repartition(3), ["consumer", "message_key"], ["seq"]).collect()
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = L.retry_state(spark.createDataFrame(rows, ATTEMPT).repartition(3), ["consumer", "message_key"], ["seq"]).collect()
     assert {r.message_key: (r.failure_count, r.retry_budget, r.isolated, r.last_delivery_attempt) for r in got} == walk_retries(rows)
 
 
