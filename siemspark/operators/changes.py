@@ -15,6 +15,9 @@ on entry to (version, state) on leaving:
    before (a scan over one row per chunk), or in the stored object.
 
 Streams of rows pass through Python in steps 2 and 4, whole numbers only; the rest are columns.
+
+Both sides of the joins grow with the objects and patches, and their written columns pack so well that their files look small
+enough to be sent to every task; ``MERGE`` keeps them from passing through the driver.
 """
 
 from __future__ import annotations
@@ -26,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siemspark.operators.ordered import CHUNK, dealt_in_chunks, with_carry
+from siemspark.operators.ordered import CHUNK, dealt_in_chunks
 from siemspark.session import cut_lineage
 
+MERGE = "merge"
+
 
 @dataclass(frozen=True)
 class Rules:
@@ -121,7 +126,7 @@ def apply_changes(objects: DataFrame, patches: DataFrame, rules: Rules, key: Seq
         spans = base.withColumn(CHUNK, F.lit(0))
         enter = spans.select(*key, CHUNK, "_v", "_q")
     else:
-        spans = rows.select(*key, CHUNK).distinct().join(base, key)
+        spans = rows.select(*key, CHUNK).distinct().join(base.hint(MERGE), key)
         spans = cut_lineage(spans.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*key))), "spans")
         most = spans.agg(F.max("_n").alias("n")).first()["n"] or 0
         enter = spans.where(F.col("_n") == 1).select(*key, CHUNK, "_v", "_q")
@@ -134,7 +139,7 @@ def apply_changes(objects: DataFrame, patches: DataFrame, rules: Rules, key: Seq
     last = told.groupBy(*key).agg(F.max_by(
         F.struct((F.col("_v") + 1).alias("version"), *[new[f].cast(types[f]).alias(f) for f in rules.fields]),
         "_v").alias("_l"))
-    done = base.join(last, key, "left")
+    done = base.join(last.hint(MERGE), key, "left")
     state = done.select(*key, F.coalesce("_l.version", "_v").alias("version"), *[
         F.when(F.col("_l").isNull(), F.col("_s")[f]).otherwise(F.col("_l")[f]).alias(f) for f in rules.fields])
 
@@ -162,7 +167,7 @@ def _in_order(rows: DataFrame, key: list[str], places: list[str]) -> DataFrame:
 def _accepted(rows: DataFrame, enter: DataFrame, table: list[list[int]], key: list[str], places: list[str]) -> DataFrame:
     """The accepted patches with the version and state before them."""
     on = [*key, CHUNK]
-    begun = _in_order(rows.join(enter, on), key, places)
+    begun = _in_order(rows.join(enter.hint(MERGE), on), key, places)
 
     def run(batches):
         at, version, state = None, 0, 0
@@ -188,12 +193,13 @@ def _accepted(rows: DataFrame, enter: DataFrame, table: list[list[int]], key: li
 def _entries_reached(rows: DataFrame, spans: DataFrame, moves: list[list[int]], key: list[str], places: list[str],
                      most: int) -> DataFrame:
     """(key, chunk, version, state) with which objects of several chunks enter the chunks that accept something."""
-    wide = rows.join(spans.select(*key).distinct(), key, "left_semi").select(*key, CHUNK, *places, "_e", "_t")
+    wide = rows.join(spans.select(*key, CHUNK).hint(MERGE), [*key, CHUNK], "left_semi").select(*key, CHUNK, *places, "_e", "_t")
     # An entry can be met with the stored version, or one above a version that an earlier chunk names.
     named = (wide.groupBy(*key, (F.col("_e") + 1).alias("_v")).agg(F.min(CHUNK).alias("_from"))
              .unionByName(spans.select(*key, "_v").distinct().withColumn("_from", F.lit(-1)))
              .groupBy(*key, "_v").agg(F.min("_from").alias("_from")))
-    entries = _tables(wide, moves, key, places).join(named, [*key, "_v"]).where(F.col("_from") < F.col(CHUNK)).drop("_from")
+    entries = _tables(wide, moves, key, places).join(named.hint(MERGE), [*key, "_v"])
+    entries = entries.where(F.col("_from") < F.col(CHUNK)).drop("_from")
     entries = cut_lineage(entries.withColumn("_id", F.monotonically_increasing_id()), "entries")
 
     # Where a result is looked up next: the first later chunk with an entry for it.
@@ -211,11 +217,11 @@ def _entries_reached(rows: DataFrame, spans: DataFrame, moves: list[list[int]],
     reached = links.where(F.col("_asks") == -1).select(F.col("_to").alias("_id"))
     jump = links.where(F.col("_asks") >= 0)
     for _ in range(most.bit_length()):
-        ahead = reached.join(jump, reached["_id"] == jump["_asks"]).select(F.col("_to").alias("_id"))
+        ahead = reached.join(jump.hint(MERGE), reached["_id"] == jump["_asks"]).select(F.col("_to").alias("_id"))
         reached = cut_lineage(reached.unionByName(ahead).distinct(), "reached")
         far = jump.select(F.col("_asks").alias("_mid"), F.col("_to").alias("_far"))
-        jump = cut_lineage(jump.join(far, jump["_to"] == far["_mid"]).select("_asks", F.col("_far").alias("_to")), "jump")
-    return entries.join(reached, "_id", "left_semi").select(*key, CHUNK, "_v", "_q")
+        jump = cut_lineage(jump.join(far.hint(MERGE), jump["_to"] == far["_mid"]).select("_asks", F.col("_far").alias("_to")), "jump")
+    return entries.join(reached.hint(MERGE), "_id", "left_semi").select(*key, CHUNK, "_v", "_q")
 
 
 def _tables(rows: DataFrame, table: list[list[int]], key: list[str], places: list[str]) -> DataFrame:
@@ -285,11 +291,11 @@ def _with_state(accepted: DataFrame, spans: DataFrame, rules: Rules, key: list[s
     summary = rows.groupBy(*key, CHUNK).agg(*last, F.max("_v").alias("_top"))
     before = Window.partitionBy(*key).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(*key, CHUNK, *[F.last(f"_b_{f}", ignorenulls=True).over(before).alias(f"_b_{f}") for f in writes])
-    carry = carry.join(spans.select(*key, CHUNK, F.col("_s").alias("_first")), [*key, CHUNK])
+    carry = carry.join(spans.select(*key, CHUNK, F.col("_s").alias("_first")).hint(MERGE), [*key, CHUNK])
     inside = Window.partitionBy(*key, CHUNK).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     for f in writes:
         rows = rows.withColumn(f"_i_{f}", F.last(f"_w_{f}", ignorenulls=True).over(inside))
-    rows = with_carry(rows, carry, key)
+    rows = rows.join(carry.hint(MERGE), [*key, CHUNK])
 
     def value(f):
         if f not in writes:
