@@ -136,3 +136,21 @@ def test_append_searches_many_partitions(spark, tmp_path):
         sinks.append_missing(rows, path, "key", ["p"])
     table = spark.read.parquet(path)
     assert table.count() == 300 == table.select("key").distinct().count()
+
+
+def test_append_compares_keys_before_rows_travel(spark, tmp_path):
+    path = str(tmp_path / "table")
+    rows = spark.range(3_000).select(F.concat(F.lit("k"), (F.col("id") % 1_000).cast("string")).alias("key"), F.col("id").cast("string").alias("v"))
+    first = {r.key: r.v for r in sinks.append_missing(rows, path, "key").collect()}
+    assert len(first) == 1_000
+    # The smallest digest of a row's content decides, as before.
+    digest = F.sha2(F.to_json(F.struct("v"), {"ignoreNullFields": "false"}), 256)
+    assert first == {r.key: r.v for r in rows.groupBy("key").agg(F.min_by("v", digest).alias("v")).collect()}
+    files = set((tmp_path / "table").iterdir())
+    sinks.append_missing(rows, path, "key")
+    assert set((tmp_path / "table").iterdir()) == files  # nothing is written, not even an empty file
+    plan = sinks.missing_keys(rows, sinks.read_table(spark, path, rows.schema), "key")._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by" not in plan and " v#" not in plan
+    nulls = spark.createDataFrame([(None, "a"), (None, "b"), ("k1", "c"), ("n", "d"), ("n", "d")], rows.schema)
+    for n in (1_002, 1_003):  # a null key is never found, so one row more each time
+        assert sinks.append_missing(nulls, path, "key").count() == n
