@@ -34,6 +34,7 @@ CASE_DISPOSITIONS = ["UNDETERMINED", "CONFIRMED_INCIDENT", "BENIGN_ACTIVITY", "F
                      "DUPLICATE", "TEST", "OTHER"]
 
 LEDGER_ROWS = 200
+TASK_LINKS = 500_000
 
 
 # --- state changes ---------------------------------------------------------
@@ -200,16 +201,27 @@ def case_number(case_id) -> Column:
     return F.concat(F.lit("CASE-"), F.upper(F.substring(F.replace(case_id, F.lit("-"), F.lit("")), 1, 12)))
 
 
+def link_tasks(rows: int) -> int:
+    """Tasks for link rows.  Their texts repeat, so a task of a fixed compressed size would hold many millions in memory."""
+    return max(1, -(-rows // TASK_LINKS))
+
+
 def case_links(cases: DataFrame, incidents: DataFrame, incident_findings: DataFrame,
-               finding_entities: DataFrame) -> DataFrame:
-    """Everything a new case takes over from its incident, as link rows."""
+               finding_entities: DataFrame, rows: int | None = None) -> DataFrame:
+    """Everything a new case takes over from its incident, as link rows.
+
+    Findings and their entities meet in tasks of about ``TASK_LINKS`` rows; ``rows`` says how many relations there are
+    at most, else they are counted.
+    """
+    n = link_tasks(finding_entities.count() if rows is None else rows)
+    by_finding = (n, "tenant_id", "finding_id")
     source = (cases.select("tenant_id", "case_id", "incident_id")
               .join(incidents.select("tenant_id", "incident_id"), ["tenant_id", "incident_id"], "left_semi"))
     findings = (source.join(incident_findings, ["tenant_id", "incident_id"])
-                .select("tenant_id", "case_id", "finding_id").distinct())
-    entities = (findings.join(finding_entities.select("tenant_id", "finding_id", "entity_id"),
+                .select("tenant_id", "case_id", "finding_id").repartition(*by_finding).distinct())
+    entities = (findings.join(finding_entities.select("tenant_id", "finding_id", "entity_id").repartition(*by_finding),
                               ["tenant_id", "finding_id"])
-                .select("tenant_id", "case_id", "entity_id").distinct())
+                .select("tenant_id", "case_id", "entity_id").repartition(n, "tenant_id", "case_id", "entity_id").distinct())
 
     def leg(df, kind, column, relation):
         return df.select("tenant_id", "case_id", F.lit(kind).alias("object_type"),

@@ -44,7 +44,8 @@ def findings(t):
 def finding_entities(t):
     actors = t.read("orders").select(_tenant("o_custkey").alias("tenant_id"), _name("finding-", "o_orderkey").alias("finding_id"),
                                      _name("cust-", "o_custkey").alias("entity_id"), F.lit("ACTOR").alias("role"))
-    lines = t.read("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey").distinct()
+    lines = t.read("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
+    lines = lines.repartition(I.link_tasks(lines.count()), "o_orderkey").distinct()
     targets = (lines.join(t.read("orders").select("o_orderkey", "o_custkey"), "o_orderkey")
                .select(_tenant("o_custkey").alias("tenant_id"), _name("finding-", "o_orderkey").alias("finding_id"),
                        _name("supp-", "l_suppkey").alias("entity_id"), F.lit("TARGET").alias("role")))
@@ -134,7 +135,9 @@ def incident_view(t):
 
 
 def case_links(t):
-    return I.case_links(cases(t), incidents(t), findings(t).select("tenant_id", "incident_id", "finding_id"), finding_entities(t))
+    # An actor per order and at most one target per line.
+    return I.case_links(cases(t), incidents(t), findings(t).select("tenant_id", "incident_id", "finding_id"), finding_entities(t),
+                        t.read("orders").count() + t.read("lineitem").count())
 
 
 CTE["cl"] = """
@@ -154,7 +157,8 @@ def case_fanout(t):
 def case_view(t):
     """Every incident, finding and entity of every case, with its number of each kind."""
     links = case_links(t)
-    counts = I.link_counts(links, ["tenant_id", "case_id", "object_type"], "members")
+    # Counts are the build side of a hash join, so that tasks need not sort the links.
+    counts = I.link_counts(links, ["tenant_id", "case_id", "object_type"], "members").hint("shuffle_hash")
     return (links.join(counts, ["tenant_id", "case_id", "object_type"])
             .select("tenant_id", "case_id", I.case_number("case_id").alias("case_number"), "object_type", "object_id",
                     "members"))

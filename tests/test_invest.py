@@ -161,3 +161,23 @@ def test_views_list_every_link(spark):
     rows = out.groupBy("incident_id").agg({"finding_id": "count", "finding_count": "max"}).collect()
     assert {tuple(r)[0]: set(tuple(r)[1:]) for r in rows} == {"a": {5000}, "b": {0}}
     assert out.count() == 5001
+
+
+def test_case_links_meet_in_tasks_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(I, "TASK_LINKS", 500)
+    objects = spark.range(40).select(F.lit("t").alias("tenant_id"), F.concat(F.lit("c"), "id").alias("case_id"),
+                                     F.concat(F.lit("i"), "id").alias("incident_id"))
+    incidents = objects.select("tenant_id", "incident_id")
+    made = spark.range(1_000).select(F.lit("t").alias("tenant_id"), F.concat(F.lit("f"), "id").alias("finding_id"),
+                                     F.concat(F.lit("i"), F.col("id") % 40).alias("incident_id"))
+    entities = spark.range(4_000).select(F.lit("t").alias("tenant_id"), F.concat(F.lit("f"), F.col("id") % 1_000).alias("finding_id"),
+                                         F.concat(F.lit("e"), F.col("id") % 300).alias("entity_id"), F.lit("TARGET").alias("role"))
+    for given in (None, 4_000):
+        out = I.case_links(objects, incidents, made, entities.union(entities.limit(7)) if given is None else entities, given)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        tasks = 9 if given is None else 8
+        assert f", {tasks}), REPARTITION_BY_NUM" in plan
+        links = [tuple(r) for r in out.collect()]
+        want = {("c%d" % (i % 1_000 % 40), "e%d" % (i % 300)) for i in range(4_000)}
+        assert {(c, o) for _, c, kind, o, _ in links if kind == "ENTITY"} == want
+        assert len(links) == len(set(links)) == len(want) + 1_000 + 40
