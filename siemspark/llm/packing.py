@@ -38,6 +38,11 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
 
 
+def lowered(text: bytes) -> bytes:
+    """A text in the tokenizer's case, so that fewer words differ; as it is where it may quote a special token."""
+    return text if b"<|" in text else text.lower()
+
+
 def word_parts(word: bytes) -> tuple[bytes, bytes]:
     """A word in lower case, and the marks at its end, which the tokenizer encodes alone: most words are few
     different letters with a mark.
@@ -74,7 +79,7 @@ class WordTokenizer:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [t.encode().split() if t else [] for t in texts]
+        split = [lowered(t.encode()).split() if t else [] for t in texts]
         if len(self.new) > MEMO:
             self.old, self.new = self.new, {}
         new = self.new

@@ -282,3 +282,15 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 105), (105, 103), (7, 7)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 103: 100, 105: 100}
+
+
+def test_packing_keeps_words_in_one_case():
+    from tokenizers import Tokenizer
+
+    words, plain = packing.WordTokenizer(open(WORDS, encoding="utf-8").read()), Tokenizer.from_file(WORDS)
+    texts = ["Word WORD word wORD, ÄÖ Éa İx", "Word <|endoftext|> A<|ENDOFTEXT|>B WORD", None, "a <| B"]
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in words(texts)] == want
+    words = packing.WordTokenizer(open(WORDS, encoding="utf-8").read())
+    words(["Word WORD word wORD"])
+    assert set(words.new) == {b"word"}
