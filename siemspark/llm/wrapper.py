@@ -1,12 +1,13 @@
 """Main text of web pages by wrapper induction.
 
-The DOM trees of some pages of a host are aligned by simple tree matching: the
+The DOM trees of the pages of a host are aligned by simple tree matching: the
 largest set of node pairs with equal labels that keeps order and ancestors.
 Aligned pages are merged into one wrapper tree, in which runs of equally labelled
 siblings are one slot.  The way to the article goes down as long as one container
 holds all text that varies; elements on it are never taken for menus and the like.
-These wrappers are fitted on at most ``PAGES`` different pages per host (smallest
-hash of the id); they only protect, so no page loses text by them.
+Every page of a host takes part: equal trees are merged as one, ``FAN`` at a time, and
+so are the wrappers that come out, until a host has one.  A wrapper above ``SLOTS`` nodes
+loses its rarest nodes off the way; they only weigh on how siblings are aligned.
 
 Texts are counted by host, path and layout over all pages.  A text that is the same
 on nine tenths of the pages that have its slot is template, unless those pages are
@@ -33,13 +34,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from siemspark.llm.common import mix64, stage
 from siemspark.llm.dom import BLOCK, RAW, Node, blocks, parse
 from siemspark.llm.minhash import shingles
 
-PAGES = 16
+FAN = 16  # trees that one task aligns with each other
+SLOTS = 2_000  # nodes of a wrapper
 ROWS = 256
 SHORT = 100  # characters of a block that elements marked by words may lose
 CONTENT_WORDS = 5  # that pages must hold besides constant text, to be more than copies
@@ -199,7 +200,8 @@ class Page:
         self.article = marked is not None
         self.hard = lambda c: is_chrome(c, self.article)
         self.base = _step(0, self.scope.label)
-        self.blocks = [(p, t) for p, t, _ in located(self.scope, self.base, self.hard)]
+        self.spans: dict[int, tuple[int, int]] = {}
+        self.blocks = [(p, t) for p, t, _ in located(self.scope, self.base, self.hard, spans=self.spans)]
         shape = sorted({p for n, p in _walk(self.scope, self.article) if n.tag in CONTAINERS})
         self.layout = xxhash.xxh3_64_intdigest(str(shape).encode())
 
@@ -230,8 +232,7 @@ class Page:
 
     def cuts(self, host: str = "", template: frozenset[int] = frozenset(), way: frozenset[int] = frozenset()) -> set[int]:
         """Elements off the way to the article that words mark as chrome and that hold short or constant text only."""
-        spans: dict[int, tuple[int, int]] = {}
-        located(self.scope, self.base, self.hard, spans=spans)
+        spans = self.spans
         sizes = [0 if self.constant(p, t, host, template) else len(t) for p, t in self.blocks]
         total, long = [0, *accumulate(sizes)], [0, *accumulate(n >= SHORT for n in sizes)]
         varying, holding = total[-1], _holding(self.scope, ("article", "main", "h1"))
@@ -261,9 +262,17 @@ class Page:
     def text(self, host: str = "", template: frozenset[int] = frozenset(), way: frozenset[int] = frozenset()) -> str:
         """The article as blocks joined by line ends."""
         cut = self.cuts(host, template, way)
+        if not cut:
+            return "\n".join(t for p, t in self.blocks if not self.constant(p, t, host, template))
         return "\n".join(left for path, text, left in located(self.scope, self.base, self.hard, cut)
                          if left and not self.constant(path, text, host, template))
 
+    def tree(self, host: str = "", template: frozenset[int] = frozenset()) -> Slot:
+        """The page for matching: what varies is text outside chrome that is not constant."""
+        cut = self.cuts(host, template)
+        fixed = {t for p, t in self.blocks if self.constant(p, t, host, template)}
+        return folded(self.root, skip=lambda c: is_chrome(c) or id(c) in cut, fixed=fixed)
+
 
 def text_key(slot: int, text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), slot) | 1
@@ -303,39 +312,71 @@ def own_text(node: Node, skip=is_chrome) -> str:
     return " ".join("".join(parts).split())
 
 
+def _has_text(node: Node, skip=is_chrome) -> bool:
+    """Whether ``own_text`` is not empty."""
+    todo = list(node.children)
+    while todo:
+        c = todo.pop()
+        if isinstance(c, str):
+            if c and not c.isspace():
+                return True
+        elif c.tag not in BLOCK and c.tag != "br" and not skip(c):
+            todo.extend(c.children)
+    return False
+
+
+CONTAINER, MAIN, VARIES, ENDS = 1, 2, 4, 8
+
+
 class Slot:
-    """A node of a tree for matching: block elements only, runs of equal siblings folded."""
+    """A node of a tree for matching: block elements only, runs of equal siblings folded.
+
+    ``flags`` say what the tag is, whether own text varies, and whether the way to the article is known to end here;
+    ``texts`` are own texts that are constant, ``pages`` the merged trees that have the node.
+    """
+
+    __slots__ = ("children", "flags", "label", "pages", "texts")
 
-    __slots__ = ("chars", "children", "chrome", "label", "pages", "tag", "texts")
+    def __init__(self, label: str, flags: int, pages: int = 1, children: list[Slot] | None = None):
+        self.label, self.flags, self.pages = label, flags, pages
+        self.children, self.texts = children or [], frozenset()
 
-    def __init__(self, label: str, tag: str, chrome: bool):
-        self.label, self.tag, self.chrome = label, tag, chrome
-        self.texts: Counter[str] = Counter()
-        self.chars, self.pages, self.children = 0, 1, []
+    def packed(self) -> list:
+        return [self.label, self.flags, self.pages, [c.packed() for c in self.children]]
 
 
-def folded(node: Node, depth: int = 40, chrome: bool = False, skip=is_chrome) -> Slot:
+def unpacked(data: list) -> Slot:
+    label, flags, pages, children = data
+    return Slot(label, flags, pages, [unpacked(c) for c in children])
+
+
+def folded(node: Node, depth: int = 40, chrome: bool = False, skip=is_chrome, fixed: set[str] | frozenset[str] = frozenset()) -> Slot:
     """The matching tree of one page; nesting beyond ``depth`` counts as text of its ancestor."""
     chrome = chrome or skip(node)
-    slot = Slot(node.label, node.tag, chrome)
-    text = own_text(node, skip) if depth else "\n".join(blocks(node, skip))
-    if text:
-        slot.texts[text] = 1
-        slot.chars = len(text)
+    slot = Slot(node.label, (node.tag in CONTAINERS) * CONTAINER | (node.tag in MAIN_TAGS) * MAIN)
+    if not chrome:
+        if depth and not fixed:
+            varies = _has_text(node, skip)
+        else:
+            text = own_text(node, skip) if depth else "\n".join(blocks(node, skip))
+            varies = bool(text) and text not in fixed
+            if text in fixed:
+                slot.texts = frozenset([text])
+        slot.flags |= varies * VARIES
     if depth:
         todo, found = list(reversed(node.children)), []
         while todo:
             c = todo.pop()
             if not isinstance(c, str):
                 if c.tag in BLOCK:
-                    found.append(folded(c, depth - 1, chrome, skip))
+                    found.append(folded(c, depth - 1, chrome, skip, fixed))
                 else:
                     todo.extend(reversed(c.children))
         for child in found:
             last = slot.children[-1] if slot.children else None
             if last is not None and last.label == child.label and not last.children and not child.children:
                 last.texts |= child.texts
-                last.chars += child.chars
+                last.flags |= child.flags
             else:
                 slot.children.append(child)
     return slot
@@ -402,8 +443,8 @@ def merge(wrapper: Slot, page: Slot, memo: dict) -> None:
     """Adds an aligned page: matched nodes share texts, others become optional nodes of the wrapper."""
     _, pairs = matching(wrapper, page, memo)
     wrapper.pages += page.pages
-    wrapper.chars += page.chars
-    wrapper.texts.update(page.texts)
+    wrapper.flags |= page.flags
+    wrapper.texts |= page.texts
     partner = {id(b): a for a, b in pairs}
     # The wrapper's nodes up to the next twin come first, then the page's own ones.
     out, rest = [], iter(wrapper.children)
@@ -421,46 +462,80 @@ def merge(wrapper: Slot, page: Slot, memo: dict) -> None:
     wrapper.children = out
 
 
+def _mass(root: Slot) -> set[int]:
+    """Ids of all slots with varying text at or below them."""
+    out: set[int] = set()
+
+    def holds(slot: Slot) -> bool:
+        below = [holds(c) for c in slot.children]
+        if any(below) or slot.flags & (VARIES | ENDS):
+            out.add(id(slot))
+            return True
+        return False
+
+    holds(root)
+    return out
+
+
+def way(wrapper: Slot) -> list[Slot]:
+    """The slots on the way to the article; the last is marked if more pages cannot lead the way on below it."""
+    path, mass = [wrapper], _mass(wrapper)
+    while True:
+        at = path[-1]
+        # Down only where nothing that varies is left behind: own text, and siblings of another label.
+        held = [c for c in at.children if id(c) in mass]
+        if at.flags & (MAIN | VARIES | ENDS) or len(held) > 1 or held and not held[0].flags & CONTAINER:
+            at.flags |= ENDS
+            return path
+        if not held:
+            return path
+        path.append(held[0])
+
+
+def trimmed(wrapper: Slot, limit: int = SLOTS) -> Slot:
+    """Without the rarest slots off the way, if there are too many.  The way stays, whatever is merged later."""
+    path = {id(x) for x in way(wrapper)}
+
+    def size(slot: Slot) -> int:
+        return 1 + sum(map(size, slot.children))
+
+    def drop(slot: Slot, least: int) -> None:
+        slot.children = [c for c in slot.children if c.pages >= least or id(c) in path]
+        for c in slot.children:
+            drop(c, least)
+
+    least = 1
+    while size(wrapper) > limit and least <= wrapper.pages:
+        least *= 2
+        drop(wrapper, least)
+    return wrapper
+
+
+def aligned(trees: list[Slot]) -> Slot:
+    """One wrapper of some trees, aligned one after the other."""
+    wrapper = trees[0]
+    for tree in trees[1:]:
+        merge(wrapper, tree, {})
+    return wrapper
+
+
 def induce(pages: list[str]) -> dict | None:
     """The wrapper of some pages: the labels on the way to the article, and template texts."""
     if len(pages) < 2:
         return None
     read = [Page(p) for p in pages]
     keys = template_keys(read)
-    trees = []
-    for page in read:
-        cut = page.cuts("", keys)
-        trees.append(folded(page.root, skip=lambda c, cut=cut: is_chrome(c) or id(c) in cut))
-    wrapper = trees[0]
-    for tree in trees[1:]:
-        merge(wrapper, tree, {})
-    fixed = {t for page in read for p, t in page.blocks if page.constant(p, t, "", keys)}
-
-    def own(slot: Slot) -> int:
-        return 0 if slot.chrome else sum(len(t) * n for t, n in slot.texts.items() if t not in fixed)
-
-    def mass(slot: Slot) -> int:
-        """Characters of varying text below a slot, outside chrome."""
-        return 0 if slot.chrome else own(slot) + sum(mass(c) for c in slot.children)
-
-    path, at = [], wrapper
-    while True:
-        path.append(at.label)
-        # Down only where nothing that varies is left behind: own text, and siblings of another label.
-        held = [c for c in at.children if mass(c)]
-        if at.tag in MAIN_TAGS or own(at) or len(held) != 1 or held[0].tag not in CONTAINERS:
-            break
-        at = held[0]
-    return {"path": path, "template": sorted(fixed & _inside(at))}
+    path = way(aligned([page.tree("", keys) for page in read]))
+    return {"path": [x.label for x in path], "template": sorted(_inside(path[-1]))}
 
 
 def _inside(slot: Slot) -> set[str]:
-    """Texts below a slot, outside chrome."""
+    """Constant texts below a slot, outside chrome."""
     found, todo = set(), [slot]
     while todo:
         at = todo.pop()
-        found |= set(at.texts)
-        todo.extend(c for c in at.children if not c.chrome)
+        found |= at.texts
+        todo.extend(at.children)
     return found
 
 
@@ -491,34 +566,90 @@ def _marked(root: Node) -> Node | None:
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
-def _induce(table: pa.Table) -> pa.Table:
-    found = induce(list(dict.fromkeys(h for h in table["html"].to_pylist() if h)))
-    return pa.table({"host": table["host"][:1], "wrapper": pa.array([json.dumps(found)])})
+def _merge(table: pa.Table) -> pa.Table:
+    trees = [unpacked(json.loads(t)) for t in sorted(table["tree"].to_pylist())]
+    return pa.table({"host_id": table["host_id"][:1],
+                     "tree": pa.array([json.dumps(trimmed(aligned(trees)).packed())], pa.string())})
 
 
-def wrappers(pages: DataFrame, limit: int = PAGES) -> DataFrame:
-    """(host, wrapper) of every host, from at most ``limit`` of its pages."""
-    named = pages.select("page_id", "host").where(F.col("page_id").isNotNull()).distinct()
-    by = Window.partitionBy("host").orderBy(F.xxhash64("page_id"), "page_id")
-    picked = stage(named.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= limit).drop("_n"), "sample")
-    return (pages.join(picked, ["page_id", "host"]).select("host", "html").dropDuplicates(["host", "html"])
-            .groupBy("host").applyInArrow(_induce, "host string, wrapper string"))
+def _way(batches: Iterator[pa.RecordBatch]):
+    for batch in batches:
+        paths = [json.dumps([x.label for x in way(unpacked(json.loads(t)))]) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string())], names=["host_id", "wrapper"])
+
+
+def wrappers(trees: DataFrame, fan: int = FAN) -> DataFrame:
+    """(host_id, wrapper): the way to the article on every host with different pages, from the trees of all its pages.
+
+    Equal trees are one, then ``fan`` of a host at a time, by hash, become one wrapper, until there is one.  Neither the
+    order of rows nor how they are partitioned matters.
+    """
+    trees = stage(trees.groupBy("host_id", "tree").agg(F.min("page").alias("lo"), F.max("page").alias("hi")), "trees")
+    different = trees.groupBy("host_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi")
+    left = trees.select("host_id", "tree").join(different.select("host_id"), "host_id")
+    while True:
+        count = left.groupBy("host_id").agg(F.count("*").alias("n"))
+        if (count.agg(F.max("n").alias("n")).first()["n"] or 0) <= 1:
+            return left.mapInArrow(_way, "host_id long, wrapper string")
+        part = F.pmod(F.xxhash64("tree"), F.ceil(F.col("n") / fan))
+        left = stage(left.join(count, "host_id").groupBy("host_id", part.alias("part"))
+                     .applyInArrow(_merge, "host_id long, tree string"), "wrappers")
 
 
 def _signed(values) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
+class _Trees:
+    """Trees of pages as rows: each tree of a host once, and two of its pages if they differ, while the memo lasts."""
+
+    def __init__(self):
+        self.trees: set[tuple[int, int]] = set()
+        self.pages: dict[int, set[int]] = {}
+
+    def __call__(self, key: int, source: str | None, tree: Slot) -> list[tuple[int, int, str]]:
+        if not source:
+            return []
+        if len(self.trees) > 10_000 or len(self.pages) > 100_000:
+            self.trees.clear()
+            self.pages.clear()
+        text, page = json.dumps(tree.packed()), xxhash.xxh3_64_intdigest(source.encode("utf-8", "surrogatepass"))
+        pages, known = self.pages.setdefault(key, set()), (key, xxhash.xxh3_128_intdigest(text.encode()))
+        if known in self.trees and (page in pages or len(pages) > 1):
+            return []
+        self.trees.add(known)
+        pages.add(page)
+        return [(key, page, text)]
+
+
 def _count(batches: Iterator[pa.RecordBatch]):
+    """Keys of the blocks of all pages, and the trees of the pages as they are if nothing is template."""
+    trees_of = _Trees()
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
             part, rows = batch.slice(at, ROWS), []
             for key, host, source in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                rows.extend((key, *k) for k in Page(source).keys(host))
+                page = Page(source)
+                rows.extend((key, *k, None) for k in page.keys(host))
+                rows.extend((k, p, 0, t) for k, p, t in trees_of(key, source, page.tree()))
             if rows:
-                key, slot, text = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), _signed(slot), _signed(text)],
-                                                 names=["host_id", "slot", "text"])
+                key, slot, text, tree = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key, pa.int64()), _signed(slot), _signed(text), pa.array(tree, pa.string())],
+                    names=["host_id", "slot", "text", "tree"])
+
+
+def _trees(batches: Iterator[pa.RecordBatch]):
+    """Trees of pages of hosts with template texts."""
+    texts_of, trees_of = _Keys(), _Trees()
+    for batch in batches:
+        rows = []
+        for i, (key, host, source) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+            rows.extend(trees_of(key, source, Page(source).tree(host, texts_of(host, batch.column(3)[i]))))
+        if rows:
+            key, page, tree = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), _signed(page), pa.array(tree, pa.string())],
+                                             names=["host_id", "page", "tree"])
 
 
 class _Keys:
@@ -554,15 +685,28 @@ def _contents(batches: Iterator[pa.RecordBatch]):
                                                  names=["slot", "text", "j", "content"])
 
 
-def templates(pages: DataFrame) -> DataFrame:
+def read(pages: DataFrame) -> DataFrame:
+    """Of all pages: (host_id, slot, text) of every block, and (host_id, slot, tree), the slot being a hash of the page."""
+    return stage(pages.select("host_id", "host", "html").mapInArrow(
+        _count, "host_id long, slot long, text long, tree string"), "read")
+
+
+def page_trees(pages: DataFrame, found: DataFrame, constant: DataFrame) -> DataFrame:
+    """(host_id, page, tree) of all pages: as ``read``, but of hosts with template texts with regard to these."""
+    plain = (found.where("tree IS NOT NULL").join(constant, "host_id", "left_anti")
+             .select("host_id", F.col("slot").alias("page"), "tree"))
+    return plain.union(pages.join(constant, "host_id").select("host_id", "host", "html", "template")
+                       .mapInArrow(_trees, "host_id long, page long, tree string"))
+
+
+def templates(pages: DataFrame, blocks_of: DataFrame) -> DataFrame:
     """(host_id, template): keys of the constant texts of every host, from all its pages.
 
     A text is constant if nine tenths of the pages that have its slot, on the host or in one layout,
     hold it.  Copies of an article share all their text too, so the same must hold for the different
     contents of those pages.
     """
-    count = (pages.select("host_id", "host", "html").mapInArrow(_count, "host_id long, slot long, text long")
-             .groupBy("slot", "text").agg(F.count("*").alias("n"), F.min("host_id").alias("host_id"))
+    count = (blocks_of.where("tree IS NULL").groupBy("slot", "text").agg(F.count("*").alias("n"), F.min("host_id").alias("host_id"))
              .where(F.col("n") >= 2))
     count = stage(count, "slots")
 
@@ -581,14 +725,15 @@ def templates(pages: DataFrame) -> DataFrame:
     return stage(found.join(sure, "text").groupBy("host_id").agg(F.collect_set("text").alias("template")), "templates")
 
 
-def extract_text(pages: DataFrame, limit: int = PAGES) -> DataFrame:
+def extract_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     host = F.lower(F.coalesce(F.nullif(F.regexp_extract("url", HOST, 1), F.lit("")), "url", F.lit("")))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                          F.col("html").cast("string").alias("html"), host.alias("host"),
                          F.xxhash64(host).alias("host_id"))
-    found = stage(wrappers(pages, limit), "wrappers")
-    constant = templates(pages)
+    known = read(pages)
+    constant = templates(pages, known)
+    found = stage(wrappers(page_trees(pages, known, constant)), "ways")
 
     def run(batches: Iterator[pa.RecordBatch]):
         template_of = _Keys()
@@ -601,13 +746,12 @@ def extract_text(pages: DataFrame, limit: int = PAGES) -> DataFrame:
                     if rule not in memo:
                         if len(memo) > 1000:
                             memo.clear()
-                        wrapper = json.loads(rule) if rule else None
-                        memo[rule] = way_of(wrapper["path"]) if wrapper else frozenset()
+                        memo[rule] = way_of(json.loads(rule)) if rule else frozenset()
                     out.append(Page(source).text(host, template_of(host, part.column(5)[i]), memo[rule]))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())],
                     names=["page_id", "url", "text", "n_chars"])
 
-    return (pages.join(found, "host", "left").join(constant, "host_id", "left")
+    return (pages.join(found, "host_id", "left").join(constant, "host_id", "left")
             .select("page_id", "url", "host", "html", "wrapper", "template")
             .mapInArrow(run, "page_id long, url string, text string, n_chars long"))

@@ -1,5 +1,6 @@
 """Classifiers, pages, vectors and the pipeline: odd rows, brute force, held-out accuracy."""
 
+import json
 import os
 import subprocess
 import sys
@@ -186,6 +187,49 @@ def test_template_goes_by_slot_layout_and_content(spark):
     assert texts(spark, sources) == want
 
 
+def test_wrappers_are_fitted_on_all_pages_of_a_host(spark):
+    notice = "<p>All rights are with the makers of this site</p>"
+    sources, want = [], []
+    # Text beside the usual container on one page of forty: it is no longer the way, so short hinted text beside prose goes.
+    for host, odd, end in (("first", 0, ""), ("mid", 23, ""), ("last", 39, ""), ("fixed", 11, notice), ("more", 31, notice)):
+        for n in range(40):
+            box, long = f"<div class=widget><p>short {n}</p></div>", prose(n, 60)
+            sources.append((host, f"<html><body>{box}{f'<div><p>{long}</p></div>' if n == odd else ''}{end}</body></html>"))
+            want.append(long if n == odd else f"short {n}")
+    assert texts(spark, sources) == want
+
+
+def packed_tree(labels, varying=()):
+    """A body of boxes, some of them with text of their own."""
+    boxes = "".join(f"<div class={c}><p>{'x' if c in varying else ''}</p></div>" for c in labels)
+    return json.dumps(wrapper.Page(f"<body>{boxes}</body>").tree().packed())
+
+
+def test_wrappers_are_merged_in_rounds_and_the_same_however_rows_lie(spark):
+    same = [packed_tree(["a", f"b{n}", "c", f"d{n % 5}"], ["c"]) for n in range(30)]
+    rows = [(1, n, t) for n, t in enumerate(same)] + [(2, n, t) for n, t in enumerate(same)] + [(3, 7, same[0])] * 3
+    rows += [(2, 99, packed_tree(["a", "c"], ["a"])), (4, 1, same[0]), (4, 2, same[0])]
+    schema = "host_id long, page long, tree string"
+    for n, fan in ((1, 2), (4, 2), (3, 16)):
+        out = wrapper.wrappers(spark.createDataFrame(rows, schema).repartition(n), fan).collect()
+        paths = {r.host_id: json.loads(r.wrapper) for r in out}
+        # The third host has one page only.
+        assert sorted(r.host_id for r in out) == [1, 2, 4]
+        assert [paths[i][-1] for i in (1, 2, 4)] == ["div.c", "body", "div.c"]
+
+
+def test_a_wrapper_with_too_many_slots_keeps_its_way():
+    read = [json.loads(packed_tree([f"x{n}", "c", f"y{n}", "z"], ["c"])) for n in range(40)]
+    small = wrapper.trimmed(wrapper.aligned([wrapper.unpacked(x) for x in read]), 12)
+    assert len(json.dumps(small.packed())) < len(json.dumps(wrapper.aligned([wrapper.unpacked(x) for x in read]).packed())) / 4
+    assert [x.label for x in wrapper.way(small)][-1] == "div.c"
+    # What ended the way is known behind the cut.
+    two = wrapper.trimmed(wrapper.unpacked(json.loads(packed_tree(["c", "d", "e"], ["c", "d"]))), 2)
+    assert not wrapper.way(two)[-1].children
+    merged = wrapper.aligned([two, *(wrapper.unpacked(x) for x in read[:3])])
+    assert [x.label for x in wrapper.way(merged)][-1] == "body"
+
+
 def test_words_of_class_and_id_are_hints(spark):
     p = [[prose(f"{n}b{k}", 30) for k in range(4)] for n in range(3)]
     article = ("<article><h1>T</h1><p>{0}</p><section id=discussion><p>{1}</p><p>short</p></section>"
