@@ -12,7 +12,8 @@ A chunk of documents asks for its distinct n-grams of each order, with how often
 occur in its training documents.  The buckets add up counts and write the model table
 (kind=model, by order) next to the answers.  Every n-gram is owned by the first chunk
 that has it; owners add up what backoff weights need, by history, in a second exchange.
-A last pass evaluates all n-grams of a chunk, shortest first, and sums them by token.
+Only histories in held-out text or seen more often than ``CUT`` take part: after all others
+nothing is backed off and every count is discounted (``Model.asked``).  A last pass evaluates all n-grams of a chunk, shortest first, and sums them by token.
 So a word pair that all documents hold is one entry per chunk, never one per document.
 
 Where count-of-counts give no discount between 0 and 1, absolute discounting stands in.
@@ -39,6 +40,9 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 ROWS = "kind string, level int, bucket int, chunk int, keys binary, data binary, stats array<long>"
 KEY_BITS = 48  # of an n-gram below its bucket
+COUNT, OWNER, WANTED = np.uint64((1 << 32) - 1), np.uint64(1 << 32), np.uint64(1 << 33)
+COUNT_BYTES = 5
+SURE = 2e-12
 
 
 class Chunk:
@@ -58,6 +62,7 @@ class Chunk:
         place = np.arange(n) - np.repeat(self.begin, self.sizes)
         train = np.repeat(~self.held.astype(bool), self.sizes)
         self.keys, self.counts, self.event = [], [], []
+        self.wanted: list[np.ndarray] = []  # whether an n-gram of the order below is a history in held-out text
         self.history: list[np.ndarray] = [np.empty(0, np.int64)]
         self.suffix: list[np.ndarray] = [np.empty(0, np.int64)]
         for level in range(1, order + 1):
@@ -85,16 +90,23 @@ class Chunk:
                 self.history.append(before[where])
                 self.suffix.append(self.event[-1][at[where]])
                 self.counts.append(np.bincount(inverse, train[at], len(keys)).astype(np.int64))
+                self.wanted.append(np.bincount(before, ~train[at], len(short)) > 0)
             self.keys.append(keys)
             self.event.append(event)
+        self.wanted.append(np.zeros(len(self.keys[-1]), bool))
 
-    def answers(self, table: pa.Table, kind: str, level: int, buckets: int, dtype) -> np.ndarray:
+    def answers(self, table: pa.Table, kind: str, level: int, read) -> np.ndarray:
         """What the buckets said about the keys of a level, in the order of the keys."""
         rows = table.filter(pa.array((table["level"].to_numpy() == level)
                                      & np.array([k == kind for k in table["kind"].to_pylist()], bool)))
         found = rows["data"].to_pylist()
-        parts = [np.frombuffer(found[i], dtype) for i in np.argsort(rows["bucket"].to_numpy(), kind="stable")]
-        return np.concatenate(parts) if parts else np.empty(0, dtype)
+        parts = [read(found[i]) for i in np.argsort(rows["bucket"].to_numpy(), kind="stable")]
+        return np.concatenate(parts) if parts else read(b"")
+
+    def said(self, table: pa.Table, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Count of the n-grams of an order, whether this chunk owns them, whether held-out text has them as history."""
+        data = self.answers(table, "count", level, lambda d: from_fixed_bytes(d, COUNT_BYTES))
+        return (data & COUNT).astype(np.int64), (data & OWNER) > 0, (data & WANTED) > 0
 
 
 class Model:
@@ -115,6 +127,17 @@ class Model:
         """Discounted counts."""
         return count * self.discount[level - 1][np.minimum(count, CUT + 1)]
 
+    def asked(self, level: int, count: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Histories of ``level`` - 1 tokens whose weight is needed, by their counts.
+
+        After others only tokens are seen in training text, and with counts that are discounted, so their shorter
+        histories give some mass to tokens not seen after them.  If that is too little to be sure, all are asked for.
+        """
+        spare = 1 - max(d[1:CUT + 1].max() for d in self.discount[:level])
+        if self.unknown < SURE or spare < SURE * self.tokens:
+            return np.ones(len(count), bool)
+        return (count > 0) & (wanted | (count > CUT))
+
     def unigrams(self, count: np.ndarray) -> np.ndarray:
         return np.where(count > 0, self.reduced(1, count) / self.whole, self.unknown)
 
@@ -149,16 +172,17 @@ def _ask(order: int, buckets: int):
         out = []
         for level in range(1, order + 1):
             keys, counts = chunk.keys[level - 1], chunk.counts[level - 1].astype(np.uint64)
+            counts |= chunk.wanted[level - 1] * WANTED
             out.append(_rows(pack_rows(number, keys, buckets, {
                 "keys": lambda s, k=keys: fixed_bytes(k[s] >> shift, size),
-                "data": lambda s, c=counts: fixed_bytes(c[s], 4)}), "ask", level))
+                "data": lambda s, c=counts: fixed_bytes(c[s], COUNT_BYTES)}), "ask", level))
         return pa.concat_tables(out)
 
     return run
 
 
 def _count(buckets: int):
-    """Adds up the counts of one bucket; answers carry them, the top bit for the owner."""
+    """Adds up the counts of one bucket; answers carry them, with a bit for the owner and one for histories in held-out text."""
 
     def run(table: pa.Table) -> pa.Table:
         size, shift = key_bytes(buckets, KEY_BITS)
@@ -169,11 +193,14 @@ def _count(buckets: int):
         keys = [from_fixed_bytes(keys_of[i], size) for i in order]
         at = starts([len(k) for k in keys])
         flat = np.concatenate(keys)
-        n = np.concatenate([from_fixed_bytes(data_of[i], 4) for i in order]).astype(np.float64)
+        data = np.concatenate([from_fixed_bytes(data_of[i], COUNT_BYTES) for i in order])
+        n = (data & COUNT).astype(np.float64)
         uniq, first, inverse = np.unique(flat, return_index=True, return_inverse=True)
-        total = np.bincount(inverse, n, len(uniq)).astype(np.uint32)
-        answer = total[inverse]
-        answer[first] |= np.uint32(1 << 31)
+        total = np.bincount(inverse, n, len(uniq)).astype(np.uint64)
+        wanted = np.zeros(len(uniq), bool)
+        wanted[inverse[(data & WANTED) > 0]] = True
+        answer = (total | wanted * WANTED)[inverse]
+        answer[first] |= OWNER
         counted = total.copy()
         if level == 1 and int(START) >> (64 - (buckets.bit_length() - 1)) == bucket:
             mask = np.uint64((1 << 8 * size) - 1)
@@ -182,33 +209,31 @@ def _count(buckets: int):
         stats += [int(counted.sum(dtype=np.int64)), int((counted > 0).sum())]
         said = pa.table({"bucket": pa.array(np.full(len(order), bucket), pa.int32()),
                          "chunk": pa.array(chunks[order], pa.int32()),
-                         "data": pa.array([answer[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)],
-                                          pa.binary())})
+                         "data": pa.array([fixed_bytes(answer[a:b], COUNT_BYTES)
+                                           for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())})
         seen = total > 0
         model = pa.table({
             "kind": ["model"], "level": pa.array([level], pa.int32()), "bucket": pa.array([bucket], pa.int32()),
             "chunk": pa.array([-1], pa.int32()), "keys": pa.array([fixed_bytes(uniq[seen], size)], pa.binary()),
-            "data": pa.array([fixed_bytes(total[seen].astype(np.uint64), 4)], pa.binary()),
+            "data": pa.array([fixed_bytes(total[seen], 4)], pa.binary()),
             "stats": pa.array([stats], pa.list_(pa.int64()))})
         return pa.concat_tables([model, _rows(said, "count", level)])
 
     return run
 
 
-OWNER = np.uint32(1 << 31)
-
-
-def _probabilities(chunk: Chunk, answers: pa.Table, model: Model, top: int, buckets: int):
-    """Counts of every order up to ``top`` and probabilities of its n-grams, shortest first."""
-    counts, owned, prob = [], [], []
+def _probabilities(chunk: Chunk, answers: pa.Table, model: Model, top: int):
+    """Counts of every order up to ``top``, the n-grams ``asked`` as histories, and probabilities, shortest first."""
+    counts, asked, prob = [], [], []
     for level in range(1, top + 1):
-        said = chunk.answers(answers, "count", level, buckets, np.uint32)
-        counts.append((said & ~OWNER).astype(np.int64))
-        owned.append((said & OWNER) > 0)
+        count, _, wanted = chunk.said(answers, level)
+        counts.append(count)
+        asked.append(model.asked(level + 1, count, wanted))
         if level == 1:
             prob.append(model.unigrams(counts[0]))
             continue
-        weight = chunk.answers(answers, "weight", level - 1, buckets, np.float64)
+        weight = np.ones(len(counts[-2]))
+        weight[asked[-2]] = chunk.answers(answers, "weight", level - 1, np.frombuffer)
         h = chunk.history[level - 1]
         total, c, w = counts[-2][h], counts[-1], weight[h]
         # A negative weight marks a history that discounting leaves as it is.
@@ -217,10 +242,10 @@ def _probabilities(chunk: Chunk, answers: pa.Table, model: Model, top: int, buck
             seen = np.where(plain, c / (total + np.where(w < 0, 0.5, 0.0)), model.reduced(level, c) / total)
         back = np.where(total > 0, np.abs(w), 1.0) * prob[-1][chunk.suffix[level - 1]]
         prob.append(np.where(c > 0, seen, back))
-    return counts, owned, prob
+    return counts, asked, prob
 
 
-def _sums(order: int, level: int, model: Model, buckets: int):
+def _sums(level: int, model: Model, buckets: int):
     """By history of ``level`` - 1 tokens: count, discounted count and shorter mass of what follows it."""
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -229,15 +254,15 @@ def _sums(order: int, level: int, model: Model, buckets: int):
                 ("bucket", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("data", pa.binary()))})
         number, chunk = table["chunk"][0].as_py(), Chunk(table, level)
         # Counts of this level, but no probabilities: its weights are what is asked for.
-        _, _, prob = _probabilities(chunk, answers, model, level - 1, buckets)
-        said = chunk.answers(answers, "count", level, buckets, np.uint32)
-        c, mine = (said & ~OWNER).astype(np.int64), (said & OWNER) > 0
+        _, asked, prob = _probabilities(chunk, answers, model, level - 1)
+        c, mine, _ = chunk.said(answers, level)
         use = mine & (c > 0)
         h, keys = chunk.history[level - 1][use], chunk.keys[level - 2]
         data = np.zeros((len(keys), 3))
         data[:, 0] = np.bincount(h, c[use], len(keys))
         data[:, 1] = np.bincount(h, model.reduced(level, c[use]), len(keys))
         data[:, 2] = np.bincount(h, prob[-1][chunk.suffix[level - 1][use]], len(keys))
+        keys, data = keys[asked[-1]], data[asked[-1]]
         size, shift = key_bytes(buckets, KEY_BITS)
         return pack_rows(number, keys, buckets, {
             "keys": lambda s: fixed_bytes(keys[s] >> shift, size),
@@ -276,14 +301,14 @@ SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
           "score double")
 
 
-def _evaluate(order: int, model: Model, buckets: int):
+def _evaluate(order: int, model: Model):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({c: pa.array([], t) for c, t in (
                 ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                 ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
         chunk = Chunk(table, order)
-        counts, _, prob = _probabilities(chunk, answers, model, order, buckets)
+        counts, _, prob = _probabilities(chunk, answers, model, order)
         logs = np.log10(prob[0])[chunk.event[0]]
         for level in range(2, order + 1):
             event = chunk.event[level - 1]
@@ -319,9 +344,10 @@ def score(docs: DataFrame, held_out: Column, order: int = 2) -> DataFrame:
     wanted = ("chunk", "kind", "level", "bucket", "data")
     answers = tables.where(F.col("kind") == "count").select(*wanted)
     for level in range(2, order + 1):
-        sums = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-            _sums(order, level, model, buckets), "bucket int, chunk int, keys binary, data binary")
+        known = answers.where(F.col("level") <= level)
+        sums = rows.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(
+            _sums(level, model, buckets), "bucket int, chunk int, keys binary, data binary")
         weights = stage(sums.groupBy("bucket").applyInArrow(_weights(level, buckets), ROWS).select(*wanted), "weights")
         answers = answers.union(weights)
     return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        _evaluate(order, model, buckets), SCORES)
+        _evaluate(order, model), SCORES)
