@@ -56,6 +56,24 @@ def test_katz_empty(empty):
     assert katz.score(empty, F.lit(False)).collect() == []
 
 
+def test_katz_weights_are_asked_for_where_they_may_be_needed(spark):
+    model = katz.Model({1: [9, 4, 2, 1, 1, 0, 50, 20], 2: [9, 4, 2, 1, 1, 0, 50, 20]})
+    count, wanted = np.array([0, 3, 3, 5, 6, 0]), np.array([False, False, True, False, False, True])
+    assert model.asked(2, count, wanted).tolist() == [False, False, True, False, True, False]
+    # No mass for unknown tokens: nothing is left out.
+    model.unknown = 0.0
+    assert model.asked(2, count, wanted).all()
+    # Histories whose counts are all beyond discounting, beside rare ones, before tokens not seen after them.
+    often = [(i, "a b c a b d " * (1 + i % 2)) for i in range(100, 130)]
+    rows = [*often, (200, "a b e f g"), (201, "b c"), (202, "f g a b h"), *((i, "a b f c b a zz d d e") for i in range(203, 240))]
+    for order in (2, 3):
+        out = katz.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3),
+                         F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, order).collect()
+        want, _ = cases.katz(rows, [cases.held(i) for i, _ in rows], order, katz.CUT, katz.discounts)
+        got = {r.doc_id: r.score for r in out}
+        assert any(cases.held(i) for i in got) and got == {w[0]: pytest.approx(w[6]) for w in want}
+
+
 def test_discounts_stay_between_zero_and_one():
     for counts in ([0] * 6, [5, 0, 0, 0, 0, 0], [10, 5, 3, 2, 1, 1], [1, 9, 9, 9, 9, 9], [0, 3, 0, 1, 0, 0]):
         d = katz.discounts(counts)
