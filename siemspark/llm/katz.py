@@ -8,10 +8,14 @@ backoff weight is the mass that discounting left over, divided by the mass that
 shorter history gives to tokens not seen after the longer one, so probabilities sum to
 exactly 1 over the known tokens and one unknown one.
 
-A chunk of documents asks for its distinct n-grams of each order, with how often they
-occur in its training documents.  The buckets add up counts and write the model table
-(kind=model, by order) next to the answers.  Every n-gram is owned by the first chunk
-that has it; owners add up what backoff weights need, by history, in a second exchange.
+Documents are dealt into chunks and their words become numbers once: a chunk is stored as one
+row, its different words and a number per token, and all later passes read that row, so texts
+travel once.  A chunk asks for its distinct n-grams of each order, with how often they
+occur in its training documents.  The buckets add up counts; the table of answers
+(kind=count, by order) holds every n-gram's count, for its owner marked as such: every
+n-gram is owned by the first chunk that has it.  Keys travel as distances in ascending order
+and counts as one byte, larger ones behind.  Owners add up what backoff weights need, by
+history, in a second exchange.
 Only histories in held-out text or seen more often than ``CUT`` take part: after all others
 nothing is backed off and every count is discounted (``Model.asked``).  A last pass evaluates all n-grams of a chunk, shortest first, and sums them by token.
 So a word pair that all documents hold is one entry per chunk, never one per document.
@@ -26,87 +30,162 @@ training tokens every token is unknown and has probability 1.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siemspark.llm.common import (bucket_count, fixed_bytes, from_fixed_bytes, id_text, mix64, stage, text_bytes,
                                   word_hashes)
-from siemspark.llm.exchange import chunk_count, key_bytes, pack_rows, starts, with_chunk
+from siemspark.llm.exchange import chunk_count, pack_rows, starts, with_chunk
 
 CUT = 5  # counts above are not discounted
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 ROWS = "kind string, level int, bucket int, chunk int, keys binary, data binary, stats array<long>"
-KEY_BITS = 48  # of an n-gram below its bucket
-COUNT, OWNER, WANTED = np.uint64((1 << 32) - 1), np.uint64(1 << 32), np.uint64(1 << 33)
-COUNT_BYTES = 5
+TOKENS = "chunk int, ids array<long>, held array<boolean>, sizes array<long>, words binary, tokens binary"
+LEAST_BITS = 58  # of an n-gram's key; 48 below its bucket if there are more than 1,024 of them
+LARGE, OWNER, WANTED = 63, np.uint8(64), np.uint8(128)
 SURE = 2e-12
+BUCKET_TOKENS, LEAST_BUCKETS = 3_000_000, 64
+LEAST_SQUEEZED = 4_096
+
+
+def squeezed(data: bytes) -> bytes:
+    """Compressed, unless it is too short to gain from it; the raw length comes first, or 0."""
+    if len(data) < LEAST_SQUEEZED:
+        return bytes(8) + data
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes) -> bytes:
+    n = int.from_bytes(data[:8], "little")
+    return pa.decompress(data[8:], n, codec="zstd", asbytes=True) if n else data[8:]
+
+
+class Keys:
+    """The part of ascending keys below their bucket, as distances from one to the next."""
+
+    def __init__(self, buckets: int):
+        top = buckets.bit_length() - 1
+        bits = min(64, max(LEAST_BITS, top + 48))
+        self.shift, self.mask = np.uint64(64 - bits), np.uint64((1 << (bits - top)) - 1)
+        self.width = -(-(bits - top) // 8)
+
+    def below(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> self.shift) & self.mask
+
+    def packed(self, keys: np.ndarray) -> bytes:
+        """Of keys of one bucket."""
+        return squeezed(fixed_bytes(np.diff(self.below(keys), prepend=np.uint64(0)), self.width))
+
+    def read(self, data: bytes) -> np.ndarray:
+        return np.cumsum(from_fixed_bytes(unsqueezed(data), self.width), dtype=np.uint64)
+
+
+def packed_counts(count: np.ndarray, flags: np.ndarray) -> bytes:
+    """A byte for each count, with its flags; large ones follow in eight bytes."""
+    small = np.minimum(count, LARGE).astype(np.uint8) | flags
+    return squeezed(len(count).to_bytes(8, "little") + small.tobytes() + count[count >= LARGE].astype("<i8").tobytes())
+
+
+def read_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Counts, and the bytes with the flags."""
+    data = unsqueezed(data)
+    n = int.from_bytes(data[:8], "little")
+    small = np.frombuffer(data, np.uint8, n, 8)
+    count = (small & np.uint8(LARGE)).astype(np.int64)
+    count[count == LARGE] = np.frombuffer(data, "<i8", offset=8 + n)
+    return count, small
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in ascending order, a place of each, and for every key which it is."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], inverse
+
+
+def _tokens(table: pa.Table) -> pa.Table:
+    """The documents of a chunk as one row."""
+    number = table["chunk"][0].as_py()
+    table = table.combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    tokens = []
+    for text in table["text"].to_pylist():
+        parts = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
+        tokens.append(np.append(word_hashes(parts), np.uint64(0)))
+    sizes = np.array([len(t) for t in tokens])
+    flat = mix64(np.concatenate(tokens))
+    flat[np.cumsum(sizes) - 1] = END
+    # The start mark is a key of its own, whether or not it is a token.
+    keys, _, inverse = grouped(np.append(flat, START))
+    return pa.table({
+        "chunk": pa.array([number], pa.int32()), "ids": pa.array([table["doc_id"].to_pylist()], pa.list_(pa.int64())),
+        "held": pa.array([table["held_out"].to_pylist()], pa.list_(pa.bool_())),
+        "sizes": pa.array([sizes], pa.list_(pa.int64())),
+        "words": pa.array([squeezed(fixed_bytes(np.diff(keys, prepend=np.uint64(0)), 8))], pa.binary()),
+        "tokens": pa.array([squeezed(fixed_bytes(inverse[:-1].astype(np.uint64), 4))], pa.binary())})
 
 
 class Chunk:
     """The distinct n-grams of a chunk by order, and which token has which."""
 
-    def __init__(self, table: pa.Table, order: int):
-        table = table.combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        self.ids, self.held = table["doc_id"].to_pylist(), table["held_out"].to_numpy(zero_copy_only=False)
-        tokens = []
-        for text in table["text"].to_pylist():
-            parts = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
-            tokens.append(np.append(mix64(word_hashes(parts)), END))
-        self.sizes = np.array([len(t) for t in tokens])
-        self.begin = starts(self.sizes.tolist())[:-1]
-        flat = np.concatenate(tokens)
+    def __init__(self, row: dict, order: int):
+        self.ids, self.held = row["ids"], np.array(row["held"], bool)
+        self.sizes = np.array(row["sizes"], np.int64)
+        self.begin = starts(row["sizes"])[:-1]
+        words = np.cumsum(from_fixed_bytes(unsqueezed(row["words"]), 8), dtype=np.uint64)
+        event = from_fixed_bytes(unsqueezed(row["tokens"]), 4).astype(np.int64)
+        flat = words[event]
         n = len(flat)
         place = np.arange(n) - np.repeat(self.begin, self.sizes)
-        train = np.repeat(~self.held.astype(bool), self.sizes)
-        self.keys, self.counts, self.event = [], [], []
+        train = np.repeat(~self.held, self.sizes)
+        start = int(np.searchsorted(words, START))
+        self.keys, self.event, self.counts = [words], [event], [np.bincount(event[train], minlength=len(words))]
+        self.counts[0][start] += (~self.held).sum()
         self.wanted: list[np.ndarray] = []  # whether an n-gram of the order below is a history in held-out text
         self.history: list[np.ndarray] = [np.empty(0, np.int64)]
         self.suffix: list[np.ndarray] = [np.empty(0, np.int64)]
-        for level in range(1, order + 1):
-            if level == 1:
-                # The start mark is a key of its own, once per document.
-                source = np.concatenate([flat, np.full(len(self.sizes), START)])
-                weight = np.concatenate([train, ~self.held.astype(bool)])
-                keys, inverse = np.unique(source, return_inverse=True)
-                self.starts = inverse[n:]
-                event = inverse[:n]
-                self.counts.append(np.bincount(inverse, weight, len(keys)).astype(np.int64))
-            else:
-                at = np.flatnonzero(place >= level - 2)
-                before = np.empty(len(at), np.int64)
-                first = place[at] == 0
-                if level == 2:
-                    before[first] = self.starts
-                before[~first] = self.event[-1][at[~first] - 1]
-                short = self.keys[-1]
-                with np.errstate(over="ignore"):
-                    code = mix64(mix64(short[before]) * np.uint64(0x9E3779B97F4A7C15) + flat[at])
-                keys, where, inverse = np.unique(code, return_index=True, return_inverse=True)
-                event = np.full(n, -1, np.int64)
-                event[at] = inverse
-                self.history.append(before[where])
-                self.suffix.append(self.event[-1][at[where]])
-                self.counts.append(np.bincount(inverse, train[at], len(keys)).astype(np.int64))
-                self.wanted.append(np.bincount(before, ~train[at], len(short)) > 0)
+        for level in range(2, order + 1):
+            at = np.flatnonzero(place >= level - 2)
+            before = np.empty(len(at), np.int64)
+            first = place[at] == 0
+            before[first] = start
+            before[~first] = self.event[-1][at[~first] - 1]
+            short = self.keys[-1]
+            with np.errstate(over="ignore"):
+                code = mix64((mix64(short) * np.uint64(0x9E3779B97F4A7C15))[before] + flat[at])
+            keys, where, inverse = grouped(code)
+            event = np.full(n, -1, np.int64)
+            event[at] = inverse
+            self.history.append(before[where])
+            self.suffix.append(self.event[-1][at[where]])
+            self.counts.append(np.bincount(inverse[train[at]], minlength=len(keys)))
+            wanted = np.zeros(len(short), bool)
+            wanted[before[~train[at]]] = True
+            self.wanted.append(wanted)
             self.keys.append(keys)
             self.event.append(event)
         self.wanted.append(np.zeros(len(self.keys[-1]), bool))
 
-    def answers(self, table: pa.Table, kind: str, level: int, read) -> np.ndarray:
+    def rows(self, table: pa.Table, kind: str, level: int) -> list[bytes]:
         """What the buckets said about the keys of a level, in the order of the keys."""
-        rows = table.filter(pa.array((table["level"].to_numpy() == level)
-                                     & np.array([k == kind for k in table["kind"].to_pylist()], bool)))
-        found = rows["data"].to_pylist()
-        parts = [read(found[i]) for i in np.argsort(rows["bucket"].to_numpy(), kind="stable")]
-        return np.concatenate(parts) if parts else read(b"")
+        rows = table.filter(pc.and_(pc.equal(table["level"], level), pc.equal(table["kind"], kind)))
+        return rows.sort_by("bucket")["data"].to_pylist()
 
     def said(self, table: pa.Table, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Count of the n-grams of an order, whether this chunk owns them, whether held-out text has them as history."""
-        data = self.answers(table, "count", level, lambda d: from_fixed_bytes(d, COUNT_BYTES))
-        return (data & COUNT).astype(np.int64), (data & OWNER) > 0, (data & WANTED) > 0
+        rows = self.rows(table, "count", level)
+        count, flags = (np.concatenate(x) for x in zip((np.empty(0, np.int64), np.empty(0, np.uint8)),
+                                                       *map(read_counts, rows), strict=True))
+        return count, (flags & OWNER) > 0, (flags & WANTED) > 0
 
 
 class Model:
@@ -166,17 +245,18 @@ def _rows(table: pa.Table, kind: str, level: int) -> pa.Table:
 
 
 def _ask(order: int, buckets: int):
-    def run(table: pa.Table) -> pa.Table:
-        number, chunk = table["chunk"][0].as_py(), Chunk(table, order)
-        size, shift = key_bytes(buckets, KEY_BITS)
-        out = []
-        for level in range(1, order + 1):
-            keys, counts = chunk.keys[level - 1], chunk.counts[level - 1].astype(np.uint64)
-            counts |= chunk.wanted[level - 1] * WANTED
-            out.append(_rows(pack_rows(number, keys, buckets, {
-                "keys": lambda s, k=keys: fixed_bytes(k[s] >> shift, size),
-                "data": lambda s, c=counts: fixed_bytes(c[s], COUNT_BYTES)}), "ask", level))
-        return pa.concat_tables(out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = Keys(buckets).packed
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                chunk = Chunk(row, order)
+                for level in range(1, order + 1):
+                    keys, counts = chunk.keys[level - 1], chunk.counts[level - 1]
+                    flags = chunk.wanted[level - 1] * WANTED
+                    yield from _rows(pack_rows(row["chunk"], keys, buckets, {
+                        "keys": lambda s, k=keys: pack(k[s]),
+                        "data": lambda s, c=counts, f=flags: packed_counts(c[s], f[s])}), "ask", level).to_batches()
 
     return run
 
@@ -185,37 +265,32 @@ def _count(buckets: int):
     """Adds up the counts of one bucket; answers carry them, with a bit for the owner and one for histories in held-out text."""
 
     def run(table: pa.Table) -> pa.Table:
-        size, shift = key_bytes(buckets, KEY_BITS)
+        pack = Keys(buckets)
         level, bucket = table["level"][0].as_py(), table["bucket"][0].as_py()
-        chunks = table["chunk"].to_numpy()
-        order = np.argsort(chunks, kind="stable")
-        keys_of, data_of = table["keys"].to_pylist(), table["data"].to_pylist()
-        keys = [from_fixed_bytes(keys_of[i], size) for i in order]
+        table = table.sort_by("chunk")
+        keys = [pack.read(k) for k in table["keys"].to_pylist()]
         at = starts([len(k) for k in keys])
         flat = np.concatenate(keys)
-        data = np.concatenate([from_fixed_bytes(data_of[i], COUNT_BYTES) for i in order])
-        n = (data & COUNT).astype(np.float64)
-        uniq, first, inverse = np.unique(flat, return_index=True, return_inverse=True)
-        total = np.bincount(inverse, n, len(uniq)).astype(np.uint64)
-        wanted = np.zeros(len(uniq), bool)
-        wanted[inverse[(data & WANTED) > 0]] = True
-        answer = (total | wanted * WANTED)[inverse]
-        answer[first] |= OWNER
-        counted = total.copy()
+        n, flags = (np.concatenate(x) for x in zip(*map(read_counts, table["data"].to_pylist()), strict=True))
+        order = np.argsort(flat, kind="stable")  # of keys that are equal, the first chunk's is the first
+        ordered = flat[order]
+        new = np.ones(len(flat), bool)
+        np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+        first, which = np.flatnonzero(new), np.cumsum(new) - 1
+        counted = np.add.reduceat(n[order], first)
+        wanted = np.bitwise_or.reduceat(flags[order] & WANTED, first)
+        total, answer = np.empty_like(n), np.empty_like(flags)
+        total[order], answer[order] = counted[which], wanted[which] | new * OWNER
         if level == 1 and int(START) >> (64 - (buckets.bit_length() - 1)) == bucket:
-            mask = np.uint64((1 << 8 * size) - 1)
-            counted[uniq == (START >> shift & mask)] = 0
+            counted[ordered[first] == pack.below(START)] = 0
         stats = [int((counted == r).sum()) for r in range(1, CUT + 2)]
         stats += [int(counted.sum(dtype=np.int64)), int((counted > 0).sum())]
-        said = pa.table({"bucket": pa.array(np.full(len(order), bucket), pa.int32()),
-                         "chunk": pa.array(chunks[order], pa.int32()),
-                         "data": pa.array([fixed_bytes(answer[a:b], COUNT_BYTES)
+        said = pa.table({"bucket": table["bucket"], "chunk": table["chunk"],
+                         "data": pa.array([packed_counts(total[a:b], answer[a:b])
                                            for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())})
-        seen = total > 0
         model = pa.table({
             "kind": ["model"], "level": pa.array([level], pa.int32()), "bucket": pa.array([bucket], pa.int32()),
-            "chunk": pa.array([-1], pa.int32()), "keys": pa.array([fixed_bytes(uniq[seen], size)], pa.binary()),
-            "data": pa.array([fixed_bytes(total[seen], 4)], pa.binary()),
+            "chunk": pa.array([-1], pa.int32()), "keys": pa.nulls(1, pa.binary()), "data": pa.nulls(1, pa.binary()),
             "stats": pa.array([stats], pa.list_(pa.int64()))})
         return pa.concat_tables([model, _rows(said, "count", level)])
 
@@ -233,7 +308,7 @@ def _probabilities(chunk: Chunk, answers: pa.Table, model: Model, top: int):
             prob.append(model.unigrams(counts[0]))
             continue
         weight = np.ones(len(counts[-2]))
-        weight[asked[-2]] = chunk.answers(answers, "weight", level - 1, np.frombuffer)
+        weight[asked[-2]] = np.frombuffer(b"".join(map(unsqueezed, chunk.rows(answers, "weight", level - 1))))
         h = chunk.history[level - 1]
         total, c, w = counts[-2][h], counts[-1], weight[h]
         # A negative weight marks a history that discounting leaves as it is.
@@ -245,53 +320,74 @@ def _probabilities(chunk: Chunk, answers: pa.Table, model: Model, top: int):
     return counts, asked, prob
 
 
+SUMS = "bucket int, chunk int, keys binary, data binary, shorter binary"
+
+
 def _sums(level: int, model: Model, buckets: int):
-    """By history of ``level`` - 1 tokens: count, discounted count and shorter mass of what follows it."""
+    """By history of ``level`` - 1 tokens: how many n-grams with each small count, sum of large counts and shorter mass
+    of what follows it."""
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({c: pa.array([], t) for c, t in (
-                ("bucket", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("data", pa.binary()))})
-        number, chunk = table["chunk"][0].as_py(), Chunk(table, level)
+                ("bucket", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("data", pa.binary()),
+                ("shorter", pa.binary()))})
+        row = table.to_pylist()[0]
+        chunk = Chunk(row, level)
         # Counts of this level, but no probabilities: its weights are what is asked for.
         _, asked, prob = _probabilities(chunk, answers, model, level - 1)
         c, mine, _ = chunk.said(answers, level)
-        use = mine & (c > 0)
-        h, keys = chunk.history[level - 1][use], chunk.keys[level - 2]
-        data = np.zeros((len(keys), 3))
-        data[:, 0] = np.bincount(h, c[use], len(keys))
-        data[:, 1] = np.bincount(h, model.reduced(level, c[use]), len(keys))
-        data[:, 2] = np.bincount(h, prob[-1][chunk.suffix[level - 1][use]], len(keys))
-        keys, data = keys[asked[-1]], data[asked[-1]]
-        size, shift = key_bytes(buckets, KEY_BITS)
-        return pack_rows(number, keys, buckets, {
-            "keys": lambda s: fixed_bytes(keys[s] >> shift, size),
-            "data": lambda s: np.ascontiguousarray(data[s].T).tobytes()})
+        place = np.cumsum(asked[-1]) - 1
+        use = mine & (c > 0) & asked[-1][chunk.history[level - 1]]
+        h, c = place[chunk.history[level - 1][use]], c[use]
+        keys = chunk.keys[level - 2][asked[-1]]
+        after = np.zeros((CUT + 1, len(keys)), np.int64)
+        for r in range(1, CUT + 1):
+            after[r - 1] = np.bincount(h[c == r], minlength=len(keys))
+        np.add.at(after[CUT], h[c > CUT], c[c > CUT])
+        shorter = np.bincount(h, prob[-1][chunk.suffix[level - 1][use]], len(keys))
+        some, flags = after.any(axis=0), np.zeros(after.shape, np.uint8)
+        flags[0] = chunk.wanted[level - 2][asked[-1]] * WANTED
+        pack = Keys(buckets).packed
+        return pack_rows(row["chunk"], keys, buckets, {
+            "keys": lambda s: pack(keys[s]),
+            "data": lambda s: packed_counts(after[:, s].ravel(), flags[:, s].ravel()),
+            "shorter": lambda s: squeezed(shorter[s][some[s]].tobytes())})
 
     return run
 
 
-def _weights(level: int, buckets: int):
-    """The backoff weight of every history of a bucket, for all chunks that know it."""
+def _weights(level: int, model: Model, buckets: int):
+    """The backoff weight of every history of a bucket, for all chunks that know it.
+
+    A chunk without it as history in held-out text backs nothing off after it and is told only the kind of weight.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        size, _ = key_bytes(buckets, KEY_BITS)
-        keys = [from_fixed_bytes(k, size) for k in table["keys"].to_pylist()]
-        data = np.concatenate([np.frombuffer(d).reshape(3, -1) for d in table["data"].to_pylist()], axis=1)
+        pack, discount = Keys(buckets), model.discount[level - 1]
+        table = table.sort_by("chunk")
+        keys = [pack.read(k) for k in table["keys"].to_pylist()]
+        after, flags = (np.concatenate([x.reshape(CUT + 1, -1) for x in part], axis=1)
+                        for part in zip(*map(read_counts, table["data"].to_pylist()), strict=True))
+        mass = np.zeros(after.shape[1])
+        mass[after.any(axis=0)] = np.frombuffer(b"".join(map(unsqueezed, table["shorter"].to_pylist())))
         at = starts([len(k) for k in keys])
-        uniq, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total, kept, shorter = (np.bincount(inverse, row, len(uniq)) for row in data)
+        uniq, _, inverse = grouped(np.concatenate(keys))
+        shorter, *after = (np.bincount(inverse, x, len(uniq)) for x in (mass, *after))
+        total = sum(r * n for r, n in enumerate(after[:CUT], 1)) + after[CUT]
+        kept = sum(discount[r] * r * n for r, n in enumerate(after[:CUT], 1)) + after[CUT]
         rest = 1 - shorter
         with np.errstate(divide="ignore", invalid="ignore"):
             left = 1 - kept / total
-            weight = left / rest
             half = -(0.5 / (total + 0.5)) / rest
+            weight = left / rest
         weight = np.where(left < 1e-12, half, weight)  # nothing discounted: half a count is given up
         weight = np.where(rest < 1e-12, -0.0, weight)  # everything was seen: nothing to give
         weight = np.where(total > 0, weight, 1.0)[inverse]
+        weight = np.where((flags[0] & WANTED > 0) | (weight == 0), weight, np.copysign(1.0, weight))
         return _rows(pa.table({
             "bucket": table["bucket"], "chunk": table["chunk"],
-            "data": pa.array([weight[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())}),
+            "data": pa.array([squeezed(weight[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())}),
             "weight", level - 1)
 
     return run
@@ -307,7 +403,7 @@ def _evaluate(order: int, model: Model):
             return pa.table({c: pa.array([], t) for c, t in (
                 ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                 ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
-        chunk = Chunk(table, order)
+        chunk = Chunk(table.to_pylist()[0], order)
         counts, _, prob = _probabilities(chunk, answers, model, order)
         logs = np.log10(prob[0])[chunk.event[0]]
         for level in range(2, order + 1):
@@ -331,9 +427,9 @@ def score(docs: DataFrame, held_out: Column, order: int = 2) -> DataFrame:
     """Scores of all documents by a model of those that are not ``held_out``."""
     rows = id_text(docs).withColumn("held_out", F.coalesce(held_out, F.lit(True)))
     size = text_bytes(rows)
-    buckets = bucket_count(size // 5)
-    rows = with_chunk(rows, chunk_count(size))
-    asked = rows.groupBy("chunk").applyInArrow(_ask(order, buckets), ROWS)
+    buckets = bucket_count(size // 5, BUCKET_TOKENS, LEAST_BUCKETS)
+    chunks = stage(with_chunk(rows, chunk_count(size)).groupBy("chunk").applyInArrow(_tokens, TOKENS), "tokens")
+    asked = chunks.mapInArrow(_ask(order, buckets), ROWS)
     tables = stage(asked.groupBy("level", "bucket").applyInArrow(_count(buckets), ROWS), "counts", ("kind", "level"))
     of_model = tables.where(F.col("kind") == "model").groupBy("level").agg(
         *(F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(CUT + 3)))
@@ -345,9 +441,8 @@ def score(docs: DataFrame, held_out: Column, order: int = 2) -> DataFrame:
     answers = tables.where(F.col("kind") == "count").select(*wanted)
     for level in range(2, order + 1):
         known = answers.where(F.col("level") <= level)
-        sums = rows.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(
-            _sums(level, model, buckets), "bucket int, chunk int, keys binary, data binary")
-        weights = stage(sums.groupBy("bucket").applyInArrow(_weights(level, buckets), ROWS).select(*wanted), "weights")
+        sums = chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_sums(level, model, buckets), SUMS)
+        weights = stage(sums.groupBy("bucket").applyInArrow(_weights(level, model, buckets), ROWS).select(*wanted),
+                        "weights")
         answers = answers.union(weights)
-    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        _evaluate(order, model), SCORES)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_evaluate(order, model), SCORES)

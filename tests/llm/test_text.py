@@ -6,6 +6,7 @@ import zlib
 import cases
 import numpy as np
 import public_tokenizers as tok
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -74,6 +75,41 @@ def test_katz_weights_are_asked_for_where_they_may_be_needed(spark):
         assert any(cases.held(i) for i in got) and got == {w[0]: pytest.approx(w[6]) for w in want}
 
 
+def test_katz_reads_texts_once(spark, tmp_path):
+    path = str(tmp_path / "texts")
+    rows = [(i, "a b c a b d " * (1 + i % 3)) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    out = katz.score(spark.read.parquet(path), F.col("doc_id") % 10 == 0, 3)
+    assert out.inputFiles() and not [f for f in out.inputFiles() if path in f]
+    assert out.count() == 40
+
+
+def test_katz_questions_are_small():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{n}" for n in rng.integers(0, 20_000, 500)) for _ in range(400)]
+    row = katz._tokens(pa.table({"doc_id": list(range(400)), "text": texts, "held_out": [i % 10 == 0 for i in range(400)],
+                                 "chunk": pa.array([0] * 400, pa.int32())}))
+    asked = pa.Table.from_batches(katz._ask(3, 16)(iter(row.to_batches())))
+    entries = sum(len(k) for k in katz.Chunk(row.to_pylist()[0], 3).keys)
+    assert asked["keys"].nbytes + asked["data"].nbytes < 6.5 * entries  # 11 bytes as plain keys and counts
+    assert row.nbytes < sum(map(len, texts)) / 2
+
+
+def test_katz_keys_and_counts_come_back():
+    rng = np.random.default_rng(5)
+    for buckets in (64, 1024, 1 << 20):
+        pack = katz.Keys(buckets)
+        keys = np.unique(rng.integers(0, 1 << 63, 3_000).astype(np.uint64) >> np.uint64(buckets.bit_length() - 2)) + (
+            np.uint64(buckets - 1) << np.uint64(65 - buckets.bit_length()))
+        for some in (keys, keys[:1], keys[:0]):
+            assert pack.read(pack.packed(some)).tolist() == pack.below(some).tolist()
+    count = np.array([0, 1, 62, 63, 64, (1 << 32) + 7, 1 << 40] * 900)
+    flags = rng.integers(0, 4, len(count)).astype(np.uint8) << 6
+    for n in (len(count), 7, 0):
+        got, bits = katz.read_counts(katz.packed_counts(count[:n], flags[:n]))
+        assert got.tolist() == count[:n].tolist() and (bits & 192).tolist() == flags[:n].tolist()
+
+
 def test_discounts_stay_between_zero_and_one():
     for counts in ([0] * 6, [5, 0, 0, 0, 0, 0], [10, 5, 3, 2, 1, 1], [1, 9, 9, 9, 9, 9], [0, 3, 0, 1, 0, 0]):
         d = katz.discounts(counts)
