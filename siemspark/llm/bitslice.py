@@ -8,8 +8,9 @@ the sums of all rows of the block appear as bitmaps again.  Rows are selected
 from the most significant sum slice downward; those that tie at the last place
 are resolved exactly, smaller id first.
 
-Queries meet the index in blocks and every block returns at most ``k`` rows per
-query, of which the best ``k`` stay.
+Queries meet the index in units: one block of the index and one part of the queries,
+both of bounded size, each sent once a unit, with components of as few bytes as they
+need.  Every unit returns the ``k`` best rows per query, of which the best ``k`` stay.
 
 Defined results: rows with null id, null vector, or a null or non-finite component
 take no part.  Identical rows count once.  A query never returns rows of its own
@@ -19,20 +20,19 @@ candidates all are returned.  Scores must fit 64 bits.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from siemspark.llm.common import stage
 
-BLOCK_ROWS = 16_384
-LEAST_BLOCKS = 12
-QUERY_ROWS = 256
+# Components and rows of an index block and of a part of the queries, whatever the length of vectors.
+BLOCK_CELLS, BLOCK_ROWS = 1 << 20, 16_384
+QUERY_CELLS, QUERY_ROWS = 1 << 18, 4_096
+LEAST_BLOCKS, LEAST_PARTS = 12, 4
+MOST_TASKS = 2_000
 
 
 class Slices:
@@ -44,10 +44,11 @@ class Slices:
         above = (values - self.least).astype(np.uint64)
         self.digits = max(1, int(above.max()).bit_length()) if above.size else 1
         words = -(-self.n // 64)
-        bits = np.zeros((values.shape[1], self.digits, words * 64), np.uint8)
+        bits = np.zeros((values.shape[1], words * 64), np.uint8)
+        self.maps = np.empty((values.shape[1], self.digits, words), np.uint64)
         for b in range(self.digits):
-            bits[:, b, :self.n] = (above >> np.uint64(b) & np.uint64(1)).T
-        self.maps = np.packbits(bits, axis=-1, bitorder="little").view(np.uint64)
+            bits[:, :self.n] = (above >> np.uint64(b) & np.uint64(1)).T
+            self.maps[:, b] = np.packbits(bits, axis=-1, bitorder="little").view(np.uint64)
         self.all = np.packbits(np.arange(words * 64) < self.n, bitorder="little").view(np.uint64)
 
     def sums(self, query: np.ndarray) -> tuple[list[np.ndarray], int]:
@@ -91,8 +92,19 @@ class Slices:
         return out, base
 
     def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the ``k`` best rows whose id is not ``own``."""
+        """Ids and scores of the ``k`` best rows whose id is not ``own``.
+
+        More rows where some of these have the same id and score.
+        """
         sums, base = self.sums(query)
+        wanted = k
+        while True:
+            ids, score = self._best(sums, base, own, wanted)
+            if len(ids) < wanted or len(set(zip(ids.tolist(), score.tolist(), strict=True))) >= k:
+                return ids, score
+            wanted *= 2
+
+    def _best(self, sums: list[np.ndarray], base: int, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         sure, tied = np.zeros_like(self.all), self.all.copy()
         for i in range(*np.searchsorted(self.ids, [own, own + 1])):
             tied[i >> 6] &= ~(np.uint64(1) << np.uint64(i & 63))
@@ -122,37 +134,48 @@ class Slices:
         return words[word] * 64 + bit
 
 
+def packed(values: np.ndarray) -> tuple[int, bytes]:
+    """Bytes per component, as few as all of them fit, and the components."""
+    low, high = (int(values.min()), int(values.max())) if values.size else (0, 0)
+    width = next(w for w in (1, 2, 4, 8) if -1 << 8 * w - 1 <= low and high < 1 << 8 * w - 1)
+    return width, values.astype(f"<i{width}").tobytes()
+
+
+def unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and components of the one row of a packed block or part."""
+    ids = np.frombuffer(table["ids"][0].as_py(), np.int64)
+    data = np.frombuffer(table["data"][0].as_py(), f"<i{table['width'][0].as_py()}")
+    return ids, data.reshape(len(ids), -1).astype(np.int64)
+
+
 def _pack(key: str):
     """One row per group: ids and quantised components as bytes."""
 
     def run(table: pa.Table) -> pa.Table:
         ids = table["vec_id"].to_numpy()
-        rows = table["values"].to_pylist()
-        values = np.zeros((len(rows), max(map(len, rows))), np.int64)
-        for i, r in enumerate(rows):
-            values[i, :len(r)] = r
-        order = np.lexsort((*values.T[::-1], ids)) if values.shape[1] else np.argsort(ids)
-        return pa.table({key: table[key][:1], "ids": [ids[order].tobytes()], "data": [values[order].tobytes()]})
+        rows = table["values"].combine_chunks()
+        sizes = rows.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        values = np.zeros((len(sizes), sizes.max()), np.int64)
+        values[np.arange(values.shape[1]) < sizes[:, None]] = rows.flatten().to_numpy(zero_copy_only=False)
+        order = np.argsort(ids, kind="stable")
+        width, data = packed(values[order])
+        return pa.table({key: table[key][:1], "ids": [ids[order].tobytes()], "width": pa.array([width], pa.int32()),
+                         "data": [data]})
 
     return run
 
 
 def _search(k: int):
-    def run(batches: Iterator[pa.RecordBatch]):
-        held, index = None, None
-        for batch in batches:
-            for row in batch.to_pylist():
-                if held != row["block"]:
-                    ids = np.frombuffer(row["ids"], np.int64)
-                    index = Slices(ids, np.frombuffer(row["data"], np.int64).reshape(len(ids), -1))
-                    held = row["block"]
-                asked = np.frombuffer(row["query_ids"], np.int64)
-                queries = np.frombuffer(row["query_data"], np.int64).reshape(len(asked), -1)
-                found = [index.top(q, own, k) for q, own in zip(queries, asked.tolist(), strict=True)]
-                sizes = [len(f[0]) for f in found]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(asked, sizes)), pa.array(np.concatenate([f[0] for f in found])),
-                     pa.array(np.concatenate([f[1] for f in found]))], names=["query_id", "vec_id", "score"])
+    def run(block: pa.Table, part: pa.Table) -> pa.Table:
+        asked, scores, ids = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        if block.num_rows and part.num_rows:
+            index = Slices(*unpacked(block))
+            for own, query in zip(*unpacked(part), strict=True):
+                found, score = index.top(query, int(own), k)
+                asked.append(np.full(len(found), own))
+                ids.append(found)
+                scores.append(score)
+        return pa.table({"query_id": np.concatenate(asked), "vec_id": np.concatenate(ids), "score": np.concatenate(scores)})
 
     return run
 
@@ -166,21 +189,29 @@ def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
             .select("vec_id", F.transform(x, lambda v: F.floor(v * F.lit(float(scale)))).alias("values")).distinct())
 
 
+def _groups(rows: DataFrame, most_rows: int, most_cells: int, least: int) -> int:
+    """How many groups of bounded size ``rows`` are dealt into."""
+    n, longest = rows.agg(F.count("*"), F.max(F.size("values"))).first()
+    return max(least, -(-n // max(1, min(most_rows, most_cells // max(1, longest or 0)))))
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score) for (vec_id, values) rows of ``queries`` against all of ``vectors``."""
-    vectors = stage(vectors, "vectors")
-    blocks = max(LEAST_BLOCKS, -(-vectors.count() // BLOCK_ROWS))
-    kind = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("ids", T.BinaryType()),
-                         T.StructField("data", T.BinaryType())])
-    index = (vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-             .groupBy("block").applyInArrow(_pack("block"), kind))
-    groups = max(1, -(-queries.count() // QUERY_ROWS))
-    asked = (queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"))
-             .groupBy("part").applyInArrow(_pack("part"), "part int, ids binary, data binary")
-             .select(F.col("ids").alias("query_ids"), F.col("data").alias("query_data"),
-                     F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")))
-    met = index.join(asked, "block").select("block", "ids", "data", "query_ids", "query_data")
-    found = met.mapInArrow(_search(k), "query_id long, vec_id long, score long").distinct()
+    vectors, queries = stage(vectors, "vectors"), stage(queries, "queries")
+    blocks = _groups(vectors, BLOCK_ROWS, BLOCK_CELLS, LEAST_BLOCKS)
+    parts = _groups(queries, QUERY_ROWS, QUERY_CELLS, LEAST_PARTS)
+    tasks = min(blocks * parts, MOST_TASKS)
+
+    def units(rows: DataFrame, own: str, n: int, other: str, others: int) -> DataFrame:
+        """Rows dealt into ``n`` packed groups, each sent to all ``others`` of the other side."""
+        dealt = rows.withColumn(own, F.pmod(F.xxhash64("vec_id", "values"), F.lit(n)).cast("int"))
+        groups = dealt.groupBy(own).applyInArrow(_pack(own), f"{own} int, ids binary, width int, data binary")
+        return (groups.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+                .repartition(tasks, "block", "part"))
+
+    index, asked = units(vectors, "block", blocks, "part", parts), units(queries, "part", parts, "block", blocks)
+    found = (index.groupBy("block", "part").cogroup(asked.groupBy("block", "part"))
+             .applyInArrow(_search(k), "query_id long, vec_id long, score long").distinct())
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -8,6 +8,7 @@ import sys
 import cases
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from siemspark.llm import bitslice, resample, rules, wrapper
@@ -284,6 +285,36 @@ def test_top_k_on_odd_rows(spark):
     assert bitslice.top_k(none, none, 10).collect() == []
 
 
+def test_top_k_meets_in_bounded_units(spark, monkeypatch):
+    """Neither many queries nor many vectors of one id make the block of a task larger, nor do copies of a score push others out."""
+    class Bounded(bitslice.Slices):
+        def __init__(self, ids, values):
+            assert len(ids) <= 160
+            super().__init__(ids, values)
+
+    monkeypatch.setattr(bitslice, "Slices", Bounded)
+    monkeypatch.setattr(bitslice, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(bitslice, "QUERY_ROWS", 8)
+    rng = np.random.default_rng(5)
+    rows = {(i, tuple(rng.integers(-200, 200, 6).tolist())) for i in [*range(300), *[7] * 500]} | {(320, (0,) * 6)}
+    vectors = spark.createDataFrame(sorted(rows), "vec_id long, values array<long>")
+    want = []
+    for q, a in sorted(rows):
+        if q % 20 == 0:
+            found = sorted({(-sum(x * y for x, y in zip(a, b, strict=True)), c) for c, b in rows if c != q})[:10]
+            want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(found)]
+    assert sorted(map(tuple, bitslice.top_k(vectors, vectors.where("vec_id % 20 = 0"), 10).collect())) == sorted(want)
+
+
+def test_packed_vectors_take_few_bytes():
+    for most, width in ((127, 1), (128, 2), (40_000, 4), (1 << 40, 8)):
+        table = pa.table({"vec_id": [9, 4], "values": pa.array([[most, -5], [3]], pa.list_(pa.int64())), "block": [1, 1]})
+        out = bitslice._pack("block")(table)
+        assert len(out["data"][0].as_py()) == 4 * width
+        ids, values = bitslice.unpacked(out)
+        assert (ids.tolist(), values.tolist()) == ([4, 9], [[3, 0], [most, -5]])
+
+
 def test_pipeline(spark, tables):
     import corpus_pipeline as pipeline
     from siemspark.llm.common import stage
