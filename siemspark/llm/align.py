@@ -30,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siemspark.llm.common import chunks, id_text, stage, worker_store
+from siemspark.llm.common import chunks, fixed_bytes, from_fixed_bytes, id_text, stage, worker_store
 
-CHUNK = 8_000_000  # characters of the documents of one chunk
+CHUNK = 2_000_000  # characters of the documents of one chunk
 PIECE = 1_000_000  # characters cut into segments at once
 CARRIER = 20_000  # characters of new segments that are encoded as one text
 LONG = 4_000
-MEMO = 300_000  # segments in each of two generations
+MEMO = 4_000_000  # characters of the segments in each of two generations, each counted with ENTRY more
+ENTRY = 16
+GROUP = 8 << 20  # bytes of a row group of chunks: writers hold one, readers get all rows of one at once
 SPACE_MARK = "▁"
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -170,6 +172,7 @@ class Aligner:
         self.tokenizers = Tokenizers(definition, model)
         self.new: dict[str, tuple | None] = {}
         self.old: dict[str, tuple | None] = {}
+        self.size = 0
 
     def pieces(self, text: str) -> Iterator[list[str]]:
         return segments(text) if self.tokenizers.separable else iter([[text]])
@@ -194,9 +197,12 @@ class Aligner:
         if carrier:
             self._align(carrier, found)
         out = [found[s] if s in found else new[s] for s in wanted]
-        if len(new) + len(found) > MEMO:
-            self.old, self.new = new, {}
-        self.new.update((s, v) for s, v in found.items() if len(s) <= LONG)
+        kept = {s: v for s, v in found.items() if len(s) <= LONG}
+        size = sum(map(len, kept)) + ENTRY * len(kept)
+        if self.size + size > MEMO:
+            self.old, self.new, self.size = new, {}, 0
+        self.new.update(kept)
+        self.size += size
         return out
 
     def _align(self, segments: list[str], into: dict) -> None:
@@ -301,11 +307,21 @@ class Chunk:
         return pa.RecordBatch.from_arrays(
             [pa.array([number], pa.int64()), *[pa.array([c], longs) for c in (self.ids, *counts)],
              pa.array([self.digests], pa.list_(pa.string())),
-             *[pa.array([x.astype("<u4").tobytes()], pa.binary()) for x in (of_docs, doc_sizes, at, sizes)],
+             *[pa.array([compact(x)], pa.binary()) for x in (of_docs, doc_sizes, at, sizes)],
              pa.array([pairs], longs), pa.array([times], longs)],
             names=[c.split()[0] for c in CHUNKS.split(", ")])
 
 
+def compact(values: np.ndarray) -> bytes:
+    """Unsigned integers of as few bytes as all of them fit, behind one byte that tells how many."""
+    width = max(1, -(-int(values.max() if len(values) else 0).bit_length() // 8))
+    return bytes([width]) + fixed_bytes(values.astype(np.uint64), width)
+
+
+def expanded(data: bytes) -> np.ndarray:
+    return from_fixed_bytes(data[1:], data[0]).astype(np.int64)
+
+
 def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sums of consecutive stretches of the given sizes."""
     ends = np.concatenate([[0], np.cumsum(values)])
@@ -338,20 +354,19 @@ def chunk_rows(docs: DataFrame, definition_path: str, model_path: str) -> DataFr
 
 def _score(rows: pa.Table, answers: pa.Table) -> pa.Table:
     """Document rows of one chunk, given the count of each of its pairs and whether it is its B id's highest."""
+    worker_store("scores")  # the tokenizers of earlier tasks go
     row = {name: rows[name][0] for name in rows.column_names}
     at = answers["pos"].to_numpy()
     count, best = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
     count[at], best[at] = answers["n"].to_numpy(), answers["best"].to_numpy(zero_copy_only=False)
 
-    def array(name):
-        return np.frombuffer(row[name].as_py(), "<u4")
-
-    links, sizes, of_docs, doc_sizes = map(array, ("segment_links", "segment_sizes", "doc_segments", "doc_sizes"))
+    links, sizes, of_docs, doc_sizes = (
+        expanded(row[name].as_py()) for name in ("segment_links", "segment_sizes", "doc_segments", "doc_sizes"))
     total = sums(sums(count[links], sizes)[of_docs], doc_sizes)
     highest = sums(sums(best[links], sizes)[of_docs], doc_sizes)
     return pa.table({
         "doc_id": row["doc_ids"].values, "n_a": row["n_a"].values, "n_b": row["n_b"].values,
-        "n_groups": row["n_groups"].values, "n_links": pa.array(sums(sizes.astype(np.int64)[of_docs], doc_sizes)),
+        "n_groups": row["n_groups"].values, "n_links": pa.array(sums(sizes[of_docs], doc_sizes)),
         "n_best": pa.array(highest), "count_sum": pa.array(total), "groups_sha256": row["digests"].values})
 
 
@@ -366,7 +381,7 @@ def pair_counts(rows: DataFrame) -> DataFrame:
 
 def align_documents(docs: DataFrame, definition_path: str, model_path: str) -> DataFrame:
     """Token, group and link numbers of every document, and how common its links are in the corpus."""
-    rows = stage(chunk_rows(docs, definition_path, model_path), "alignments")
+    rows = stage(chunk_rows(docs, definition_path, model_path), "alignments", group_bytes=GROUP)
     counts = stage(pair_counts(rows), "pairs")
     asked = rows.select(F.col("chunk").alias("of_chunk"), F.posexplode("pairs").alias("pos", "pair"))
     answers = asked.join(counts, "pair").select("of_chunk", "pos", "n", "best")

@@ -7,7 +7,9 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import cases
+import numpy as np
 import public_tokenizers as tok
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
@@ -107,6 +109,36 @@ def test_alignment_in_many_chunks(corpus, whole, monkeypatch):
     assert ordered(map(tuple, got)) == ordered(plain_alignment(corpus[0], whole))
 
 
+def test_chunks_are_staged_in_bounded_row_groups(corpus, whole, monkeypatch):
+    """A reader gets all rows of a row group at once, and chunks are rows of megabytes."""
+    staged, real = {}, align.stage
+    monkeypatch.setattr(align, "CHUNK", 3000)
+    monkeypatch.setattr(align, "GROUP", 100_000, raising=False)
+    monkeypatch.setattr(align, "stage", lambda df, name, *a, **k: staged.setdefault(name, real(df, name, *a, **k)))
+    got = align.align_documents(corpus[1].coalesce(1), A, B).collect()
+    assert ordered(map(tuple, got)) == ordered(plain_alignment(corpus[0], whole))
+    found = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in staged["alignments"].inputFiles()]
+    sizes = [m.row_group(i).total_byte_size for m in found for i in range(m.num_row_groups)]
+    assert len(sizes) > 3 and max(sizes) < 200_000
+
+
+def test_memo_of_long_segments_is_bounded(monkeypatch):
+    monkeypatch.setattr(align, "MEMO", 20_000)
+    aligner = align.Aligner(open(A, encoding="utf-8").read(), open(B, "rb").read())
+    wanted = [f" {n}{'日本' * 400}" for n in range(200)]
+    first = [aligner([s])[0] for s in wanted]
+    assert sum(map(len, [*aligner.new, *aligner.old])) <= 40_000
+    assert first == [aligner([s])[0] for s in wanted]
+
+
+@pytest.mark.parametrize("most", [0, 255, 256, 65_536, 1 << 24, (1 << 32) - 1])
+def test_compact_numbers(most):
+    for values in (np.array([3 % (most + 1), most, 0]), np.empty(0, np.int64)):
+        data = align.compact(values)
+        assert align.expanded(data).tolist() == values.tolist()
+        assert len(data) == 1 + len(values) * max(1, -(-most.bit_length() // 8))
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=" \n\t ab'sé1!\x1c　日𓀀▁<|>0xA", min_size=1, max_size=30))
 @example("a 日 𓀀b")
